@@ -142,3 +142,13 @@ ELEMENT_NAME_TO_SYMBOL = dict(zip(ELEMENT_NAMES, ELEMENTS))
 ELEMENTS_AND_NAMES = ELEMENTS + ELEMENT_NAMES + [n.capitalize() for n in ELEMENT_NAMES]
 UNIT_SET = sorted(set(SPLIT_UNITS))
 COMMON_SET = sorted(set(COMMON_TERMS))
+
+# Example British -> American spelling pairs, applied in this order (the
+# original ships no dictionary; this list is the default parameter).
+SPELLING_GB_US = [
+    ("colour", "color"), ("flavour", "flavor"), ("behaviour", "behavior"), ("centre", "center"),
+    ("fibre", "fiber"), ("metre", "meter"), ("analyse", "analyze"), ("catalyse", "catalyze"),
+    ("ageing", "aging"), ("sulphur", "sulfur"), ("aluminium", "aluminum"), ("haemoglobin", "hemoglobin"),
+    ("oestrogen", "estrogen"), ("modelling", "modeling"), ("labelled", "labeled"), ("grey", "gray"),
+    ("programme", "program"), ("defence", "defense"), ("licence", "license"), ("organis", "organiz"),
+]

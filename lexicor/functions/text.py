@@ -210,12 +210,13 @@ def attach_lemma_map(df: DataFrame, lemmas: DataFrame, column: str = "_lemmas",
     """Attach a ``form -> lemma`` map built from a lemma table (one value,
     computed once). The table size is checked first: a dictionary above
     ``max_rows`` must go through ``lemmatize_by_join`` instead."""
-    n = lemmas.count()
+    table = (lemmas.where(F.col("form").isNotNull())
+             .groupBy("form").agg(F.min("lemma").alias("lemma")).persist())
+    n = table.count()
     if n > max_rows:
+        table.unpersist()
         raise ValueError(f"lemma table has {n} rows > {max_rows}; use lemmatize_by_join")
-    value = (lemmas.where(F.col("form").isNotNull())
-             .groupBy("form").agg(F.min("lemma").alias("lemma"))
-             .select(F.map_from_entries(F.collect_list(F.struct("form", "lemma")))).scalar())
+    value = table.select(F.map_from_entries(F.collect_list(F.struct("form", "lemma")))).scalar()
     return df.withColumn(column, F.coalesce(value, F.create_map().cast("map<string,string>")))
 
 

@@ -183,3 +183,11 @@ def unnest_sentences(table: str, id_col: str, text_col: str, where: str = "") ->
     return (f"SELECT {id_col}, CAST(i - 1 AS INTEGER) AS sent_no, ss[i] AS sentence FROM ("
             f"SELECT {id_col}, ss, unnest(generate_series(1, len(ss))) AS i FROM ("
             f"SELECT {id_col}, {sentences(text_col)} AS ss FROM {table} {where}) WHERE len(ss) > 0)")
+
+
+def process_overflow(toks: str) -> str:
+    """F3 per sentence: a simple formula with an infinite amount."""
+    t, p = v("t"), v("p")
+    c = composition(t)
+    return (f"coalesce(list_bool_or(list_transform({toks}, lambda {t}: coalesce({is_formula(t)} AND "
+            f"len(list_filter({c}, lambda {p}: isinf({p}.amt))) > 0, false))), false)")

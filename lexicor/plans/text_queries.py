@@ -229,3 +229,122 @@ def strip_markup_query(spark, sf_dir):
     pages = load(spark, sf_dir, "pages")
     return pages.select("page_id", strip_markup(F.col("html")).alias("text"),
                         strip_markup(F.col("html"), compat=True).alias("text_compat"))
+
+
+# ------------------------------------------------- dictionaries and recipes
+from ..functions.fixed_values import SPELLING_GB_US  # noqa: E402
+from ..operators.lemmas import plural_lemmas, spelling_table  # noqa: E402
+
+
+def _documents(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+def _with_dictionaries(spark, docs):
+    """Lemma map derived from the corpus vocabulary and the spelling list,
+    attached as one value each (size-checked)."""
+    lemmas = plural_lemmas(corpus.token_rows(docs.select("doc_id", "text")))
+    out = tx.attach_lemma_map(docs, lemmas)
+    return tx.attach_spelling(out, spelling_table(spark, SPELLING_GB_US))
+
+
+def _spell_sql(x: str) -> str:
+    for gb, us in SPELLING_GB_US:
+        x = f"replace({x}, {S.q(gb)}, {S.q(us)})"
+    return x
+
+
+_STOP = tx.default_stop_words()
+_LEMMA_CTE = TOKENS_CTE + """
+, vocab AS (SELECT DISTINCT unnest(toks) AS form FROM k),
+lem AS (SELECT v.form, substr(v.form, 1, length(v.form) - 1) AS lemma FROM vocab v
+        JOIN vocab w ON w.form = substr(v.form, 1, length(v.form) - 1)
+        WHERE length(v.form) >= 4 AND suffix(v.form, 's')),
+lm AS (SELECT coalesce(map_from_entries(list({'key': form, 'value': lemma})), MAP {}) AS m FROM lem)"""
+
+
+def _lemma_sql(toks: str) -> str:
+    t = S.v("t")
+    return f"list_transform({toks}, lambda {t}: coalesce(map_extract_value(lm.m, {t}), {t}))"
+
+
+@register("lemma_lookup", _LEMMA_CTE + f"""
+SELECT k.doc_id, k.sent_no, array_to_string({_lemma_sql(S.stop_filter('k.toks', _STOP))}, ' ') AS lemmatized
+FROM k, lm""")
+def lemma_lookup(spark, sf_dir):
+    """T16 + T15: stop words dropped, then every token replaced by its lemma
+    (lemma table derived from the corpus vocabulary, applied as one map)."""
+    docs = _documents(spark, sf_dir)
+    lemmas = plural_lemmas(corpus.token_rows(docs.select("doc_id", "text")))
+    s = tx.attach_lemma_map(_sentence_tokens(spark, sf_dir), lemmas)
+    out = tx.lemmatize(tx.remove_stop_words(F.col("toks")), F.col("_lemmas"))
+    return s.select("doc_id", "sent_no", F.array_join(out, " ").alias("lemmatized"))
+
+
+@register("spelling_fold", f"""
+SELECT doc_id, {_spell_sql('text')} AS text FROM documents""")
+def spelling_fold(spark, sf_dir):
+    """Ordered British -> American substring replacement over every text."""
+    docs = tx.attach_spelling(_documents(spark, sf_dir), spelling_table(spark, SPELLING_GB_US))
+    return docs.select("doc_id", tx.fold_spelling(F.col("text"), F.col("_spelling")).alias("text"))
+
+
+_DOC_TOKENS = f"flatten(list_transform({S.sentences('d.text')}, lambda x_s: {S.tokens('x_s')}))"
+
+
+@register("normalise_api", TOKENS_CTE + f"""
+, p AS (SELECT doc_id, sent_no, array_to_string({S.process('toks')}, ' ') AS processed,
+               {S.process_overflow('toks')} AS overflow FROM k)
+SELECT d.doc_id, coalesce(string_agg(p.processed, chr(10) ORDER BY p.sent_no), '') AS processed_abstract,
+       coalesce(bool_or(p.overflow), false) AS unprocessable
+FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id""")
+def normalise_api(spark, sf_dir):
+    """API recipe (T1 -> T14 per sentence -> T18) on every document, with the
+    unprocessable flag (F3)."""
+    out = corpus.normalise(_documents(spark, sf_dir), "api")
+    return out.select("doc_id", "processed_abstract", "unprocessable")
+
+
+@register("normalise_loader", _LEMMA_CTE + f"""
+, d1 AS (SELECT d.doc_id, {_DOC_TOKENS} AS toks FROM documents d),
+d2 AS (SELECT doc_id, {_spell_sql(f"array_to_string({_lemma_sql(S.stop_filter('d1.toks', _STOP))}, ' ')")} AS base
+       FROM d1, lm),
+d3 AS (SELECT doc_id, flatten(list_transform({S.sentences('base')}, lambda x_b: {S.tokens('x_b')})) AS toks FROM d2)
+SELECT doc_id, array_to_string({S.process('toks')}, ' ') AS processed_abstract FROM d3""")
+def normalise_loader(spark, sf_dir):
+    """Loader recipe: stop words + lemmas over the whole text -> spelling ->
+    the token pipeline on one flat token list."""
+    docs = _with_dictionaries(spark, _documents(spark, sf_dir))
+    out = corpus.normalise(docs, "loader", lemma_map=F.col("_lemmas"), spelling=F.col("_spelling"))
+    return out.select("doc_id", "processed_abstract")
+
+
+@register("normalise_s2orc", _LEMMA_CTE + f"""
+, p AS (SELECT k.doc_id, k.sent_no,
+              {_spell_sql(f"array_to_string({_lemma_sql(S.stop_filter('k.toks', _STOP))}, ' ')")} AS sent,
+              {S.process_overflow('k.toks')} AS overflow FROM k, lm)
+SELECT d.doc_id, coalesce(string_agg(p.sent, chr(10) ORDER BY p.sent_no), '') AS processed_abstract,
+       coalesce(bool_or(p.overflow), false) AS unprocessable
+FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id""")
+def normalise_s2orc(spark, sf_dir):
+    """S2ORC recipe: per sentence stop words + lemmas -> spelling; the token
+    pipeline only decides whether the article is unprocessable."""
+    docs = _with_dictionaries(spark, _documents(spark, sf_dir))
+    out = corpus.normalise(docs, "s2orc", lemma_map=F.col("_lemmas"), spelling=F.col("_spelling"))
+    return out.select("doc_id", "processed_abstract", "unprocessable")
+
+
+@register("clean_corpus", _LEMMA_CTE + f"""
+, c AS (SELECT d.doc_id, flatten(list_transform(string_split(d.text, chr(10)), lambda x_c: {S.tokens('x_c')})) AS toks
+        FROM documents d WHERE d.lang = 'en')
+SELECT c.doc_id, {_spell_sql(f"array_to_string({_lemma_sql(S.stop_filter('c.toks', _STOP))}, ' ')")} AS cleaned
+FROM c, lm""")
+def clean_corpus_query(spark, sf_dir):
+    """Articles carrying the tag ``en`` (tags = language and source)
+    cleaned with stop words, lemmas and spelling, one record each."""
+    docs = _documents(spark, sf_dir)
+    articles = docs.select("doc_id", F.col("text").alias("processed_abstract"),
+                           F.array("lang", "source").alias("tags"))
+    lemmas = plural_lemmas(corpus.token_rows(docs.select("doc_id", "text")))
+    articles = tx.attach_spelling(tx.attach_lemma_map(articles, lemmas), spelling_table(spark, SPELLING_GB_US))
+    return corpus.clean_corpus(articles, "en", lemma_map=F.col("_lemmas"), spelling=F.col("_spelling"))
