@@ -138,31 +138,33 @@ def process_tokens(toks: Column, exclude_punct: bool = False, convert_num: bool
     ``tok`` is null for a dropped token; ``norm`` is set for a material
     mention (T13) whose original text is ``orig``.
     """
-    def one(t, i):
-        info = F.struct(mat.element_name_symbol(t).alias("sym"), mat.formula_info(t).alias("f"))
-
-        def body(x):
-            symbol, formula, norm_formula = x["sym"], x["f"]["simple"], x["f"]["normalized"]
-            out = F.when(F.lit(exclude_punct) & F.array_contains(PUNCT_ARR(), t), F.lit(None))
-            if convert_num:
-                out = out.when(is_number(t), F.when(_bracketed(toks, i), t).otherwise(F.lit(NUM_TOKEN)))
-            out = (out.when(symbol.isNotNull(), F.lower(t))
-                   .when(formula, norm_formula if normalize_materials else t)
-                   .when(lower_candidate(t), F.lower(t))
-                   .otherwise(t))
-            if accents:
-                out = remove_accents(out)
-            dropped = F.lit(exclude_punct) & F.array_contains(PUNCT_ARR(), t)
-            numeric = is_number(t) if convert_num else F.lit(False)
-            mention = (F.when(dropped | numeric, F.lit(None).cast("string"))
-                       .when(symbol.isNotNull(), symbol)
-                       .when(formula, norm_formula))
-            return F.struct(out.cast("string").alias("tok"), t.alias("orig"), mention.alias("norm"),
-                            x["f"]["overflow"].alias("overflow"))
-
-        return mat.let(info, body)
-
-    return F.transform(toks, one)
+    def one_of(toks):
+        def one(t, i):
+            info = F.struct(mat.element_name_symbol(t).alias("sym"), mat.formula_info(t).alias("f"))
+
+            def body(x):
+                symbol, formula, norm_formula = x["sym"], x["f"]["simple"], x["f"]["normalized"]
+                out = F.when(F.lit(exclude_punct) & F.array_contains(PUNCT_ARR(), t), F.lit(None))
+                if convert_num:
+                    out = out.when(is_number(t), F.when(_bracketed(toks, i), t).otherwise(F.lit(NUM_TOKEN)))
+                out = (out.when(symbol.isNotNull(), F.lower(t))
+                       .when(formula, norm_formula if normalize_materials else t)
+                       .when(lower_candidate(t), F.lower(t))
+                       .otherwise(t))
+                if accents:
+                    out = remove_accents(out)
+                dropped = F.lit(exclude_punct) & F.array_contains(PUNCT_ARR(), t)
+                numeric = is_number(t) if convert_num else F.lit(False)
+                mention = (F.when(dropped | numeric, F.lit(None).cast("string"))
+                           .when(symbol.isNotNull(), symbol)
+                           .when(formula, norm_formula))
+                return F.struct(out.cast("string").alias("tok"), t.alias("orig"), mention.alias("norm"),
+                                x["f"]["overflow"].alias("overflow"))
+
+            return mat.let(info, body)
+        return one
+
+    return mat.let(toks, lambda tk: F.transform(tk, one_of(tk)))
 
 
 def processed(steps: Column) -> Column:
