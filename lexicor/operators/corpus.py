@@ -12,7 +12,8 @@ Recipes (order matters):
   ``process`` on the result as one flat token list, one line. With
   ``lemmatize=False`` just ``process``.
 * ``s2orc``  - sentence split -> lemma + stop words -> spelling per sentence;
-  ``process`` runs only to detect unprocessable sentences.
+  of ``process`` only the overflow test matters (the original discards the
+  processed tokens), so only that test runs, per token.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
             F.array_join(F.transform("_sents", lambda s: spell(F.array_join(lemma_stop(tx.tokens(s)), " "))),
                          "\n").alias("processed_abstract"),
             F.array().cast("array<struct<original:string,normalized:string>>").alias("materials"),
-            F.exists(process_sentences(F.col("_sents"), **flags), overflow).alias("unprocessable"))
+            F.exists("_sents", lambda s: F.exists(tx.tokens(s), mat.formula_overflows)).alias("unprocessable"))
         out = out.drop("_sents")
     else:
         raise ValueError(f"unknown recipe {recipe!r}")
