@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed_values import (
-    DIATOMIC, DIRECTION_SUFFIX_RE, ELEMENT_NAME_TO_SYMBOL, ELEMENTS, ELEMENTS_AND_NAMES,
+    DIATOMIC, DIRECTION_SUFFIX_RE, ELEMENT_NAME_TO_SYMBOL, ELEMENT_NAMES, ELEMENTS, ELEMENTS_AND_NAMES,
     NUMBER_UNIT_RE, REAL_ELEMENTS, UNIT_SET, VALENCE_INFO_RE, VALENCE_SUFFIX_COMPAT_RE,
     VALENCE_SUFFIX_RE,
 )
@@ -51,7 +51,7 @@ def split_token(t: Column, split_oxidation: bool = True, compat: bool = False) -
     """
     num = F.regexp_extract(t, NUMBER_UNIT_RE, 1)
     unit = F.regexp_extract(t, NUMBER_UNIT_RE, 2)
-    is_unit = t.rlike(NUMBER_UNIT_RE) & F.array_contains(UNITS(), unit)
+    is_unit = t.rlike(NUMBER_UNIT_RE) & unit.isin(*UNIT_SET)
     out = F.when(is_unit, F.array(num, unit))
     if split_oxidation:
         pat = VALENCE_SPLIT_COMPAT_RE if compat else VALENCE_SPLIT_RE
@@ -69,7 +69,8 @@ def element_name_symbol(t: Column) -> Column:
     """Symbol for an element name written lower-case or Capitalised, else null."""
     low = F.lower(t)
     allowed = (t == low) | (t == F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1 << 30)))
-    return F.when(allowed, F.try_element_at(NAME_TO_SYMBOL(), low))
+    # hash-set test first: the map lookup itself scans its keys
+    return F.when(low.isin(*ELEMENT_NAMES) & allowed, F.try_element_at(NAME_TO_SYMBOL(), low))
 
 
 def _pair_gcd(a: Column, b: Column) -> Column:
@@ -108,7 +109,7 @@ def let(value: Column, fn) -> Column:
 
 
 def _is_simple(t: Column, comp: Column) -> Column:
-    real = F.forall(comp, lambda p: F.array_contains(REAL_SYMBOLS(), p["el"]))
+    real = F.forall(comp, lambda p: p["el"].isin(*REAL_ELEMENTS))
     return (~t.rlike(VALENCE_INFO_RE) & t.rlike("[0-9a-z]")
             & (t.isin(*DIATOMIC) | (comp.isNotNull() & (F.size(comp) >= 2) & real)))
 

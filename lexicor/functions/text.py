@@ -14,6 +14,7 @@ import zipfile
 from functools import lru_cache
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +35,18 @@ def _lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def PUNCT_ARR() -> Column:
-    return _lit_array(sorted(set(PUNCT)))
+_PUNCT_SET = sorted(set(PUNCT))
+_SYMBOLS_OR_UNITS = sorted(set(ELEMENTS) | set(SPLIT_UNITS))
 
 
-def SYMBOLS_OR_UNITS() -> Column:
-    return _lit_array(sorted(set(ELEMENTS) | set(SPLIT_UNITS)))
+def is_punct(t: Column) -> Column:
+    """Membership as ``IN`` over literals: the optimizer turns it into a hash
+    set lookup (a literal array would be scanned linearly per token)."""
+    return t.isin(*_PUNCT_SET)
+
+
+def is_symbol_or_unit(t: Column) -> Column:
+    return t.isin(*_SYMBOLS_OR_UNITS)
 
 
 # ------------------------------------------------------------------ T1, T18
@@ -97,7 +104,7 @@ def lower_candidate(t: Column) -> Column:
     symbol, a unit, or an element with a crystal direction."""
     shape = (F.length(t) == 1) | ((F.length(t) > 1) & _is_upper(F.substring(t, 1, 1))
                                   & _is_lower(F.substring(t, 2, 1 << 30)))
-    return shape & ~F.array_contains(SYMBOLS_OR_UNITS(), t) & ~mat.has_direction(t)
+    return shape & ~is_symbol_or_unit(t) & ~mat.has_direction(t)
 
 
 @lru_cache(maxsize=1)
@@ -127,7 +134,7 @@ def remove_accents(t: Column) -> Column:
     out = F.translate(t, src, dst)
     for a, b in specials:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.when(F.length(t) > 1, out).otherwise(t)
+    return F.when((F.length(t) > 1) & t.rlike(r"[^\x00-\x7F]"), out).otherwise(t)
 
 
 def process_tokens(toks: Column, exclude_punct: bool = False, convert_num: bool = True,
@@ -140,21 +147,22 @@ def process_tokens(toks: Column, exclude_punct: bool = False, convert_num: bool
     """
     def one_of(toks):
         def one(t, i):
-            info = F.struct(mat.element_name_symbol(t).alias("sym"), mat.formula_info(t).alias("f"))
+            info = F.struct(mat.element_name_symbol(t).alias("sym"), mat.formula_info(t).alias("f"),
+                            (is_number(t) if convert_num else F.lit(False)).alias("num"))
 
             def body(x):
                 symbol, formula, norm_formula = x["sym"], x["f"]["simple"], x["f"]["normalized"]
-                out = F.when(F.lit(exclude_punct) & F.array_contains(PUNCT_ARR(), t), F.lit(None))
+                out = F.when(F.lit(exclude_punct) & is_punct(t), F.lit(None))
                 if convert_num:
-                    out = out.when(is_number(t), F.when(_bracketed(toks, i), t).otherwise(F.lit(NUM_TOKEN)))
+                    out = out.when(x["num"], F.when(_bracketed(toks, i), t).otherwise(F.lit(NUM_TOKEN)))
                 out = (out.when(symbol.isNotNull(), F.lower(t))
                        .when(formula, norm_formula if normalize_materials else t)
                        .when(lower_candidate(t), F.lower(t))
                        .otherwise(t))
                 if accents:
                     out = remove_accents(out)
-                dropped = F.lit(exclude_punct) & F.array_contains(PUNCT_ARR(), t)
-                numeric = is_number(t) if convert_num else F.lit(False)
+                dropped = F.lit(exclude_punct) & is_punct(t)
+                numeric = x["num"]
                 mention = (F.when(dropped | numeric, F.lit(None).cast("string"))
                            .when(symbol.isNotNull(), symbol)
                            .when(formula, norm_formula))
@@ -195,36 +203,54 @@ def default_stop_words() -> tuple[str, ...]:
 def remove_stop_words(toks: Column, stop_words=None) -> Column:
     """Drop tokens whose lower-case form is a stop word (order and
     repeats of the other tokens are kept)."""
-    stop = _lit_array(sorted(set(stop_words or default_stop_words())))
-    return F.filter(toks, lambda t: ~F.array_contains(stop, F.lower(t)))
+    stop = sorted(set(stop_words or default_stop_words()))
+    return F.filter(toks, lambda t: ~F.lower(t).isin(*stop))
 
 
 def remove_punct(toks: Column) -> Column:
     """T5: drop punctuation tokens."""
-    return F.filter(toks, lambda t: ~F.array_contains(PUNCT_ARR(), t))
+    return F.filter(toks, lambda t: ~is_punct(t))
 
 
 MAX_DICTIONARY_ROWS = 2_000_000
 
 
-def attach_lemma_map(df: DataFrame, lemmas: DataFrame, column: str = "_lemmas",
-                     max_rows: int = MAX_DICTIONARY_ROWS) -> DataFrame:
-    """Attach a ``form -> lemma`` map built from a lemma table (one value,
-    computed once). The table size is checked first: a dictionary above
-    ``max_rows`` must go through ``lemmatize_by_join`` instead."""
-    table = (lemmas.where(F.col("form").isNotNull())
-             .groupBy("form").agg(F.min("lemma").alias("lemma")).persist())
+def broadcast_dictionary(table: DataFrame, key_col: str, value_col: str | None = None,
+                         max_rows: int = MAX_DICTIONARY_ROWS):
+    """A lookup table as a broadcast Python dict (or set when ``value_col`` is
+    None). The row count is checked first; above ``max_rows`` callers take
+    their join path instead. Spark's own map lookups scan keys linearly, so a
+    large dictionary must not be a map value."""
+    spark = table.sparkSession
     n = table.count()
     if n > max_rows:
-        table.unpersist()
-        raise ValueError(f"lemma table has {n} rows > {max_rows}; use lemmatize_by_join")
-    value = table.select(F.map_from_entries(F.collect_list(F.struct("form", "lemma")))).scalar()
-    return df.withColumn(column, F.coalesce(value, F.create_map().cast("map<string,string>")))
-
-
-def lemmatize(toks: Column, lemma_map: Column) -> Column:
-    """Each token replaced by its lemma when the map has one."""
-    return F.transform(toks, lambda t: F.coalesce(F.element_at(lemma_map, t), t))
+        raise ValueError(f"dictionary has {n} rows > {max_rows}")
+    if value_col is None:
+        value = {r[0] for r in table.select(key_col).collect()}
+    else:
+        value = {}
+        for k, val in table.select(key_col, value_col).collect():
+            if k is not None and (k not in value or val < value[k]):
+                value[k] = val
+    return spark.sparkContext.broadcast(value)
+
+
+def lemmatize(toks: Column, lemmas, nested: bool = False) -> Column:
+    """Every token replaced by its lemma (``lemmas``: broadcast dict from
+    ``broadcast_dictionary``). Arrow-batched: one dict lookup per token.
+    ``nested=True`` takes an array of token arrays (one per sentence)."""
+    rtype = "array<array<string>>" if nested else "array<string>"
+
+    @F.pandas_udf(rtype)
+    def lookup(col: pd.Series) -> pd.Series:
+        d = lemmas.value
+        if nested:
+            return pd.Series([None if row is None else [[d.get(t, t) for t in s] for s in row] for row in col])
+        return pd.Series([None if row is None else [d.get(t, t) for t in row] for row in col])
+
+    # Nondeterministic only as an optimizer barrier: the UDF must stay in its
+    # own projection, never be inlined into a consumer's lambda.
+    return lookup.asNondeterministic()(toks)
 
 
 def lemmatize_by_join(tok_rows: DataFrame, lemmas: DataFrame, token_col: str = "token") -> DataFrame:

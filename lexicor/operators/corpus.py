@@ -47,16 +47,14 @@ def process_sentences(sents: Column, **flags) -> Column:
 
 
 def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
-              lemma_map: Column | None = None, spelling: Column | None = None,
+              lemmas=None, spelling: Column | None = None,
               stop_words=None, lemmatize: bool = True, **flags) -> DataFrame:
     """Adds ``processed_abstract``, ``materials`` (T13 mentions) and
-    ``unprocessable`` (F3) to ``docs`` using the named recipe."""
+    ``unprocessable`` (F3) to ``docs`` using the named recipe. ``lemmas`` is
+    a broadcast dictionary (``text.broadcast_dictionary``); ``spelling`` the
+    ordered pair array attached by ``text.attach_spelling``."""
     text = F.col(text_col)
 
-    def lemma_stop(toks: Column) -> Column:
-        out = tx.remove_stop_words(toks, stop_words)
-        return tx.lemmatize(out, lemma_map) if lemma_map is not None else out
-
     def spell(s: Column) -> Column:
         return tx.fold_spelling(s, spelling) if spelling is not None else s
 
@@ -69,36 +67,45 @@ def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
             F.flatten(F.transform("_steps", tx.mentions)).alias("materials"),
             F.exists("_steps", overflow).alias("unprocessable"))
     elif recipe == "loader":
-        toks = F.flatten(F.transform(tx.sentences(text), lambda s: tx.tokens(s)))
-        base = spell(F.array_join(lemma_stop(toks), " ")) if lemmatize else text
-        flat = F.flatten(F.transform(tx.sentences(base), lambda s: tx.tokens(s)))
+        if lemmatize:
+            toks = tx.remove_stop_words(F.flatten(F.transform(tx.sentences(text), lambda s: tx.tokens(s))),
+                                        stop_words)
+            if lemmas is not None:
+                toks = tx.lemmatize(toks, lemmas)
+            docs = docs.withColumn("_base", spell(F.array_join(toks, " ")))
+        else:
+            docs = docs.withColumn("_base", text)
+        flat = F.flatten(F.transform(tx.sentences(F.col("_base")), lambda s: tx.tokens(s)))
         out = docs.withColumn("_steps", tx.process_tokens(flat, **flags)).select(
             "*", F.array_join(tx.processed(F.col("_steps")), " ").alias("processed_abstract"),
             tx.mentions(F.col("_steps")).alias("materials"),
-            overflow(F.col("_steps")).alias("unprocessable"))
+            overflow(F.col("_steps")).alias("unprocessable")).drop("_base")
     elif recipe == "s2orc":
-        sents = tx.sentences(text)
-        out = docs.withColumn("_sents", sents).select(
+        staged = docs.withColumn("_sents", tx.sentences(text)).withColumn(
+            "_kept", F.transform("_sents", lambda s: tx.remove_stop_words(tx.tokens(s), stop_words)))
+        if lemmas is not None:
+            staged = staged.withColumn("_kept", tx.lemmatize(F.col("_kept"), lemmas, nested=True))
+        out = staged.select(
             "*",
-            F.array_join(F.transform("_sents", lambda s: spell(F.array_join(lemma_stop(tx.tokens(s)), " "))),
-                         "\n").alias("processed_abstract"),
+            F.array_join(F.transform("_kept", lambda k: spell(F.array_join(k, " "))), "\n")
+            .alias("processed_abstract"),
             F.array().cast("array<struct<original:string,normalized:string>>").alias("materials"),
             F.exists("_sents", lambda s: F.exists(tx.tokens(s), mat.formula_overflows)).alias("unprocessable"))
-        out = out.drop("_sents")
+        out = out.drop("_sents", "_kept")
     else:
         raise ValueError(f"unknown recipe {recipe!r}")
     return out.drop("_steps")
 
 
-def clean_corpus(articles: DataFrame, tag: str, *, lemma_map: Column | None = None,
+def clean_corpus(articles: DataFrame, tag: str, *, lemmas=None,
                  spelling: Column | None = None, stop_words=None,
                  text_col: str = "processed_abstract") -> DataFrame:
     """Tag filter -> lemma + stop words -> spelling, one record per article."""
     sel = articles.where(F.array_contains("tags", tag))
     toks = F.flatten(F.transform(F.split(F.col(text_col), "\n"), lambda s: tx.tokens(s)))
     out = tx.remove_stop_words(toks, stop_words)
-    if lemma_map is not None:
-        out = tx.lemmatize(out, lemma_map)
+    if lemmas is not None:
+        out = tx.lemmatize(out, lemmas)
     cleaned = F.array_join(out, " ")
     if spelling is not None:
         cleaned = tx.fold_spelling(cleaned, spelling)

@@ -233,3 +233,21 @@ def keyword_hits(spark, sf_dir):
     kw = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("kw_id"), F.col("text").alias("keyword"))
     hits = search.keyword_hits(docs, kw, text_col="text")
     return hits.select(F.col("kw_id").alias("item_id"), "doc_id")
+
+
+@register("tagged_corpus_size", "WITH " + _ART_SQL.strip() + """,
+st AS (SELECT key_type, key, list_distinct(flatten(list(tags))) AS tags FROM tagged GROUP BY ALL),
+w AS (SELECT unnest(['quality', 'clean', '""" + GENERAL_TAG + """', 'dataset1']) AS tag)
+SELECT w.tag, (SELECT count(*) FROM st WHERE list_contains(st.tags, w.tag)) AS n FROM w""")
+def tagged_corpus_size(spark, sf_dir):
+    """S9 + A4: per tag, the size of the corpus a training job would read
+    (rows of the store whose tag set holds the tag; absent tag -> 0)."""
+    from ..sources.providers import tagged_corpus
+
+    store, _, _ = _two_batch_store(spark, sf_dir)
+    parts = [tagged_corpus(store, t, "key").agg(F.lit(t).alias("tag"), F.count("*").alias("n"))
+             for t in ["quality", "clean", GENERAL_TAG, "dataset1"]]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

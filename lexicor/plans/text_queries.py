@@ -241,11 +241,11 @@ def _documents(spark, sf_dir):
 
 
 def _with_dictionaries(spark, docs):
-    """Lemma map derived from the corpus vocabulary and the spelling list,
-    attached as one value each (size-checked)."""
-    lemmas = plural_lemmas(corpus.token_rows(docs.select("doc_id", "text")))
-    out = tx.attach_lemma_map(docs, lemmas)
-    return tx.attach_spelling(out, spelling_table(spark, SPELLING_GB_US))
+    """Spelling list attached as one value, and the lemma dictionary derived
+    from the corpus vocabulary as a broadcast lookup (both size-checked)."""
+    lemmas = tx.broadcast_dictionary(plural_lemmas(corpus.token_rows(docs.select("doc_id", "text"))),
+                                     "form", "lemma")
+    return tx.attach_spelling(docs, spelling_table(spark, SPELLING_GB_US)), lemmas
 
 
 def _spell_sql(x: str) -> str:
@@ -273,11 +273,12 @@ SELECT k.doc_id, k.sent_no, array_to_string({_lemma_sql(S.stop_filter('k.toks',
 FROM k, lm""")
 def lemma_lookup(spark, sf_dir):
     """T16 + T15: stop words dropped, then every token replaced by its lemma
-    (lemma table derived from the corpus vocabulary, applied as one map)."""
+    (lemma table derived from the corpus vocabulary, a broadcast lookup)."""
     docs = _documents(spark, sf_dir)
-    lemmas = plural_lemmas(corpus.token_rows(docs.select("doc_id", "text")))
-    s = tx.attach_lemma_map(_sentence_tokens(spark, sf_dir), lemmas)
-    out = tx.lemmatize(tx.remove_stop_words(F.col("toks")), F.col("_lemmas"))
+    lemmas = tx.broadcast_dictionary(plural_lemmas(corpus.token_rows(docs.select("doc_id", "text"))),
+                                     "form", "lemma")
+    s = _sentence_tokens(spark, sf_dir)
+    out = tx.lemmatize(tx.remove_stop_words(F.col("toks")), lemmas)
     return s.select("doc_id", "sent_no", F.array_join(out, " ").alias("lemmatized"))
 
 
@@ -314,8 +315,8 @@ SELECT doc_id, array_to_string({S.process('toks')}, ' ') AS processed_abstract F
 def normalise_loader(spark, sf_dir):
     """Loader recipe: stop words + lemmas over the whole text -> spelling ->
     the token pipeline on one flat token list."""
-    docs = _with_dictionaries(spark, _documents(spark, sf_dir))
-    out = corpus.normalise(docs, "loader", lemma_map=F.col("_lemmas"), spelling=F.col("_spelling"))
+    docs, lemmas = _with_dictionaries(spark, _documents(spark, sf_dir))
+    out = corpus.normalise(docs, "loader", lemmas=lemmas, spelling=F.col("_spelling"))
     return out.select("doc_id", "processed_abstract")
 
 
@@ -329,8 +330,8 @@ FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id""")
 def normalise_s2orc(spark, sf_dir):
     """S2ORC recipe: per sentence stop words + lemmas -> spelling; the token
     pipeline only decides whether the article is unprocessable."""
-    docs = _with_dictionaries(spark, _documents(spark, sf_dir))
-    out = corpus.normalise(docs, "s2orc", lemma_map=F.col("_lemmas"), spelling=F.col("_spelling"))
+    docs, lemmas = _with_dictionaries(spark, _documents(spark, sf_dir))
+    out = corpus.normalise(docs, "s2orc", lemmas=lemmas, spelling=F.col("_spelling"))
     return out.select("doc_id", "processed_abstract", "unprocessable")
 
 
@@ -345,6 +346,23 @@ def clean_corpus_query(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     articles = docs.select("doc_id", F.col("text").alias("processed_abstract"),
                            F.array("lang", "source").alias("tags"))
-    lemmas = plural_lemmas(corpus.token_rows(docs.select("doc_id", "text")))
-    articles = tx.attach_spelling(tx.attach_lemma_map(articles, lemmas), spelling_table(spark, SPELLING_GB_US))
-    return corpus.clean_corpus(articles, "en", lemma_map=F.col("_lemmas"), spelling=F.col("_spelling"))
+    lemmas = tx.broadcast_dictionary(plural_lemmas(corpus.token_rows(docs.select("doc_id", "text"))),
+                                     "form", "lemma")
+    articles = tx.attach_spelling(articles, spelling_table(spark, SPELLING_GB_US))
+    return corpus.clean_corpus(articles, "en", lemmas=lemmas, spelling=F.col("_spelling"))
+
+
+@register("corpus_text_roundtrip", _LEMMA_CTE + f"""
+, c AS (SELECT d.doc_id, flatten(list_transform(string_split(d.text, chr(10)), lambda x_c: {S.tokens('x_c')})) AS toks
+        FROM documents d WHERE d.lang = 'en')
+SELECT {_spell_sql(f"array_to_string({_lemma_sql(S.stop_filter('c.toks', _STOP))}, ' ')")} AS cleaned
+FROM c, lm""")
+def corpus_text_roundtrip(spark, sf_dir):
+    """T19 + S11: the cleaned corpus written as text records separated by
+    ``\\n+++\\n`` under the checkpoint folder and read back record by record."""
+    from ..functions.fixed_values import CORPUS_RECORD_SEP
+    from ..session import scratch_path
+
+    path = scratch_path(spark, "clean-corpus")
+    corpus.write_corpus_text(clean_corpus_query(spark, sf_dir), path)
+    return spark.read.option("lineSep", CORPUS_RECORD_SEP).text(path).select(F.col("value").alias("cleaned"))

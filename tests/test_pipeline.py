@@ -86,3 +86,47 @@ def test_entry_contract(spark):
     assert df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert df.columns == ["query_id", "rank", "neighbour_id", "similarity"]
+
+
+def test_corpus_text_sink_round_trip(spark, tmp_path):
+    from lexicor.functions.fixed_values import CORPUS_RECORD_SEP
+    from lexicor.operators import corpus
+    df = spark.createDataFrame([("a b\nc",), ("d e",), ("f",)], "cleaned string")
+    corpus.write_corpus_text(df, str(tmp_path / "out"))
+    back = spark.read.option("lineSep", CORPUS_RECORD_SEP).text(str(tmp_path / "out"))
+    assert sorted(r.value for r in back.collect()) == ["a b\nc", "d e", "f"]
+
+
+def test_model_and_phrase_table_round_trip(spark, tmp_path):
+    from lexicor.operators import embeddings as em
+    from lexicor.operators import phrases as ph
+    from lexicor.operators import relevance as rel
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad other text ") * 3, float(i % 2))
+                                  for i in range(40)], "doc_id long, text string, label double")
+    model = rel.fit_classifier(docs)
+    rel.save_model(model, str(tmp_path / "clf"))
+    again = rel.load_model(str(tmp_path / "clf"))
+    p1 = [r.prediction for r in rel.predict(model, docs).orderBy("doc_id").collect()]
+    p2 = [r.prediction for r in rel.predict(again, docs).orderBy("doc_id").collect()]
+    assert p1 == p2 == [i % 2 for i in range(40)]
+    sents = spark.createDataFrame([(i, 0, ["new", "york", "is", "big"] if i % 3 else ["old", "new", "york"])
+                                   for i in range(60)], "doc_id long, sent_no int, toks array<string>")
+    merged, tables = ph.phrase_passes(sents, depth=2, min_count=2, threshold=0.1)
+    em.save_phrase_tables(tables, str(tmp_path / "phr"))
+    loaded = em.load_phrase_tables(spark, str(tmp_path / "phr"))
+    replay = ph.make_phrases(sents, loaded)
+    assert sorted(map(tuple, (r.toks for r in replay.collect()))) == \
+        sorted(map(tuple, (r.toks for r in merged.collect())))
+
+
+def test_search_filter_and_tag_scan(spark):
+    from lexicor.operators.search import search_filter
+    from lexicor.sources.providers import tagged_corpus
+    df = spark.createDataFrame([("Journal", "Food", "Beef flavour study", ["dataset1"]),
+                                ("Book", "Food", "beef", ["dataset1"]),
+                                ("Journal", "Chem", "beef", ["x"])],
+                               "type string, subject string, abstract string, tags array<string>")
+    assert df.where(search_filter(df, subject="Food", keyword="BEEF")).count() == 1
+    assert df.where(search_filter(df)).count() == 2
+    scan = tagged_corpus(df.withColumnRenamed("abstract", "processed_abstract"), "dataset1")
+    assert scan.columns == ["processed_abstract"] and scan.count() == 2
