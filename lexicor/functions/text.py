@@ -222,14 +222,16 @@ def broadcast_dictionary(table: DataFrame, key_col: str, value_col: str | None =
     their join path instead. Spark's own map lookups scan keys linearly, so a
     large dictionary must not be a map value."""
     spark = table.sparkSession
-    n = table.count()
-    if n > max_rows:
-        raise ValueError(f"dictionary has {n} rows > {max_rows}")
+    cols = [key_col] if value_col is None else [key_col, value_col]
+    # one bounded pass: the size check and the rows come from the same job
+    rows = table.select(*cols).limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"dictionary has more than {max_rows} rows")
     if value_col is None:
-        value = {r[0] for r in table.select(key_col).collect()}
+        value = {r[0] for r in rows}
     else:
         value = {}
-        for k, val in table.select(key_col, value_col).collect():
+        for k, val in rows:
             if k is not None and (k not in value or val < value[k]):
                 value[k] = val
     return spark.sparkContext.broadcast(value)

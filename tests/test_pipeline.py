@@ -130,3 +130,12 @@ def test_search_filter_and_tag_scan(spark):
     assert df.where(search_filter(df)).count() == 2
     scan = tagged_corpus(df.withColumnRenamed("abstract", "processed_abstract"), "dataset1")
     assert scan.columns == ["processed_abstract"] and scan.count() == 2
+
+
+def test_continue_training_refits_on_old_and_new(spark):
+    from lexicor.operators import embeddings as em
+    old = spark.createDataFrame([(["a", "b", "c", "d"],)] * 50, "toks array<string>")
+    new = spark.createDataFrame([(["e", "f", "a", "b"],)] * 50, "toks array<string>")
+    model = em.continue_training(old, new, dims=8, epochs=2, partitions=1, min_count=1)
+    words = {r.word for r in em.word_vectors(model).collect()}
+    assert words == {"a", "b", "c", "d", "e", "f"}
