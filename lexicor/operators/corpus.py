@@ -81,8 +81,10 @@ def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
             tx.mentions(F.col("_steps")).alias("materials"),
             overflow(F.col("_steps")).alias("unprocessable")).drop("_base")
     elif recipe == "s2orc":
-        staged = docs.withColumn("_sents", tx.sentences(text)).withColumn(
-            "_kept", F.transform("_sents", lambda s: tx.remove_stop_words(tx.tokens(s), stop_words)))
+        # sentence tokens are projected once and read by two consumers (two
+        # references keep the optimizer from inlining the tokenisation twice)
+        staged = docs.withColumn("_stoks", F.transform(tx.sentences(text), lambda s: tx.tokens(s))).withColumn(
+            "_kept", F.transform("_stoks", lambda tk: tx.remove_stop_words(tk, stop_words)))
         if lemmas is not None:
             staged = staged.withColumn("_kept", tx.lemmatize(F.col("_kept"), lemmas, nested=True))
         out = staged.select(
@@ -90,8 +92,8 @@ def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
             F.array_join(F.transform("_kept", lambda k: spell(F.array_join(k, " "))), "\n")
             .alias("processed_abstract"),
             F.array().cast("array<struct<original:string,normalized:string>>").alias("materials"),
-            F.exists("_sents", lambda s: F.exists(tx.tokens(s), mat.formula_overflows)).alias("unprocessable"))
-        out = out.drop("_sents", "_kept")
+            F.exists("_stoks", lambda tk: F.exists(tk, mat.formula_overflows)).alias("unprocessable"))
+        out = out.drop("_stoks", "_kept")
     else:
         raise ValueError(f"unknown recipe {recipe!r}")
     return out.drop("_steps")
