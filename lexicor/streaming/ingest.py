@@ -46,10 +46,10 @@ def latest_store(spark: SparkSession, root: str) -> DataFrame | None:
 
 def stream_s2orc(spark: SparkSession, source_dir: str, store_root: str, checkpoint: str, *,
                  models=None, general_tag: str | None = None, max_files_per_trigger: int = 1,
-                 recipe: str = "api"):
+                 recipe: str = "api", glob: str = "*.jsonl"):
     """Run the S2ORC ingest over every file now in ``source_dir`` and stop."""
     stream = (spark.readStream.schema(S2ORC_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-              .option("pathGlobFilter", "*.jsonl").json(source_dir))
+              .option("pathGlobFilter", glob).json(source_dir))
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         version = epoch_id + 1
