@@ -20,9 +20,15 @@ _ALT = "|".join(ELEMENTS_AND_NAMES)
 VALENCE_SPLIT_RE = r"^(" + _ALT + r")" + VALENCE_SUFFIX_RE + r"$"
 VALENCE_SPLIT_COMPAT_RE = r"^(" + _ALT + r")" + VALENCE_SUFFIX_COMPAT_RE + r"$"
 DIRECTION_RE = r"^(" + _ALT + r")" + DIRECTION_SUFFIX_RE
-# A formula without parentheses: element symbols, each with an optional amount.
-FORMULA_SHAPE_RE = r"^(?:[A-Z][a-z]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)?)+$"
+# A formula: element symbols with optional amounts, and groups of them in
+# parentheses with an optional factor, e.g. Ca(OH)2 (one level of grouping).
+_AMT = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)?"
+FORMULA_SHAPE_RE = r"^(?:[A-Z][a-z]?" + _AMT + r"|\((?:[A-Z][a-z]?" + _AMT + r")+\)" + _AMT + r")+$"
 FORMULA_PAIR_RE = r"([A-Z][a-z]?)([0-9]+\.?[0-9]*|\.[0-9]+)?"
+# One unit of a formula: a parenthesised group (1: members, 2: factor) or an
+# element (3: symbol, 4: amount).
+FORMULA_UNIT_RE = (r"\(((?:[A-Z][a-z]?" + _AMT + r")+)\)([0-9]+\.?[0-9]*|\.[0-9]+)?"
+                   r"|([A-Z][a-z]?)([0-9]+\.?[0-9]*|\.[0-9]+)?")
 GCD_TOLERANCE = 1.0 / 1000
 _EUCLID_STEPS = 64
 
@@ -83,22 +89,38 @@ def _pair_gcd(a: Column, b: Column) -> Column:
     return step["a"]
 
 
+def _amount(a: Column, default: Column) -> Column:
+    return F.when(a == "", default).otherwise(a.cast("double"))
+
+
 def formula_composition(t: Column) -> Column:
-    """Parsed composition ``ARRAY<STRUCT<el, amt>>`` (duplicates summed, zero
-    amounts dropped) of a parenthesis-free formula, else null."""
-    syms = F.regexp_extract_all(t, F.lit(FORMULA_PAIR_RE), 1)
-    amts = F.regexp_extract_all(t, F.lit(FORMULA_PAIR_RE), 2)
-    pairs = F.arrays_zip(syms.alias("el"), amts.alias("amt"))
-    parsed = F.transform(pairs, lambda p: F.struct(
-        p["el"].alias("el"),
-        F.when(p["amt"] == "", F.lit(1.0)).otherwise(p["amt"].cast("double")).alias("amt")))
-    distinct = F.array_distinct(syms)
-    summed = F.transform(distinct, lambda e: F.struct(
-        e.alias("el"),
-        F.aggregate(F.filter(parsed, lambda p: p["el"] == e), F.lit(0.0),
-                    lambda acc, p: acc + p["amt"]).alias("amt")))
-    nonzero = F.filter(summed, lambda p: p["amt"] > 1e-8)
-    return F.when(t.rlike(FORMULA_SHAPE_RE), nonzero)
+    """Parsed composition ``ARRAY<STRUCT<el, amt>>`` (groups expanded with
+    their factor, duplicates summed in order of first appearance, zero
+    amounts dropped) of a formula, else null."""
+    unit_re = F.lit(FORMULA_UNIT_RE)
+    inner = F.regexp_extract_all(t, unit_re, 1)
+    factor = F.regexp_extract_all(t, unit_re, 2)
+    sym = F.regexp_extract_all(t, unit_re, 3)
+    amt = F.regexp_extract_all(t, unit_re, 4)
+
+    def unit(g, i):
+        f = _amount(F.get(factor, i), F.lit(1.0))
+        members = F.arrays_zip(F.regexp_extract_all(g, F.lit(FORMULA_PAIR_RE), 1).alias("el"),
+                               F.regexp_extract_all(g, F.lit(FORMULA_PAIR_RE), 2).alias("amt"))
+        grouped = F.transform(members, lambda p: F.struct(p["el"].alias("el"),
+                                                          (_amount(p["amt"], F.lit(1.0)) * f).alias("amt")))
+        single = F.array(F.struct(F.get(sym, i).alias("el"), _amount(F.get(amt, i), F.lit(1.0)).alias("amt")))
+        return F.when(g != "", grouped).otherwise(single)
+
+    def summed(parsed):
+        names = F.array_distinct(F.transform(parsed, lambda p: p["el"]))
+        tot = F.transform(names, lambda e: F.struct(
+            e.alias("el"),
+            F.aggregate(F.filter(parsed, lambda p: p["el"] == e), F.lit(0.0), lambda acc, p: acc + p["amt"])
+            .alias("amt")))
+        return F.filter(tot, lambda p: p["amt"] > 1e-8)
+
+    return F.when(t.rlike(FORMULA_SHAPE_RE), let(F.flatten(F.transform(inner, unit)), summed))
 
 
 def let(value: Column, fn) -> Column:

@@ -24,10 +24,13 @@ from .fixed_values import NUM_TOKEN, NUMBER_RE, PARAGRAPH_MARKER, PUNCT, SPLIT_U
 # Sentence boundary: ., ! or ? followed by blanks, or a line break.
 SENTENCE_END_RE = r"([.!?])[ \t]+"
 EDGE_BLANKS_RE = r"^[ \t\r]+|[ \t\r]+$"
-# A token: letters/digits (with inner decimal points or commas followed by a
-# digit, and an optional parenthesised numeral or number such as Fe(II),
-# Si(111) or 1.2(3)), or any single other visible character.
-TOKEN_RE = (r"[\p{L}\p{M}\p{N}]+(?:[.,]\p{N}[\p{L}\p{M}\p{N}]*)*(?:\((?:\p{N}+|[IVXivx]+)\))?"
+_EL = r"[A-Z][a-z]?(?:[0-9]+(?:\.[0-9]+)?)?"
+# A token: a chemical formula with parenthesised groups (Ca(OH)2) kept whole;
+# letters/digits (with inner decimal points or commas followed by a digit,
+# and an optional parenthesised numeral or number such as Fe(II), Si(111) or
+# 1.2(3)); or any single other visible character.
+TOKEN_RE = (r"(?:" + _EL + r")*(?:\((?:" + _EL + r")+\)(?:[0-9]+(?:\.[0-9]+)?)?)+(?:" + _EL + r")*"
+            r"|[\p{L}\p{M}\p{N}]+(?:[.,]\p{N}[\p{L}\p{M}\p{N}]*)*(?:\((?:\p{N}+|[IVXivx]+)\))?"
             r"|[^\p{Z}\t\n\x0B\f\r\p{L}\p{M}\p{N}]")
 
 

@@ -72,16 +72,26 @@ def element_symbol(t: str) -> str:
     return f"(CASE WHEN {allowed} THEN map_extract_value({NAME_MAP}, {low}) END)"
 
 
+def _amt(x: str, default: str = "1.0::DOUBLE") -> str:
+    return f"(CASE WHEN coalesce({x}, '') = '' THEN {default} ELSE ({x})::DOUBLE END)"
+
+
 def composition(t: str) -> str:
-    syms = f"regexp_extract_all({t}, {q(mat.FORMULA_PAIR_RE)}, 1)"
-    amts = f"regexp_extract_all({t}, {q(mat.FORMULA_PAIR_RE)}, 2)"
-    e, i, p, p2, e2, i2, z = v("e"), v("i"), v("p"), v("p"), v("e"), v("i"), v("z")
-    parsed = (f"list_transform({syms}, lambda {e}, {i}: {{'el': {e}, 'amt': CASE WHEN coalesce({amts}[{i}], '') = '' "
-              f"THEN 1.0::DOUBLE ELSE {amts}[{i}]::DOUBLE END}})")
-    distinct = f"list_filter({syms}, lambda {e2}, {i2}: list_position({syms}, {e2}) = {i2})"
+    unit = q(mat.FORMULA_UNIT_RE)
+    pair = q(mat.FORMULA_PAIR_RE)
+    inner, factor = f"regexp_extract_all({t}, {unit}, 1)", f"regexp_extract_all({t}, {unit}, 2)"
+    sym, amt = f"regexp_extract_all({t}, {unit}, 3)", f"regexp_extract_all({t}, {unit}, 4)"
+    g, i, e, j = v("g"), v("i"), v("e"), v("j")
+    members = (f"list_transform(regexp_extract_all({g}, {pair}, 1), lambda {e}, {j}: {{'el': {e}, "
+               f"'amt': {_amt(f'regexp_extract_all({g}, {pair}, 2)[{j}]')} * {_amt(f'{factor}[{i}]')}}})")
+    single = f"[{{'el': {sym}[{i}], 'amt': {_amt(f'{amt}[{i}]')}}}]"
+    parsed = (f"flatten(list_transform({inner}, lambda {g}, {i}: CASE WHEN coalesce({g}, '') <> '' "
+              f"THEN {members} ELSE {single} END))")
+    p, x, n, k, z, p2, p3, w = v("p"), v("x"), v("n"), v("k"), v("z"), v("p"), v("p"), v("w")
+    names = f"list_transform({parsed}, lambda {p}: {p}.el)"
+    distinct = f"list_filter({names}, lambda {n}, {k}: list_position({names}, {n}) = {k})"
     summed = (f"list_transform({distinct}, lambda {z}: {{'el': {z}, 'amt': list_sum(list_transform("
-              f"list_filter({parsed}, lambda {p}: {p}.el = {z}), lambda {p2}: {p2}.amt))}})")
-    w = v("w")
+              f"list_filter({parsed}, lambda {p2}: {p2}.el = {z}), lambda {p3}: {p3}.amt))}})")
     return (f"(CASE WHEN regexp_matches({t}, {q(mat.FORMULA_SHAPE_RE)}) THEN "
             f"list_filter({summed}, lambda {w}: {w}.amt > 1e-8) END)")
 

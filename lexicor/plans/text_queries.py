@@ -366,3 +366,25 @@ def corpus_text_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "clean-corpus")
     corpus.write_corpus_text(clean_corpus_query(spark, sf_dir), path)
     return spark.read.option("lineSep", CORPUS_RECORD_SEP).text(path).select(F.col("value").alias("cleaned"))
+
+
+_G_TOKEN_SQL = (f"{_pick_sql(ELEMENTS, 'l_suppkey')} || '(' || {_pick_sql(ELEMENTS, 'l_partkey')} || "
+                f"{_pick_sql(_AMOUNTS, 'l_linenumber')} || {_pick_sql(ELEMENTS, 'l_partkey + 7')} || ')' || "
+                f"{_pick_sql(_AMOUNTS, 'CAST(l_quantity AS BIGINT)')}")
+
+
+@register("formula_groups", f"""
+WITH k AS (SELECT l_orderkey, l_linenumber, {_G_TOKEN_SQL} AS token FROM lineitem)
+SELECT l_orderkey, l_linenumber, token, {S.is_formula('token')} AS is_formula,
+       CASE WHEN {S.is_formula('token')} THEN {S.normalized_formula('token')} END AS normalized FROM k""")
+def formula_groups(spark, sf_dir):
+    """T9/T10 with a parenthesised group: members multiplied by the group
+    factor, then the gcd normalisation (``Ca(OH)2`` -> ``CaH2O2``)."""
+    li = _lineitem(spark, sf_dir)
+    token = F.concat(_pick(ELEMENTS, F.col("l_suppkey")), F.lit("("), _pick(ELEMENTS, F.col("l_partkey")),
+                     _pick(_AMOUNTS, F.col("l_linenumber")), _pick(ELEMENTS, F.col("l_partkey") + 7), F.lit(")"),
+                     _pick(_AMOUNTS, F.col("l_quantity").cast("long")))
+    info = mat.formula_info(F.col("token"))
+    return li.select("l_orderkey", "l_linenumber", token.alias("token")).withColumn("_f", info).select(
+        "l_orderkey", "l_linenumber", "token", F.col("_f.simple").alias("is_formula"),
+        F.col("_f.normalized").alias("normalized"))

@@ -89,3 +89,11 @@ def test_term_display_and_label(spark):
     df = spark.createDataFrame([("flavor", [("plant", True), ("animal", False)])],
                                "term string, vectors array<struct<term:string,positive:boolean>>")
     assert df.select(query_label(F.col("term"), F.col("vectors"))).first()[0] == "flavor + plant - animal"
+
+
+def test_formulas_with_groups(spark):
+    toks = col_values(spark, tx.tokens(F.col("t")), ["Ca(OH)2 in water, Fe(III) and Si(111) word(s)"])
+    assert toks == [["Ca(OH)2", "in", "water", ",", "Fe", "(III)", "and", "Si(111)", "word", "(", "s", ")"]]
+    vals = ["Ca(OH)2", "Mg(NO3)2", "Fe(III)"]
+    assert col_values(spark, mat.is_simple_formula(F.col("t")), vals) == [True, True, False]
+    assert col_values(spark, mat.normalized_formula(F.col("t")), vals[:2]) == ["CaH2O2", "MgN2O6"]
