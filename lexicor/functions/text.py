@@ -258,6 +258,24 @@ def lemmatize(toks: Column, lemmas, nested: bool = False) -> Column:
     return lookup.asNondeterministic()(toks)
 
 
+def lemmatize_column(df: DataFrame, key_cols, col: str, lemmas: DataFrame,
+                     max_rows: int = MAX_DICTIONARY_ROWS) -> DataFrame:
+    """T15 on a token-array column of a keyed table: broadcast lookup when
+    the lemma table is within ``max_rows``, otherwise an equi-join of the
+    exploded tokens regrouped per row key (a group is one row's tokens)."""
+    try:
+        lookup = broadcast_dictionary(lemmas, "form", "lemma", max_rows)
+        return df.withColumn(col, lemmatize(F.col(col), lookup))
+    except ValueError:
+        keys = list(key_cols)
+        rows = df.select(*keys, F.posexplode(col).alias("_p", "token"))
+        joined = lemmatize_by_join(rows, lemmas, "token")
+        back = (joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "token"))).alias("_a"))
+                .select(*keys, F.transform("_a", lambda x: x["token"]).alias("_lem")))
+        return (df.join(back, keys, "left")
+                .withColumn(col, F.coalesce("_lem", F.array().cast("array<string>"))).drop("_lem"))
+
+
 def lemmatize_by_join(tok_rows: DataFrame, lemmas: DataFrame, token_col: str = "token") -> DataFrame:
     """T15 for dictionaries too large for one value: an equi-join of a token
     table (one row per token) to the lemma table."""

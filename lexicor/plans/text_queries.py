@@ -275,11 +275,10 @@ def lemma_lookup(spark, sf_dir):
     """T16 + T15: stop words dropped, then every token replaced by its lemma
     (lemma table derived from the corpus vocabulary, a broadcast lookup)."""
     docs = _documents(spark, sf_dir)
-    lemmas = tx.broadcast_dictionary(plural_lemmas(corpus.token_rows(docs.select("doc_id", "text"))),
-                                     "form", "lemma")
-    s = _sentence_tokens(spark, sf_dir)
-    out = tx.lemmatize(tx.remove_stop_words(F.col("toks")), lemmas)
-    return s.select("doc_id", "sent_no", F.array_join(out, " ").alias("lemmatized"))
+    lemmas = plural_lemmas(corpus.token_rows(docs.select("doc_id", "text")))
+    s = _sentence_tokens(spark, sf_dir).withColumn("toks", tx.remove_stop_words(F.col("toks")))
+    out = tx.lemmatize_column(s, ["doc_id", "sent_no"], "toks", lemmas)
+    return out.select("doc_id", "sent_no", F.array_join("toks", " ").alias("lemmatized"))
 
 
 @register("spelling_fold", f"""

@@ -97,3 +97,12 @@ def test_formulas_with_groups(spark):
     vals = ["Ca(OH)2", "Mg(NO3)2", "Fe(III)"]
     assert col_values(spark, mat.is_simple_formula(F.col("t")), vals) == [True, True, False]
     assert col_values(spark, mat.normalized_formula(F.col("t")), vals[:2]) == ["CaH2O2", "MgN2O6"]
+
+
+def test_lemma_join_path_equals_broadcast_path(spark):
+    df = spark.createDataFrame([(1, ["cats", "and", "dogs"]), (2, []), (3, ["dog", "cats"])],
+                               "id int, toks array<string>")
+    lem = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "form string, lemma string")
+    a = {r.id: r.toks for r in tx.lemmatize_column(df, ["id"], "toks", lem).collect()}
+    b = {r.id: r.toks for r in tx.lemmatize_column(df, ["id"], "toks", lem, max_rows=0).collect()}
+    assert a == b == {1: ["cat", "and", "dog"], 2: [], 3: ["dog", "cat"]}
