@@ -3,8 +3,9 @@
 A document is split into sentences (array of strings), each sentence into
 tokens (array of strings); every stage is a ``transform``/``filter`` over those
 arrays, so a whole corpus job is one narrow (shuffle-free) projection.
-Dictionaries that come as tables (lemmas, spelling) are turned into one map
-or array value by a size-checked scalar subquery and attached as a column.
+The lemma table is a size-checked broadcast dict read by an Arrow-batched
+UDF (with an equi-join path beyond the bound); the ordered spelling list is
+one small array value attached by a scalar subquery.
 """
 
 from __future__ import annotations
