@@ -139,3 +139,21 @@ def test_continue_training_refits_on_old_and_new(spark):
     model = em.continue_training(old, new, dims=8, epochs=2, partitions=1, min_count=1)
     words = {r.word for r in em.word_vectors(model).collect()}
     assert words == {"a", "b", "c", "d", "e", "f"}
+
+
+def test_prepare_with_classifier_tags_relevant_rows(spark, tmp_path):
+    from lexicor.operators import relevance as rel
+    from lexicor.plans.ingest import ingest, prepare
+    from lexicor.sources import providers as pv
+    train = spark.createDataFrame([(i, ("alloy steel iron carbon " if i % 2 else "poem song verse rhyme ") * 4,
+                                    float(i % 2)) for i in range(60)], "doc_id long, text string, label double")
+    model = rel.fit_classifier(train)
+    lines = [{"paper_id": "1", "doi": "10.5/a", "abstract": "Alloy steel with iron and carbon."},
+             {"paper_id": "2", "abstract": "A poem, a song and a verse."},
+             {"paper_id": "3", "abstract": ""}]
+    (tmp_path / "x.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
+    rows, rejected = prepare(pv.s2orc_articles(pv.read_s2orc(spark, str(tmp_path))), "s2orc", {"metal": model})
+    store, per_key = ingest(None, rows)
+    got = {(r.key_type, r.key): sorted(r.tags) for r in store.collect()}
+    assert got == {("doi", "10.5/a"): ["metal"]}
+    assert [r.reject_reason for r in rejected.collect()] == ["no_abstract"]
