@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import materials as mat
-from .fixed_values import NUM_TOKEN, NUMBER_RE, PARAGRAPH_MARKER, PUNCT, SPLIT_UNITS, ELEMENTS
+from .fixed_values import ELEMENT_NAMES, ELEMENTS, NUM_TOKEN, NUMBER_RE, PARAGRAPH_MARKER, PUNCT, SPLIT_UNITS
 
 # Sentence boundary: ., ! or ? followed by blanks, or a line break.
 SENTENCE_END_RE = r"([.!?])[ \t]+"
@@ -173,7 +173,14 @@ def process_tokens(toks: Column, exclude_punct: bool = False, convert_num: bool
                 return F.struct(out.cast("string").alias("tok"), t.alias("orig"), mention.alias("norm"),
                                 x["f"]["overflow"].alias("overflow"))
 
-            return mat.let(info, body)
+            # Fast path: a plain lower-case ASCII word is not punctuation, a
+            # number, a formula (those start upper-case) or accented, and
+            # lower-casing leaves it unchanged; only the element-name test
+            # applies. Most tokens take this branch.
+            plain = F.struct(t.alias("tok"), t.alias("orig"),
+                             F.when(t.isin(*ELEMENT_NAMES), mat.element_name_symbol(t)).alias("norm"),
+                             F.lit(False).alias("overflow"))
+            return F.when(t.rlike("^[a-z]+$"), plain).otherwise(mat.let(info, body))
         return one
 
     return mat.let(toks, lambda tk: F.transform(tk, one_of(tk)))
