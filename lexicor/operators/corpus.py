@@ -99,20 +99,23 @@ def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
     return out.drop("_steps")
 
 
-def clean_corpus(articles: DataFrame, tag: str, *, lemmas=None,
-                 spelling: Column | None = None, stop_words=None,
+def clean_corpus(articles: DataFrame, tag: str, *, lemma_table: DataFrame | None = None,
+                 spelling: Column | None = None, stop_words=None, key_cols=("doc_id",),
                  text_col: str = "processed_abstract") -> DataFrame:
-    """Tag filter -> lemma + stop words -> spelling, one record per article."""
+    """Tag filter -> stop words -> lemmas -> spelling, one record per
+    article. The lemma table is a broadcast lookup within its size bound and
+    an equi-join on the exploded tokens beyond it (``text.lemmatize_column``)."""
+    keys = [c for c in key_cols if c in articles.columns]
     sel = articles.where(F.array_contains("tags", tag))
     toks = F.flatten(F.transform(F.split(F.col(text_col), "\n"), lambda s: tx.tokens(s)))
-    out = tx.remove_stop_words(toks, stop_words)
-    if lemmas is not None:
-        out = tx.lemmatize(out, lemmas)
-    cleaned = F.array_join(out, " ")
+    staged = sel.select(*keys, *([] if spelling is None else ["_spelling"]),
+                        tx.remove_stop_words(toks, stop_words).alias("_ct"))
+    if lemma_table is not None:
+        staged = tx.lemmatize_column(staged, keys, "_ct", lemma_table)
+    cleaned = F.array_join("_ct", " ")
     if spelling is not None:
         cleaned = tx.fold_spelling(cleaned, spelling)
-    return sel.select(*[c for c in sel.columns if c in ("doc_id", "doi", "uid", "pmc", "paperid")],
-                      cleaned.alias("cleaned"))
+    return staged.select(*keys, cleaned.alias("cleaned"))
 
 
 def write_corpus_text(cleaned: DataFrame, path: str, column: str = "cleaned") -> None:

@@ -345,10 +345,9 @@ def clean_corpus_query(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     articles = docs.select("doc_id", F.col("text").alias("processed_abstract"),
                            F.array("lang", "source").alias("tags"))
-    lemmas = tx.broadcast_dictionary(plural_lemmas(corpus.token_rows(docs.select("doc_id", "text"))),
-                                     "form", "lemma")
+    lemmas = plural_lemmas(corpus.token_rows(docs.select("doc_id", "text")))
     articles = tx.attach_spelling(articles, spelling_table(spark, SPELLING_GB_US))
-    return corpus.clean_corpus(articles, "en", lemmas=lemmas, spelling=F.col("_spelling"))
+    return corpus.clean_corpus(articles, "en", lemma_table=lemmas, spelling=F.col("_spelling"))
 
 
 @register("corpus_text_roundtrip", _LEMMA_CTE + f"""
