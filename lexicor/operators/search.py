@@ -40,6 +40,8 @@ def clean_keywords(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def _matcher(pairs):
+    if not pairs:
+        return lambda text: set()
     try:
         import ahocorasick
     except ImportError:  # pragma: no cover - plain scan fallback
