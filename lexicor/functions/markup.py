@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TAG_RE = r"<[^>]*>"
+# A tag starts with a letter, "/", "!" or "?" right after "<", so text such
+# as "p < 0.05 and x > 3" (unescaped by the XML reader) is kept.
+TAG_RE = r"<[A-Za-z/!?][^>]*>"
 # Fixed value: the original pattern, whose class excludes ")" instead of ">":
 # "<b>bar</b>" loses its text, "<i>f(x)</i>" keeps it.
 COMPAT_RE = r"\s*\<[^)]*\>"

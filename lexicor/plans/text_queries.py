@@ -220,7 +220,7 @@ def material_mentions(spark, sf_dir):
 
 # ------------------------------------------------------------ markup strip
 @register("strip_markup", f"""
-SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS text,
+SELECT page_id, regexp_replace(html, '<[A-Za-z/!?][^>]*>', '', 'g') AS text,
        regexp_replace(html, {S.q(chr(92) + 's*' + chr(92) + '<[^)]*' + chr(92) + '>')}, '', 'g') AS text_compat
 FROM pages""")
 def strip_markup_query(spark, sf_dir):
