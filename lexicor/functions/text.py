@@ -11,16 +11,14 @@ one small array value attached by a scalar subquery.
 from __future__ import annotations
 
 import unicodedata
-import zipfile
 from functools import lru_cache
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import materials as mat
-from .fixed_values import ELEMENT_NAMES, ELEMENTS, NUM_TOKEN, NUMBER_RE, PARAGRAPH_MARKER, PUNCT, SPLIT_UNITS
+from .fixed_values import ELEMENT_NAMES, ELEMENTS, NUM_TOKEN, NUMBER_RE, PARAGRAPH_MARKER, PUNCT, SPLIT_UNITS, STOP_WORDS
 
 # Sentence boundary: ., ! or ? followed by blanks, or a line break.
 SENTENCE_END_RE = r"([.!?])[ \t]+"
@@ -35,10 +33,6 @@ TOKEN_RE = (r"(?:" + _EL + r")*(?:\((?:" + _EL + r")+\)(?:[0-9]+(?:\.[0-9]+)?)?)
             r"|[^\p{Z}\t\n\x0B\f\r\p{L}\p{M}\p{N}]")
 
 
-def _lit_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 _PUNCT_SET = sorted(set(PUNCT))
 _SYMBOLS_OR_UNITS = sorted(set(ELEMENTS) | set(SPLIT_UNITS))
 
@@ -198,17 +192,9 @@ def mentions(steps: Column) -> Column:
 
 
 # ---------------------------------------------------------------- T15-T17
-@lru_cache(maxsize=1)
 def default_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list, read from the installed jar."""
-    import pyspark
-
-    jars = Path(pyspark.__file__).parent / "jars"
-    for jar in sorted(jars.glob("spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as z:
-            data = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-            return tuple(w for w in data.split("\n") if w)
-    raise FileNotFoundError("spark-mllib jar with stop words not found")
+    """The default English stop-word list."""
+    return STOP_WORDS
 
 
 def remove_stop_words(toks: Column, stop_words=None) -> Column:

@@ -30,12 +30,9 @@ PLAN_MODULES = ("vector_queries", "text_queries", "phrase_queries", "store_queri
 
 
 def load_all() -> None:
-    """Import every plan module so that its queries register."""
+    """Import every plan module so that its queries register; a module that
+    cannot be imported is an error."""
     import importlib
 
     for mod in PLAN_MODULES:
-        try:
-            importlib.import_module(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{mod}":
-                raise
+        importlib.import_module(f"{__package__}.{mod}")
