@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import types as T
 
 #: Bytes handled at once by the numpy kernels: a range costs about 60 times
 #: that in temporary arrays.
@@ -154,3 +155,11 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         for j in range(k):
             h = mix(h + words[j:j + n] + np.uint64((j + 1) * 0x632BE59BD9B4E019 & _MASK))
     return h
+
+
+def widened(schema: T.StructType, **fields: str) -> T.StructType:
+    """A schema with further columns (name = type)."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in fields.items():
+        out.add(name, kind)
+    return out

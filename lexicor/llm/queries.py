@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from ..session import load
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from ..session import cut_lineage, load, scratch_path
+from . import decontam, langid, licenses, quality, tokencount, toxicity, warc
 from .jaccard import jaccard_components
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
@@ -18,7 +24,194 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-@register("op6_ngram_jaccard")
+def _fold(id_col, parts: int):
+    """crc32 of the id as text, modulo ``parts``."""
+    return F.crc32(id_col.cast("string").cast("binary")) % parts
+
+
+def _training(table, parts: int, held: int):
+    return table.where(F.col("doc_id").isNotNull() & (_fold(F.col("doc_id"), parts) != held))
+
+
+@register("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    """Toxicity score of every document; learned from the labels of four of
+    the five folds of the id's crc32."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _training(load(spark, sf_dir, "labels"), 5, 0))
+    return toxicity.score(docs, model).select(
+        "doc_id", (_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def quality_model(spark, docs, sf_dir):
+    """Positive-unlabelled model: good labels and web text outside the held fold."""
+    good = _training(load(spark, sf_dir, "labels"), 5, 0).where("quality = 1")
+    return quality.fit(_training(docs.select("doc_id", "text"), 5, 0), good)
+
+
+#: Scores from here on count as good.
+QUALITY_AT = 0.3
+
+
+@register("op5_quality_pu")
+def op5_quality_pu(spark, sf_dir):
+    """Quality score of every document by positive-unlabelled learning."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality_model(spark, docs, sf_dir)).select(
+        "doc_id", (_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
+
+
+@register("op3_license_sentences", f"""
+WITH known(id, s) AS (VALUES {', '.join(f"('{i}', '{s}')" for i, s in licenses.SENTENCES.items())}),
+rules(name, ids) AS (VALUES {', '.join(f"('{n}', ',{','.join(i)},')" for n, i in licenses.RULES)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT r, 1 AS kind, string_split_regex(t, '[.!?;:]+[ \\t\\r\\n]+|[\\r\\n]+') AS parts FROM d
+      UNION ALL
+      SELECT r, 2, string_split_regex(regexp_replace(t, '[\\r\\n]+', ' ', 'g'), '[.!?;:]+[ \\t]+') FROM d),
+e AS (SELECT r, kind, generate_subscripts(parts, 1) AS pos, unnest(parts) AS s FROM p),
+m AS (SELECT r, kind, string_agg(known.id, ',' ORDER BY pos) AS ids, count(*) AS n
+      FROM e JOIN known ON trim(regexp_replace(lower(e.s), '[^a-z0-9]+', ' ', 'g')) = known.s GROUP BY 1, 2),
+b AS (SELECT r, arg_max(ids, n * 10 - kind) AS ids FROM m GROUP BY 1),
+h AS (SELECT b.r, string_agg(DISTINCT rules.name, ',' ORDER BY rules.name) AS names
+      FROM b JOIN rules ON contains(',' || b.ids || ',', rules.ids) GROUP BY 1)
+SELECT d.doc_id, coalesce(b.ids, '') AS sentence_ids, coalesce(h.names, '') AS licenses
+FROM d LEFT JOIN b USING (r) LEFT JOIN h USING (r)""")
+def op3_license_sentences(spark, sf_dir):
+    """Known licence sentences and the licences their sequences stand for."""
+    found = licenses.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"),
+                        F.array_join("licenses", ",").alias("licenses"))
+
+
+@register("op6_ngram_jaccard", f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]
+                                                              for i in range(1, len(w) - 1)])
+                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM g),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i, any_value(a.n) AS n, any_value(b.n) AS m
+      FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p WHERE 100 * i >= 90 * (n + m - i)),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT g.doc_id, len(g.s)::BIGINT AS n_shingles, least(g.doc_id, coalesce(min(r.y), g.doc_id)) AS component_id
+FROM g LEFT JOIN r ON r.x = g.doc_id GROUP BY g.doc_id, g.s""")
 def op6_ngram_jaccard(spark, sf_dir):
     """Components of the 3-word-shingle Jaccard join at 0.9."""
     return jaccard_components(load(spark, sf_dir, "documents"))
+
+
+def _write_arc(pages, path: str) -> None:
+    """Stand-in input: the pages as ARC archives, files of version 1 and 2 in
+    turn. A record's block is an HTTP response that names the page."""
+    html = F.coalesce("html", F.lit(""))
+    head = F.concat_ws("\r\n", F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"),
+                       F.concat(F.lit("X-Page-Id: "), F.col("page_id").cast("string")),
+                       F.concat(F.lit("Content-Length: "), F.octet_length(html).cast("string")))
+    block = F.concat(head, F.lit("\r\n\r\n"), html)
+    url = F.regexp_replace(F.coalesce("url", F.lit("unknown:")), r"\s", "%20")
+    size = F.octet_length("block").cast("string")
+    rows = pages.select(url.alias("url"), block.alias("block")).select(
+        F.concat_ws(" ", "url", F.lit("192.0.2.1 20240131120000 text/html"), size).alias("one"),
+        F.concat_ws(" ", "url", F.lit("192.0.2.1 20240131120000 text/html 200 - - 0 pages.arc"), size).alias("two"), "block")
+
+    def run(batches):
+        from pyspark import TaskContext
+        import pyarrow.compute as pc
+
+        new = TaskContext.get().partitionId() % 2
+        fields = ("2 0 Example\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset "
+                  "Filename Archive-length\n" if new else
+                  "1 0 Example\nURL IP-address Archive-date Content-type Archive-length\n")
+        length = f"200 - - 0 pages.arc {len(fields)}" if new else str(len(fields))
+        yield pa.RecordBatch.from_arrays([pa.array([f"filedesc://pages.arc 0.0.0.0 20240131120000 text/plain {length}\n{fields}"])],
+                                         ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pc.binary_join_element_wise(batch.column(new), batch.column(2), "\n")], ["value"])
+
+    rows.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+
+
+_PAGE_ID = "(?i)x-page-id: *(-?[0-9]+)"
+
+
+@register("op4_arc_to_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+m AS (SELECT t, min(page_id) AS first FROM p GROUP BY 1)
+SELECT p.page_id, strlen(p.t)::BIGINT AS payload_bytes, sha256(p.t) AS payload_digest,
+       CASE WHEN strlen(p.t) >= 100 AND p.page_id > m.first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(p.t) >= 100 AND p.page_id > m.first THEN m.first END AS refers_to
+FROM p JOIN m USING (t)""")
+def op4_arc_to_warc(spark, sf_dir):
+    """Pages as ARC archives, converted to WARC and read back."""
+    arc, out = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    _write_arc(load(spark, sf_dir, "pages"), arc)
+    page = F.regexp_extract("http", _PAGE_ID, 1)
+    warc.convert(warc.read_arc(spark, arc), out, order=F.when(page != "", page.cast("long")))
+    got = warc.resolve(cut_lineage(warc.read_warc(spark, out, with_payload=False), "records"))
+    of = F.regexp_extract("target.http", _PAGE_ID, 1)
+    return got.select(
+        F.when(page != "", page.cast("long")).alias("page_id"),
+        F.coalesce("target.payload_bytes", "payload_bytes").alias("payload_bytes"),
+        F.coalesce("target.payload_digest", "payload_digest").alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), F.when(of != "", of.cast("long")).alias("refers_to"))
+
+
+#: Vocabulary of the token counts, among the installed public tokenizers.
+COUNT_TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@register("op7_token_counts")
+def op7_token_counts(spark, sf_dir):
+    """Bytes and tokens of every document; over 2,048 tokens or not."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, tokenizer_path(COUNT_TOKENIZER)).select(
+        "doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+_WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+
+@register("op8_decontamination", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all({_LOWER.format('text')}, '{_WORDS}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, '{_WORDS}') AS w FROM benchmark
+      WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n,
+              unnest([array_to_string(w[i:i + least(10, len(w)) - 1], ' ') for i in range(1, len(w) - least(10, len(w)) + 2)]) AS s
+       FROM b WHERE len(w) > 0),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i,
+              unnest([array_to_string(w[i:i + n - 1], ' ') for i in range(1, len(w) - n + 2)]) AS s
+       FROM d, ns WHERE len(w) >= n),
+h AS (SELECT DISTINCT dw.r, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.s = bw.s AND dw.n = bw.n),
+c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
+t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+      FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM h) GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+       sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)""")
+def op8_decontamination(spark, sf_dir):
+    """Words of every document inside a 10-word window of a benchmark item."""
+    found = decontam.find_contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@register("op9_language_zstd")
+def op9_language_zstd(spark, sf_dir):
+    """Language of every document by per-language zstandard dictionaries."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(_training(docs, 3, 1))
+    return langid.classify(docs.select("doc_id", "text"), model).select(
+        "doc_id", (_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "lang_accepted")
