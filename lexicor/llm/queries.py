@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, load, scratch_path
-from . import decontam, langid, licenses, quality, tokencount, toxicity, warc
+from . import decontam, langid, licenses, quality, tokencount, topk, toxicity, warc
 from .jaccard import jaccard_components
 
 QUERIES: dict = {}
@@ -215,3 +215,17 @@ def op9_language_zstd(spark, sf_dir):
     model = langid.fit(_training(docs, 3, 1))
     return langid.classify(docs.select("doc_id", "text"), model).select(
         "doc_id", (_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "lang_accepted")
+
+
+@register("op10_block_topk", """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_sum([z[1] * z[2] for z in list_zip(q.e, c.e)])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""")
+def op10_block_topk(spark, sf_dir):
+    """Five best rows of every 50th vector by integer inner product."""
+    return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
