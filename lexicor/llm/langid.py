@@ -26,8 +26,8 @@ SAMPLE_DOC_BYTES = 65_536
 #: Bytes compressed at once; a text of any length is worked through in blocks.
 BLOCK_BYTES = 4_096
 LEVEL = 5
-#: Smaller margins are rejected.
-MARGIN = 0.01
+#: Smaller margins are rejected: the runner-up packs the text as well.
+MARGIN = 0.002
 #: Characters normalised at once.
 SLICE_CHARS = 1 << 20
 UNDETERMINED = "und"

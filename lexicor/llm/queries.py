@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, load, scratch_path
-from . import decontam, langid, licenses, quality, tokencount, topk, toxicity, warc
+from . import decontam, langid, licenses, quality, spm, tokencount, topk, toxicity, warc
 from .jaccard import jaccard_components
 
 QUERIES: dict = {}
@@ -63,6 +63,28 @@ def op5_quality_pu(spark, sf_dir):
         (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
 
 
+#: Vocabulary of the token counts, among the installed public tokenizers.
+COUNT_TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+#: Model of the SentencePiece stages, among the installed public tokenizers.
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+@register("op2_sentencepiece_wfst")
+def op2_sentencepiece_wfst(spark, sf_dir):
+    """Piece ids of every document, and whether they decode to its text."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return spm.encode(docs, tokenizer_path(PIECE_MODEL), decoded_col="round_trip").select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
 @register("op3_license_sentences", f"""
 WITH known(id, s) AS (VALUES {', '.join(f"('{i}', '{s}')" for i, s in licenses.SENTENCES.items())}),
 rules(name, ids) AS (VALUES {', '.join(f"('{n}', ',{','.join(i)},')" for n, i in licenses.RULES)}),
@@ -160,16 +182,6 @@ def op4_arc_to_warc(spark, sf_dir):
         F.col("warc_type").alias("record_type"), F.when(of != "", of.cast("long")).alias("refers_to"))
 
 
-#: Vocabulary of the token counts, among the installed public tokenizers.
-COUNT_TOKENIZER = "word_bpe_49k.json"
-
-
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 @register("op7_token_counts")
 def op7_token_counts(spark, sf_dir):
     """Bytes and tokens of every document; over 2,048 tokens or not."""
@@ -208,12 +220,16 @@ def op8_decontamination(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def language_model(docs):
+    """Dictionaries from the documents outside the held fold."""
+    return langid.fit(_training(docs.select("doc_id", "text", "lang"), 3, 1))
+
+
 @register("op9_language_zstd")
 def op9_language_zstd(spark, sf_dir):
     """Language of every document by per-language zstandard dictionaries."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = langid.fit(_training(docs, 3, 1))
-    return langid.classify(docs.select("doc_id", "text"), model).select(
+    docs = load(spark, sf_dir, "documents")
+    return langid.classify(docs.select("doc_id", "text"), language_model(docs)).select(
         "doc_id", (_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "lang_accepted")
 
 
