@@ -157,8 +157,8 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def widened(schema: T.StructType, **fields: str) -> T.StructType:
-    """A schema with further columns (name = type)."""
+def widened(schema: T.StructType, **fields) -> T.StructType:
+    """A schema with further columns (name = type or its simple name)."""
     out = T.StructType(list(schema.fields))
     for name, kind in fields.items():
         out.add(name, kind)

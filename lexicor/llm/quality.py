@@ -205,13 +205,14 @@ def score(docs: DataFrame, model: QualityModel, *, text_col: str = "text", score
     kept = docs.drop(score_col)
     names = kept.columns
     at = names.index(text_col)
-    table = docs.sparkSession.sparkContext.broadcast(model)
+    table = docs.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.weights, model.bias))
 
     def run(batches):
-        m, tables = table.value, _tables()
+        mean, scale, weights, bias = table.value
+        tables = _tables()
         for batch in batches:
-            x = (features(batch.column(at), tables) - m.mean) / m.scale
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_sigmoid(x @ m.weights + m.bias))],
+            x = (features(batch.column(at), tables) - mean) / scale
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_sigmoid(x @ weights + bias))],
                                              [*names, score_col])
 
     return kept.mapInArrow(run, widened(kept.schema, **{score_col: "double"}))

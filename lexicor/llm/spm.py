@@ -26,6 +26,7 @@ from math import inf
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .arrowtext import widened
 
@@ -232,7 +233,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
     kept = docs.drop(*new)
     names = kept.columns
     at = names.index(text_col)
-    schema = widened(kept.schema, **{ids_col: "array<int>"})
+    schema = widened(kept.schema, **{ids_col: T.ArrayType(T.IntegerType())})
     if decoded_col:
         schema = widened(schema, **{decoded_col: "boolean"})
 
