@@ -81,7 +81,12 @@ def search_blocks(q_ids, q, floor, ids, vectors, k: int, block_rows: int = BLOCK
     cuts = range(0, len(ids), block_rows)
     top = np.stack([vectors[a:a + block_rows].max(0) for a in cuts])
     bottom = np.stack([vectors[a:a + block_rows].min(0) for a in cuts])
-    bound = np.maximum(q, 0) @ top.T + np.minimum(q, 0) @ bottom.T
+    # Floats: a bound may pass 64 bits where scores do not. The last term is
+    # more than their rounding error.
+    wide = [np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float), top.astype(float).T, bottom.astype(float).T]
+    bound = wide[0] @ wide[2] + wide[1] @ wide[3]
+    if not exact:
+        bound += 1e-12 * (np.abs(wide[0] + wide[1]) @ np.maximum(np.abs(wide[2]), np.abs(wide[3])))
     order = np.argsort(-bound, axis=1, kind="stable")
     best = np.full((len(q), k), low, dtype=q.dtype)
     best_id = np.full((len(q), k), np.iinfo(np.int64).max)

@@ -26,7 +26,9 @@ SAMPLE_TEXT_BYTES = 32_768
 BITS = 18
 DIM = 8
 SIZES = (3, 4, 5)
+#: Passes over the sample; more for a small one, up to so many steps.
 EPOCHS = 14
+MIN_STEPS = 2_000
 BATCH = 32
 RATE = 0.5
 #: Steps of embedding rows are so many times longer: each has a small share
@@ -73,6 +75,7 @@ def _features(parts: list[str], word_chars: np.ndarray):
     pair for each n-gram size, and the parts' places."""
     codes, places = code_points([p.lower() for p in parts])
     word = word_chars[np.minimum(codes, 0xFFFF)]
+    codes = np.where(word, codes, np.uint32(10))  # one mark for a word's edge
     starts, bucket = _word_buckets(codes, word, BITS)
     if len(starts):
         again = np.append(False, (bucket[1:] == bucket[:-1]) & (np.diff(np.searchsorted(places, starts, "right")) == 0))
@@ -107,8 +110,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> ToxicityModel:
     emb = np.zeros((1 << BITS, DIM), np.float32)
     layer = rng.normal(0, 1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-MIN_STEPS * BATCH // len(bags)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(bags))
         for a in range(0, len(order), BATCH):
             pick = order[a:a + BATCH]
