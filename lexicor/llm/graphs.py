@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -31,10 +31,12 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFram
     return on_hot.unionByName(rest).unionByName(none)
 
 
-def _with_minimum(pairs: DataFrame) -> DataFrame:
-    """``(u, v, m)``: every pair with the smallest of u and its neighbours."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node is either one edge's ``u`` or only a ``v``."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    both = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return both.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -42,23 +44,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     component being its smallest node; nodes without edges do not appear.
 
     Alternating large-star and small-star rounds: each links neighbours to
-    the smallest one, so paths shrink by a constant factor a round and no
-    group is ever gathered (rows are two ids; a node with very many edges is
-    split by the adaptive skew join); every round is a written table."""
+    the smallest one, so paths shrink by a constant factor a round. The
+    neighbours of a node are only sorted past (rows of two ids, spilled to
+    disk where they are many); every round is a written table."""
     cur = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                       .distinct(), "edges")
-    state = None
+    least = F.min("v").over(Window.partitionBy("u"))
     for _ in range(max_rounds):
+        if _is_settled(cur):
+            return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (_with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
-        small = _with_minimum(large)
+        large = (both.withColumn("m", F.least("u", least)).where("v > u")
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.withColumn("m", least)
         cur = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
                           .unionByName(small.select("u", F.col("m").alias("v")))
                           .where("u <> v").distinct(), "edges")
-        now = tuple(cur.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
     raise RuntimeError("components did not settle")

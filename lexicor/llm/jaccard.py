@@ -10,10 +10,10 @@ because a block row is matched whole. The product is then taken over the
 surviving groups of rows, block of columns by block: overlap counts add up
 and a pair goes as soon as what is left cannot bring it to its bound.
 
-Equal sets are one row from the start. A group never grows beyond
-``max_rows``/``max_shingles``: larger ones are cut into chunks, each linked
-through a common row first; then only chunks with rows of different
-components meet. The product returns a spanning forest of the links, never
+Equal sets are one row from the start. Rows meet in groups by the smallest
+row of the blocks they share. A group never grows beyond
+``max_rows``/``max_shingles``: larger ones are cut into chunks with that row in
+each; then only chunks with rows of different components meet. The product returns a spanning forest of the links, never
 the pairs themselves.
 """
 
@@ -30,8 +30,8 @@ from ..session import cut_lineage
 from .arrowtext import WHITE_SEP, mix, shingle_hashes, text_buffer, word_hashes
 from .graphs import components, lookup
 
-#: Most rows and n-grams of one product (a few tens of MB of task memory).
-MAX_ROWS = 256
+#: Most rows and n-grams of one product (about 150 MB of task memory).
+MAX_ROWS = 1024
 MAX_SHINGLES = 2_000_000
 #: Bits of the filter that says which texts the product needs (512 KB).
 FILTER_BITS = 1 << 22
@@ -247,38 +247,36 @@ def _grams_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n_w
             .mapInArrow(run, "id long, print binary, grams binary"))
 
 
-def _chunks(load: str) -> F.Column:
-    """Number of chunks that a group with this sum of loads needs."""
-    return F.greatest(F.lit(1), F.ceil(F.sum(load))).cast("int")
-
-
-def _large_groups(blocks: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
-    """Forest edges of the groups that are too large for one product.
-    ``blocks``: key, node, pivot, load (the share of a product a row takes)."""
-    run = _product(threshold)
-    # 1. Chunks of the rows that share a pivot, the pivot in each of them.
-    star = blocks.select("pivot", "node", "load").distinct()
-    size = cut_lineage(star.groupBy("pivot").agg(F.count("*").alias("w"), _chunks("load").alias("n")), "pivots")
-    cut = lookup(star.where("node <> pivot"), size, "pivot", "w").select(
-        "pivot", "node", F.pmod(F.hash("node"), F.col("n")).alias("chunk"))
-    with_pivot = size.select("pivot", F.col("pivot").alias("node"),
-                             F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
-    first = (cut.unionByName(with_pivot).join(grams.select("node", "grams"), "node")
-             .withColumn("comp", F.col("node")).groupBy("pivot", "chunk").applyInArrow(run, "a long, b long"))
-    first = cut_lineage(first, "links")
-    # 2. Blocks that still hold several components: rows outside the most
-    #    frequent one meet all, chunk by chunk.
-    label = components(first)
-    rows = cut_lineage(blocks.select("key", "node", "load").join(label, "node", "left")
+def _chunks(load) -> F.Column:
+    """Number of chunks for rows with this sum of loads."""
+    return F.greatest(F.lit(1), F.ceil(load)).cast("int")
+
+
+def _star_links(star: DataFrame, size: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
+    """Forest edges among the rows that share a pivot. Every two rows of one
+    block have its pivot, so groups by pivot miss no pair; a group of several
+    chunks has the pivot in each of them."""
+    dealt = lookup(star.where("node <> pivot"), size, "pivot", "w").select(
+        "pivot", "node", F.pmod(F.hash("node"), F.col("chunks")).alias("chunk"))
+    pivots = size.select("pivot", F.col("pivot").alias("node"),
+                         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    return (dealt.unionByName(pivots).join(grams.select("node", "grams"), "node").withColumn("comp", F.col("node"))
+            .groupBy("pivot", "chunk").applyInArrow(_product(threshold), "a long, b long"))
+
+
+def _chunk_links(blocks: DataFrame, links: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
+    """Forest edges among the chunks of large groups. ``blocks``: their key,
+    node, load. Per block the rows outside the component that most of its
+    rows are in meet all its rows, chunk by chunk."""
+    rows = cut_lineage(blocks.join(components(links), "node", "left")
                        .select("key", "node", "load", F.coalesce("component", "node").alias("comp")), "blocks")
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("load").alias("load"))
     main = cut_lineage(
         per.groupBy("key").agg(F.max(F.struct("n", "comp", "load")).alias("top"), F.sum("n").alias("w"),
                                F.sum("load").alias("load"))
         .where(F.col("w") > F.col("top.n"))
-        .select("key", F.col("top.comp").alias("main"), "w",
-                F.greatest(F.lit(1), F.ceil(F.col("load") - F.col("top.load"))).cast("int").alias("n_few"),
-                F.greatest(F.lit(1), F.ceil("top.load")).cast("int").alias("n_main")), "blocks")
+        .select("key", F.col("top.comp").alias("main"), "w", _chunks(F.col("load") - F.col("top.load")).alias("n_few"),
+                _chunks(F.col("top.load")).alias("n_main")), "blocks")
     held = lookup(rows, main, "key", "w").where(F.col("main").isNotNull())
     few = F.col("comp") != F.col("main")
     chunk = F.when(few, F.pmod(F.hash("node"), F.col("n_few"))).otherwise(
@@ -286,9 +284,8 @@ def _large_groups(blocks: DataFrame, grams: DataFrame, threshold: int) -> DataFr
     last = F.when(few, F.col("n_few") + F.col("n_main") - 1).otherwise(F.col("n_few") - 1)
     meets = (held.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
              .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "comp"))
-    second = (meets.join(grams.select("node", "grams"), "node").groupBy("key", "i", "j")
-              .applyInArrow(run, "a long, b long"))
-    return first.unionByName(second)
+    return (meets.join(grams.select("node", "grams"), "node").groupBy("key", "i", "j")
+            .applyInArrow(_product(threshold), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_words: int = 3,
@@ -308,20 +305,20 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         .agg(F.min("id").alias("node"), F.count("*").alias("w"), F.first("n_shingles").alias("size"),
              F.first("keys").alias("keys")), "classes")
     blocks = cut_lineage(_shared_blocks(classes.select("node", F.explode("keys").alias("key"))), "blocks")
-    family = components(blocks.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     load = F.greatest(F.lit(1 / max_rows), F.col("size") / max_shingles)
-    member = classes.select("print", "node", load.alias("load")).join(family, "node")
-    size = member.groupBy("component").agg(F.count("*").alias("w"), (F.sum("load") <= 1).alias("small"))
-    member = lookup(member, cut_lineage(size, "sizes"), "component", "w")
-    texts = _grams_of(docs, family.select("node"), id_col, text_col, n_words).withColumnRenamed("id", "node")
-    grams = cut_lineage(member.join(texts.dropDuplicates(["node", "print"]), ["node", "print"]), "grams")
-    edges = (grams.where("small").select("component", "node", F.col("node").alias("comp"), "grams")
-             .groupBy("component").applyInArrow(_product(threshold), "a long, b long"))
-    large = grams.where("not small")
+    members = cut_lineage(classes.select("print", "node", load.alias("load"))
+                          .join(blocks.select("node").distinct(), "node"), "members")
+    texts = _grams_of(docs, members.select("node"), id_col, text_col, n_words).withColumnRenamed("id", "node")
+    grams = cut_lineage(members.join(texts.dropDuplicates(["node", "print"]), ["node", "print"]), "grams")
+    loads = members.groupBy("node").agg(F.sum("load").alias("load"))
+    star = cut_lineage(blocks.select("pivot", "node").distinct().join(loads, "node"), "stars")
+    size = cut_lineage(star.groupBy("pivot").agg(F.count("*").alias("w"), _chunks(F.sum("load")).alias("chunks")), "sizes")
+    links = cut_lineage(_star_links(star.drop("load"), size, grams, threshold), "links")
+    large = size.where("chunks > 1").select("pivot")
     if not large.isEmpty():
-        own = blocks.join(large.groupBy("node").agg(F.max("load").alias("load")), "node")
-        edges = edges.unionByName(_large_groups(own, large, threshold))
-    label = components(edges)
+        own = blocks.join(large, "pivot", "left_semi").drop("pivot").join(loads, "node")
+        links = links.unionByName(_chunk_links(own, links, grams, threshold))
+    label = components(links)
     node = classes.join(label, "node", "left").select("print", F.coalesce("component", "node").alias("component"), "w")
     found = lookup(sketch.select("id", "n_shingles", "print"), cut_lineage(node, "nodes"), "print", "w")
     return found.select(F.col("id").alias(id_col), "n_shingles",
