@@ -1,12 +1,17 @@
 """Chemistry-aware token functions as Column expressions.
 
-All of them work on one token (a string Column, usually a lambda variable
-inside ``transform``) and stay inside whole-stage codegen: regexes with
-literal patterns, literal lists and maps, and higher-order functions.
+Most work on one token (a string Column, usually a lambda variable inside
+``transform``): regexes with literal patterns, literal lists and maps. Formulas
+need a parser and a division loop; they are described in an Arrow function
+that sees only the distinct tokens of a row that may be formulas.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,29 +25,13 @@ _ALT = "|".join(ELEMENTS_AND_NAMES)
 VALENCE_SPLIT_RE = r"^(" + _ALT + r")" + VALENCE_SUFFIX_RE + r"$"
 VALENCE_SPLIT_COMPAT_RE = r"^(" + _ALT + r")" + VALENCE_SUFFIX_COMPAT_RE + r"$"
 DIRECTION_RE = r"^(" + _ALT + r")" + DIRECTION_SUFFIX_RE
-# A formula: element symbols with optional amounts, and groups of them in
-# parentheses with an optional factor, e.g. Ca(OH)2 (one level of grouping).
-_AMT = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)?"
-FORMULA_SHAPE_RE = r"^(?:[A-Z][a-z]?" + _AMT + r"|\((?:[A-Z][a-z]?" + _AMT + r")+\)" + _AMT + r")+$"
-FORMULA_PAIR_RE = r"([A-Z][a-z]?)([0-9]+\.?[0-9]*|\.[0-9]+)?"
-# One unit of a formula: a parenthesised group (1: members, 2: factor) or an
-# element (3: symbol, 4: amount).
-FORMULA_UNIT_RE = (r"\(((?:[A-Z][a-z]?" + _AMT + r")+)\)([0-9]+\.?[0-9]*|\.[0-9]+)?"
-                   r"|([A-Z][a-z]?)([0-9]+\.?[0-9]*|\.[0-9]+)?")
+# One piece of a formula: a symbol or a closing parenthesis with an optional
+# amount, or an opening parenthesis.
+FORMULA_PIECE_RE = r"([A-Z][a-z]?|\))([0-9]+\.?[0-9]*|\.[0-9]+)?|(\()"
+# What may be a formula of two or more elements, or a diatomic gas.
+CANDIDATE_RE = r"^[A-Z(][A-Za-z0-9.()]*$"
 GCD_TOLERANCE = 1.0 / 1000
-_EUCLID_STEPS = 64
-
-
-def _lit_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def UNITS() -> Column:
-    return _lit_array(UNIT_SET)
-
-
-def REAL_SYMBOLS() -> Column:
-    return _lit_array(REAL_ELEMENTS)
+AMOUNT_TOLERANCE = 1e-8
 
 
 def NAME_TO_SYMBOL() -> Column:
@@ -79,48 +68,86 @@ def element_name_symbol(t: Column) -> Column:
     return F.when(low.isin(*ELEMENT_NAMES) & allowed, F.try_element_at(NAME_TO_SYMBOL(), low))
 
 
-def _pair_gcd(a: Column, b: Column) -> Column:
-    """Euclid with tolerance (stops once the remainder is <= 1/1000)."""
-    init = F.struct(a.alias("a"), b.alias("b"))
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.lit(_EUCLID_STEPS)), init,
-        lambda s, _: F.when(s["b"] > GCD_TOLERANCE,
-                            F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b"))).otherwise(s))
-    return step["a"]
-
-
-def _amount(a: Column, default: Column) -> Column:
-    return F.when(a == "", default).otherwise(a.cast("double"))
-
-
-def formula_composition(t: Column) -> Column:
-    """Parsed composition ``ARRAY<STRUCT<el, amt>>`` (groups expanded with
-    their factor, duplicates summed in order of first appearance, zero
-    amounts dropped) of a formula, else null."""
-    unit_re = F.lit(FORMULA_UNIT_RE)
-    inner = F.regexp_extract_all(t, unit_re, 1)
-    factor = F.regexp_extract_all(t, unit_re, 2)
-    sym = F.regexp_extract_all(t, unit_re, 3)
-    amt = F.regexp_extract_all(t, unit_re, 4)
-
-    def unit(g, i):
-        f = _amount(F.get(factor, i), F.lit(1.0))
-        members = F.arrays_zip(F.regexp_extract_all(g, F.lit(FORMULA_PAIR_RE), 1).alias("el"),
-                               F.regexp_extract_all(g, F.lit(FORMULA_PAIR_RE), 2).alias("amt"))
-        grouped = F.transform(members, lambda p: F.struct(p["el"].alias("el"),
-                                                          (_amount(p["amt"], F.lit(1.0)) * f).alias("amt")))
-        single = F.array(F.struct(F.get(sym, i).alias("el"), _amount(F.get(amt, i), F.lit(1.0)).alias("amt")))
-        return F.when(g != "", grouped).otherwise(single)
-
-    def summed(parsed):
-        names = F.array_distinct(F.transform(parsed, lambda p: p["el"]))
-        tot = F.transform(names, lambda e: F.struct(
-            e.alias("el"),
-            F.aggregate(F.filter(parsed, lambda p: p["el"] == e), F.lit(0.0), lambda acc, p: acc + p["amt"])
-            .alias("amt")))
-        return F.filter(tot, lambda p: p["amt"] > 1e-8)
-
-    return F.when(t.rlike(FORMULA_SHAPE_RE), let(F.flatten(F.transform(inner, unit)), summed))
+def composition(token: str) -> dict[str, float] | None:
+    """Amount per element of a formula (groups in parentheses, nested ones
+    too, multiplied by their factor; amounts of nothing left out), in order of
+    first appearance; None if the token is no formula."""
+    levels: list[list[tuple[str, float]]] = [[]]
+    at = 0
+    for m in re.finditer(FORMULA_PIECE_RE, token):
+        if m.start() != at:
+            return None
+        at = m.end()
+        head, amount, opening = m.groups()
+        times = float(amount) if amount else 1.0
+        if opening:
+            levels.append([])
+        elif head != ")":
+            levels[-1].append((head, times))
+        else:
+            group = levels.pop()
+            if not levels or not group:
+                return None
+            levels[-1] += [(el, n * times) for el, n in group]
+    if at != len(token) or len(levels) != 1 or not levels[0]:
+        return None
+    total: dict[str, float] = {}
+    for el, n in levels[0]:
+        total[el] = total.get(el, 0.0) + n
+    return {el: n for el, n in total.items() if n > AMOUNT_TOLERANCE}
+
+
+def integer_formula(amounts: dict[str, float]) -> str | None:
+    """Amounts over their greatest common divisor (Euclid until the rest is
+    within the tolerance), rounded half to even, symbols sorted, 1 left out, 0
+    dropped; None if an amount is infinite."""
+    if not amounts or not all(map(math.isfinite, amounts.values())):
+        return None
+    values = list(amounts.values())
+    g = values[0]
+    for n in values:
+        while n > GCD_TOLERANCE:
+            g, n = n, math.fmod(g, n)
+    whole = {el: round(n / g) for el, n in amounts.items()}
+    return "".join(el if whole[el] == 1 else f"{el}{whole[el]}" for el in sorted(whole) if whole[el])
+
+
+def _describe(token: str) -> tuple[bool, str, bool]:
+    """``(simple, normalized, overflow)`` of a token."""
+    amounts = composition(token)
+    simple = (not re.search(VALENCE_INFO_RE, token) and re.search("[0-9a-z]", token) is not None
+              and (token in DIATOMIC or amounts is not None and len(amounts) >= 2
+                   and all(el in REAL_ELEMENTS for el in amounts)))
+    text = integer_formula(amounts) if amounts else None
+    return simple, token if text is None else text, simple and bool(amounts) and math.inf in amounts.values()
+
+
+def _describe_lists(lists: pa.Array) -> pa.Array:
+    """Each distinct token of a batch is described once."""
+    offsets = lists.offsets.to_numpy()
+    flat = lists.values[int(offsets[0]):int(offsets[-1])].dictionary_encode()
+    rows = [_describe(t) for t in flat.dictionary.to_pylist()]
+    known = pa.StructArray.from_arrays(
+        [flat.dictionary, pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.string()),
+         pa.array([r[2] for r in rows], pa.bool_())], ["tok", "simple", "normalized", "overflow"])
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), known.take(flat.indices))
+
+
+def _is_candidate(t: Column) -> Column:
+    return t.rlike(CANDIDATE_RE) & t.rlike("[0-9]|[A-Z].*[A-Z]")
+
+
+def formula_table(toks: Column) -> Column:
+    """``ARRAY<STRUCT<tok, simple, normalized, overflow>>`` of the distinct
+    tokens of an array that may be formulas (T9, T10, F3). The others, most of
+    all tokens, never leave the JVM. Not for use inside a lambda."""
+    some = F.array_distinct(F.filter(F.coalesce(toks, F.array().cast("array<string>")), _is_candidate))
+    return F.arrow_udf(_describe_lists, "array<struct<tok:string,simple:boolean,normalized:string,overflow:boolean>>")(some)
+
+
+def described(table: Column, t: Column) -> Column:
+    """The entry of a token in a ``formula_table``, null for none."""
+    return F.when(_is_candidate(t), F.get(F.filter(table, lambda x: x["tok"] == t), F.lit(0)))
 
 
 def let(value: Column, fn) -> Column:
@@ -130,42 +157,14 @@ def let(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
-def _is_simple(t: Column, comp: Column) -> Column:
-    real = F.forall(comp, lambda p: p["el"].isin(*REAL_ELEMENTS))
-    return (~t.rlike(VALENCE_INFO_RE) & t.rlike("[0-9a-z]")
-            & (t.isin(*DIATOMIC) | (comp.isNotNull() & (F.size(comp) >= 2) & real)))
-
-
-def _normalized(t: Column, comp: Column) -> Column:
-    amts = F.transform(comp, lambda p: p["amt"])
-
-    def with_gcd(g):
-        ints = F.transform(comp, lambda p: F.struct(
-            p["el"].alias("el"), F.bround(p["amt"] / g, 0).try_cast("decimal(38,0)").alias("n")))
-        ordered = F.array_sort(ints, lambda a, b: F.when(a["el"] < b["el"], -1)
-                               .when(a["el"] > b["el"], 1).otherwise(0))
-        text = F.array_join(F.transform(
-            F.filter(ordered, lambda p: p["n"] != 0),
-            lambda p: F.when(p["n"] > 1, F.concat(p["el"], p["n"].cast("string"))).otherwise(p["el"])), "")
-        return F.when(F.forall(ints, lambda p: p["n"].isNotNull()), text).otherwise(t)
-
-    gcd = F.aggregate(amts, amts[0], lambda n, x: _pair_gcd(n, x))
-    return F.when(comp.isNotNull() & (F.size(comp) > 0), let(gcd, with_gcd)).otherwise(t)
-
-
 def formula_info(t: Column) -> Column:
     """T9 + T10 + F3 in one pass: ``STRUCT<simple, normalized, overflow>``
     (``normalized`` only for a simple formula)."""
-    def body(comp):
-        simple = _is_simple(t, comp)
-        return F.struct(
-            simple.alias("simple"),
-            F.when(simple, _normalized(t, comp)).alias("normalized"),
-            F.coalesce(simple & F.exists(comp, lambda p: p["amt"] == F.lit(float("inf"))),
-                       F.lit(False)).alias("overflow"))
-    return F.when(t.rlike(FORMULA_SHAPE_RE) | t.isin(*DIATOMIC), let(formula_composition(t), body)) \
-        .otherwise(F.struct(F.lit(False).alias("simple"), F.lit(None).cast("string").alias("normalized"),
-                            F.lit(False).alias("overflow")))
+    def body(x):
+        simple = F.coalesce(x["simple"], F.lit(False))
+        return F.struct(simple.alias("simple"), F.when(simple, x["normalized"]).alias("normalized"),
+                        F.coalesce(x["overflow"], F.lit(False)).alias("overflow"))
+    return let(F.get(formula_table(F.array(t)), F.lit(0)), body)
 
 
 def is_simple_formula(t: Column) -> Column:
@@ -177,7 +176,7 @@ def is_simple_formula(t: Column) -> Column:
 def normalized_formula(t: Column) -> Column:
     """Amounts divided by their float gcd (tolerance 1/1000), rounded half
     to even, symbols sorted, 1 omitted, 0 dropped. Unparsable -> unchanged."""
-    return let(formula_composition(t), lambda comp: _normalized(t, comp))
+    return F.coalesce(F.get(formula_table(F.array(t)), F.lit(0))["normalized"], t)
 
 
 def formula_overflows(t: Column) -> Column:

@@ -24,11 +24,15 @@ from .fixed_values import ELEMENT_NAMES, ELEMENTS, NUM_TOKEN, NUMBER_RE, PARAGRA
 SENTENCE_END_RE = r"([.!?])[ \t]+"
 EDGE_BLANKS_RE = r"^[ \t\r]+|[ \t\r]+$"
 _EL = r"[A-Z][a-z]?(?:[0-9]+(?:\.[0-9]+)?)?"
-# A token: a chemical formula with parenthesised groups (Ca(OH)2) kept whole;
+# A token: a chemical formula with parenthesised groups, which may hold groups
+# themselves (Ca(OH)2, Mg(Fe(CN)6)2), kept whole;
 # letters/digits (with inner decimal points or commas followed by a digit,
 # and an optional parenthesised numeral or number such as Fe(II), Si(111) or
 # 1.2(3)); or any single other visible character.
-TOKEN_RE = (r"(?:" + _EL + r")*(?:\((?:" + _EL + r")+\)(?:[0-9]+(?:\.[0-9]+)?)?)+(?:" + _EL + r")*"
+_NUM = r"(?:[0-9]+(?:\.[0-9]+)?)?"
+_GROUP = r"\((?:" + _EL + r")+\)" + _NUM
+_GROUPS = r"\((?:" + _EL + "|" + _GROUP + r")+\)" + _NUM
+TOKEN_RE = (r"(?:" + _EL + r")*(?:" + _GROUPS + r")+(?:" + _EL + r")*"
             r"|[\p{L}\p{M}\p{N}]+(?:[.,]\p{N}[\p{L}\p{M}\p{N}]*)*(?:\((?:\p{N}+|[IVXivx]+)\))?"
             r"|[^\p{Z}\t\n\x0B\f\r\p{L}\p{M}\p{N}]")
 
@@ -136,20 +140,23 @@ def remove_accents(t: Column) -> Column:
 
 
 def process_tokens(toks: Column, exclude_punct: bool = False, convert_num: bool = True,
-                   normalize_materials: bool = True, accents: bool = True) -> Column:
+                   normalize_materials: bool = True, accents: bool = True,
+                   formulas: Column | None = None) -> Column:
     """Per token, in order: punctuation drop (T5), number mask (T6/T7),
     element name (T8), simple formula (T9/T10), selective lower-case (T11),
     then accent removal (T12). Returns ``ARRAY<STRUCT<tok, orig, norm>>``:
     ``tok`` is null for a dropped token; ``norm`` is set for a material
-    mention (T13) whose original text is ``orig``.
+    mention (T13) whose original text is ``orig``. ``formulas``: the
+    ``formula_table`` of the tokens as a column, needed inside a lambda.
     """
-    def one_of(toks):
+    def one_of(toks, table):
         def one(t, i):
-            info = F.struct(mat.element_name_symbol(t).alias("sym"), mat.formula_info(t).alias("f"),
+            info = F.struct(mat.element_name_symbol(t).alias("sym"), mat.described(table, t).alias("f"),
                             (is_number(t) if convert_num else F.lit(False)).alias("num"))
 
             def body(x):
-                symbol, formula, norm_formula = x["sym"], x["f"]["simple"], x["f"]["normalized"]
+                symbol, norm_formula = x["sym"], x["f"]["normalized"]
+                formula = F.coalesce(x["f"]["simple"], F.lit(False))
                 out = F.when(F.lit(exclude_punct) & is_punct(t), F.lit(None))
                 if convert_num:
                     out = out.when(x["num"], F.when(_bracketed(toks, i), t).otherwise(F.lit(NUM_TOKEN)))
@@ -165,7 +172,7 @@ def process_tokens(toks: Column, exclude_punct: bool = False, convert_num: bool
                            .when(symbol.isNotNull(), symbol)
                            .when(formula, norm_formula))
                 return F.struct(out.cast("string").alias("tok"), t.alias("orig"), mention.alias("norm"),
-                                x["f"]["overflow"].alias("overflow"))
+                                F.coalesce(x["f"]["overflow"], F.lit(False)).alias("overflow"))
 
             # Fast path: a plain lower-case ASCII word is not punctuation, a
             # number, a formula (those start upper-case) or accented, and
@@ -177,7 +184,8 @@ def process_tokens(toks: Column, exclude_punct: bool = False, convert_num: bool
             return F.when(t.rlike("^[a-z]+$"), plain).otherwise(mat.let(info, body))
         return one
 
-    return mat.let(toks, lambda tk: F.transform(tk, one_of(tk)))
+    table = mat.formula_table(toks) if formulas is None else formulas
+    return mat.let(F.struct(toks.alias("t"), table.alias("f")), lambda x: F.transform(x["t"], one_of(x["t"], x["f"])))
 
 
 def processed(steps: Column) -> Column:

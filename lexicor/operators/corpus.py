@@ -41,9 +41,9 @@ def overflow(steps: Column) -> Column:
     return F.exists(steps, lambda s: s["overflow"])
 
 
-def process_sentences(sents: Column, **flags) -> Column:
-    """``process`` applied to each sentence: ``ARRAY<ARRAY<STRUCT>>``."""
-    return F.transform(sents, lambda s: tx.process_tokens(tx.tokens(s), **flags))
+def process_sentences(toks: Column, formulas: Column, **flags) -> Column:
+    """``process`` applied to each sentence's tokens: ``ARRAY<ARRAY<STRUCT>>``."""
+    return F.transform(toks, lambda s: tx.process_tokens(s, formulas=formulas, **flags))
 
 
 def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
@@ -59,9 +59,11 @@ def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
         return tx.fold_spelling(s, spelling) if spelling is not None else s
 
     if recipe == "api":
-        steps = process_sentences(tx.sentences(text), **flags)
-        out = docs.withColumn("_steps", steps).select(
-            "*",
+        # tokens are projected once and read by two consumers
+        staged = docs.withColumn("_stoks", F.transform(tx.sentences(text), lambda s: tx.tokens(s)))
+        staged = staged.withColumn("_table", mat.formula_table(F.flatten("_stoks")))
+        out = staged.withColumn("_steps", process_sentences(F.col("_stoks"), F.col("_table"), **flags)).select(
+            *docs.columns, "_steps",
             F.array_join(F.transform("_steps", lambda st: F.array_join(tx.processed(st), " ")), "\n")
             .alias("processed_abstract"),
             F.flatten(F.transform("_steps", tx.mentions)).alias("materials"),
@@ -76,8 +78,8 @@ def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
         else:
             docs = docs.withColumn("_base", text)
         flat = F.flatten(F.transform(tx.sentences(F.col("_base")), lambda s: tx.tokens(s)))
-        out = docs.withColumn("_steps", tx.process_tokens(flat, **flags)).select(
-            "*", F.array_join(tx.processed(F.col("_steps")), " ").alias("processed_abstract"),
+        out = docs.withColumn("_flat", flat).withColumn("_steps", tx.process_tokens(F.col("_flat"), **flags)).select(
+            *docs.columns, "_steps", F.array_join(tx.processed(F.col("_steps")), " ").alias("processed_abstract"),
             tx.mentions(F.col("_steps")).alias("materials"),
             overflow(F.col("_steps")).alias("unprocessable")).drop("_base")
     elif recipe == "s2orc":
@@ -92,7 +94,7 @@ def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
             F.array_join(F.transform("_kept", lambda k: spell(F.array_join(k, " "))), "\n")
             .alias("processed_abstract"),
             F.array().cast("array<struct<original:string,normalized:string>>").alias("materials"),
-            F.exists("_stoks", lambda tk: F.exists(tk, mat.formula_overflows)).alias("unprocessable"))
+            F.exists(mat.formula_table(F.flatten("_stoks")), lambda x: x["overflow"]).alias("unprocessable"))
         out = out.drop("_stoks", "_kept")
     else:
         raise ValueError(f"unknown recipe {recipe!r}")

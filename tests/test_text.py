@@ -99,6 +99,27 @@ def test_formulas_with_groups(spark):
     assert col_values(spark, mat.normalized_formula(F.col("t")), vals[:2]) == ["CaH2O2", "MgN2O6"]
 
 
+def test_nested_groups_and_long_division():
+    assert mat.composition("Mg(Fe(CN)6)2") == {"Mg": 1.0, "Fe": 2.0, "C": 12.0, "N": 12.0}
+    assert mat.composition("Ca(OH") is None and mat.composition("Ca)OH(") is None and mat.composition("()Fe") is None
+    # 76 division steps, common divisor 1
+    assert mat.integer_formula(mat.composition("Fe8944394323791464O5527939700884757")) == \
+        "Fe8944394323791464O5527939700884757"
+    assert mat.integer_formula({"Fe": 1e40, "O": 2e40}) == "FeO2"
+
+
+def test_formula_amount_overflow_rejects(spark):
+    from lexicor.operators import corpus
+    rows = [(1, "Sample of Fe" + "9" * 400 + "O2 here."), (2, "Sample of Mg(Fe(CN)6)2 and Fe2O4."), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for recipe in ("api", "loader", "s2orc"):
+        got = {r.doc_id: r for r in corpus.normalise(docs, recipe).collect()}
+        assert got[1].unprocessable and not got[2].unprocessable
+    got = {r.doc_id: r for r in corpus.normalise(docs, "api").collect()}
+    assert got[2].processed_abstract == "sample of C12Fe2MgN12 and FeO2 ."
+    assert got[3].processed_abstract is None and got[4].processed_abstract == ""
+
+
 def test_lemma_join_path_equals_broadcast_path(spark):
     df = spark.createDataFrame([(1, ["cats", "and", "dogs"]), (2, []), (3, ["dog", "cats"])],
                                "id int, toks array<string>")
