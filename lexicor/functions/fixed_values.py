@@ -101,17 +101,7 @@ W2V_DIMS = 100
 TRAIN_SHARE = 0.8
 SPLIT_SEED = 5
 FLUSH_SIZE = 20000
-GENERAL_TAG = "food science"
-TAG_RENAMES = [("matthew", "dataset2"), ("gabby", "dataset1")]
-COUNT_TAGS = ["gabby", "dataset1", "dataset2", "matthew", "food science"]
-
-# Exploration batch run after training.
-EXPLORE_SIMILAR = ["flavor", "beef", "duck meat", "lamb"]
-EXPLORE_CLOSER = "plant"
-EXPLORE_FARTHER = "animal"
-EXPLORE_TOPN = 10
-EXPLORE_ANALOGIES = [("pig", "cow", "beef"), ("chicken", "cow", "beef"),
-                     ("chicken", "pig", "pork"), ("soy", "beef", "hemoglobin")]
+GENERAL_TAG = "general"
 
 # Paragraph marker inside S2ORC abstracts.
 PARAGRAPH_MARKER = "::: "

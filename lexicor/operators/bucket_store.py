@@ -1,0 +1,98 @@
+"""A keyed article store in hash buckets: an upsert rewrites only the buckets
+its keys fall into.
+
+Layout under the store's root: ``data/v=<n>/bucket=<b>/`` holds the rows of
+bucket b as of version n, ``manifest/<n>.json`` says which version each bucket
+is at, and which batch of which stream was last applied. The manifest is
+written last, by rename, and is the commit: a version without one does not
+exist, and its folder is overwritten by the next try. A reader takes the
+newest manifest; older versions stay readable until they are cleaned up.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import store as st
+
+BUCKETS = 64
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _path(root: str, *parts: str) -> str:
+    return "/".join([root.rstrip("/"), *parts])
+
+
+def manifest(spark: SparkSession, root: str) -> dict:
+    """The newest manifest: ``version, n_buckets, buckets, applied``."""
+    fs, folder = _fs(spark, _path(root, "manifest"))
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    done = sorted(n for n in names if n.endswith(".json") and not n.startswith("_"))
+    if not done:
+        return {"version": 0, "n_buckets": BUCKETS, "buckets": {}, "applied": {}}
+    text = spark.read.text(_path(root, "manifest", done[-1]), wholetext=True).first()[0]
+    return json.loads(text)
+
+
+def _commit(spark: SparkSession, root: str, content: dict) -> None:
+    name = f"{content['version']:08d}.json"
+    fs, temp = _fs(spark, _path(root, "manifest", f"_{name}.tmp"))
+    out = fs.create(temp, True)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    if not fs.rename(temp, _fs(spark, _path(root, "manifest", name))[1]):
+        raise RuntimeError(f"version {content['version']} of {root} was committed by another writer")
+
+
+def bucket_of(n: int):
+    return F.pmod(F.xxhash64(*st.KEY), F.lit(n)).cast("int")
+
+
+def read_store(spark: SparkSession, root: str, buckets=None) -> DataFrame | None:
+    """Rows of the store (of some buckets only); None while it is empty."""
+    m = manifest(spark, root)
+    paths = [_path(root, "data", f"v={v:08d}", f"bucket={b}") for b, v in m["buckets"].items()
+             if buckets is None or int(b) in buckets]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def upsert_into(spark: SparkSession, root: str, batch: DataFrame, fields: list[str], *, seq_col: str = "_seq",
+                stream: str | None = None, epoch: int | None = None, n_buckets: int = BUCKETS, before_commit=None):
+    """``store.upsert`` of a batch into the store at ``root``; returns
+    ``per_key`` (new keys and added tags), or None if this batch of this
+    stream is in the store already.
+
+    The batch is reduced to one row per key first and written, so the buckets
+    it touches (at most ``n_buckets`` numbers, collected) and the join come
+    from one table. ``before_commit`` is called with ``per_key``; what it
+    writes for this batch must bear being written again."""
+    from ..session import cut_lineage
+
+    m = manifest(spark, root)
+    if stream is not None and m["applied"].get(stream, -1) >= epoch:
+        return None
+    n = m["n_buckets"] if m["buckets"] else n_buckets
+    rows = cut_lineage(st.reduce_batch(batch, fields, seq_col).withColumn("bucket", bucket_of(n)), "batch")
+    touched = sorted(r[0] for r in rows.select("bucket").distinct().collect())
+    version = m["version"] + 1
+    if touched:
+        merged = cut_lineage(st.merge_reduced(read_store(spark, root, set(touched)), rows.drop("bucket"), fields), "merge")
+        (merged.select(*st.KEY, *fields, "tags", bucket_of(n).alias("bucket")).repartition("bucket")
+         .write.mode("overwrite").partitionBy("bucket").parquet(_path(root, "data", f"v={version:08d}")))
+        per_key = st.per_key_of(merged)
+    else:
+        schema = ", ".join(f"`{k}` string" for k in st.KEY)
+        per_key = spark.createDataFrame([], schema + ", is_new boolean, added array<string>")
+    if before_commit is not None:
+        before_commit(per_key)
+    _commit(spark, root, {
+        "version": version, "n_buckets": n, "buckets": m["buckets"] | {str(b): version for b in touched},
+        "applied": m["applied"] | ({} if stream is None else {stream: epoch})})
+    return per_key

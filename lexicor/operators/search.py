@@ -42,29 +42,22 @@ def clean_keywords(lines: DataFrame, col: str = "value") -> DataFrame:
 def _matcher(pairs):
     if not pairs:
         return lambda text: set()
-    try:
-        import ahocorasick
-    except ImportError:  # pragma: no cover - plain scan fallback
-        ahocorasick = None
+    import ahocorasick
+
     by_kw: dict[str, list] = {}
     for kid, kw in pairs:
         by_kw.setdefault(kw, []).append(kid)
-    if ahocorasick is not None:
-        auto = ahocorasick.Automaton()
-        for kw, ids in by_kw.items():
-            auto.add_word(kw, ids)
-        auto.make_automaton()
-
-        def find(text):
-            found = set()
-            for _, ids in auto.iter(text):
-                found.update(ids)
-            return found
-        return find
-
-    def scan(text):
-        return {i for kw, ids in by_kw.items() if kw in text for i in ids}
-    return scan
+    auto = ahocorasick.Automaton()
+    for kw, ids in by_kw.items():
+        auto.add_word(kw, ids)
+    auto.make_automaton()
+
+    def find(text):
+        found = set()
+        for _, ids in auto.iter(text):
+            found.update(ids)
+        return found
+    return find
 
 
 def keyword_hits(docs: DataFrame, keywords: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",

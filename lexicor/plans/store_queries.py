@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.fixed_values import COUNT_TAGS, GENERAL_TAG, TAG_RENAMES
+from ..functions.fixed_values import GENERAL_TAG
 from ..operators import rejects as rj
 from ..operators import search
 from ..operators import store as st
@@ -22,6 +22,8 @@ from .registry import register
 
 _TAGS = ["quality", "clean"]
 _FIELDS = ["doc_id", "database", "title"]
+_TAG_RENAMES = [("draft_a", "set_2"), ("draft_b", "set_1")]
+_COUNT_TAGS = ["draft_b", "set_1", "set_2", "draft_a", GENERAL_TAG]
 
 
 def articles(spark, sf_dir):
@@ -38,7 +40,7 @@ def articles(spark, sf_dir):
         F.when(F.col("lang") == "de", F.concat(F.lit("PMC"), F.col("doc_id").cast("string"))).alias("pmc"),
         F.when(F.col("lang") != "fr", F.concat(F.lit("p"), (F.col("doc_id") % 500).cast("string")))
         .alias("paperid"),
-        F.substring("text", 1, 40).alias("title"),
+        F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("title"),
         F.when(F.col("n_chars") < 40, F.lit("")).otherwise(F.col("text")).alias("abstract"),
         F.lit("s2orc").alias("database"),
         F.col("quality").alias("pred_quality"),
@@ -55,7 +57,7 @@ art AS (
          CASE WHEN d.source IN ('src1', 'src2', 'src3') THEN 'pm' || CAST(d.doc_id AS VARCHAR) END AS uid,
          CASE WHEN d.lang = 'de' THEN 'PMC' || CAST(d.doc_id AS VARCHAR) END AS pmc,
          CASE WHEN d.lang <> 'fr' THEN 'p' || CAST(d.doc_id % 500 AS VARCHAR) END AS paperid,
-         substr(d.text, 1, 40) AS title,
+         concat_ws('-', d.source, CAST(d.doc_id AS VARCHAR)) AS title,
          CASE WHEN d.n_chars < 40 THEN '' ELSE d.text END AS abstract,
          l.quality AS pred_quality, 1 - l.toxic AS pred_clean, d.doc_id % 2 AS batch,
          [d.lang, d.source] AS base_tags
@@ -167,40 +169,40 @@ def unique_check(spark, sf_dir):
 
 
 _RENAME_SQL = "WITH " + _ART_SQL.strip() + """,
-t0 AS (SELECT doc_id, list_filter(list_concat(base_tags, [CASE WHEN pred_quality = 1 THEN 'matthew' END,
-                                          CASE WHEN pred_clean = 0 THEN 'gabby' END]), lambda x: x IS NOT NULL) AS tags
+t0 AS (SELECT doc_id, list_filter(list_concat(base_tags, [CASE WHEN pred_quality = 1 THEN 'draft_a' END,
+                                          CASE WHEN pred_clean = 0 THEN 'draft_b' END]), lambda x: x IS NOT NULL) AS tags
        FROM art),
 t1 AS (SELECT doc_id, tags AS before,
-              CASE WHEN list_contains(tags, 'matthew') THEN list_filter(list_distinct(list_concat(tags, ['dataset2'])), lambda x: x <> 'matthew') ELSE tags END AS tags
+              CASE WHEN list_contains(tags, 'draft_a') THEN list_filter(list_distinct(list_concat(tags, ['set_2'])), lambda x: x <> 'draft_a') ELSE tags END AS tags
        FROM t0),
 t2 AS (SELECT doc_id, before,
-              CASE WHEN list_contains(tags, 'gabby') THEN list_filter(list_distinct(list_concat(tags, ['dataset1'])), lambda x: x <> 'gabby') ELSE tags END AS tags
+              CASE WHEN list_contains(tags, 'draft_b') THEN list_filter(list_distinct(list_concat(tags, ['set_1'])), lambda x: x <> 'draft_b') ELSE tags END AS tags
        FROM t1)"""
 
 
 def _renamed(spark, sf_dir):
     a = articles(spark, sf_dir).select(
         "doc_id", F.array_compact(F.concat("base_tags", F.array(
-            F.when(F.col("pred_quality") == 1, F.lit("matthew")),
-            F.when(F.col("pred_clean") == 0, F.lit("gabby"))))).alias("tags"))
-    return st.rename_tags(a, TAG_RENAMES)
+            F.when(F.col("pred_quality") == 1, F.lit("draft_a")),
+            F.when(F.col("pred_clean") == 0, F.lit("draft_b"))))).alias("tags"))
+    return st.rename_tags(a, _TAG_RENAMES)
 
 
 @register("tag_rename", _RENAME_SQL + """
 SELECT doc_id, array_to_string(list_sort(tags), ',') AS tags, list_sort(before) <> list_sort(tags) AS changed FROM t2""")
 def tag_rename(spark, sf_dir):
-    """Matthew -> dataset2 and gabby -> dataset1 over every article."""
+    """draft_a -> set_2 and draft_b -> set_1 over every article."""
     r = _renamed(spark, sf_dir)
     return r.select("doc_id", F.array_join(F.array_sort("tags"), ",").alias("tags"), "changed")
 
 
 @register("tag_counts", _RENAME_SQL + """,
 c AS (SELECT tag, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(tags) AS tag FROM t2) GROUP BY tag),
-w AS (SELECT unnest(""" + "[" + ", ".join("'" + t + "'" for t in COUNT_TAGS) + """]) AS tag)
+w AS (SELECT unnest(""" + "[" + ", ".join("'" + t + "'" for t in _COUNT_TAGS) + """]) AS tag)
 SELECT w.tag, coalesce(c.n, 0) AS n FROM w LEFT JOIN c USING (tag)""")
 def tag_counts(spark, sf_dir):
     """A1: documents per tag for the fixed tag list (absent tags give 0)."""
-    return st.tag_counts(_renamed(spark, sf_dir), COUNT_TAGS)
+    return st.tag_counts(_renamed(spark, sf_dir), _COUNT_TAGS)
 
 
 @register("load_new_vs_old", """
@@ -237,17 +239,10 @@ def keyword_hits(spark, sf_dir):
 
 @register("tagged_corpus_size", "WITH " + _ART_SQL.strip() + """,
 st AS (SELECT key_type, key, list_distinct(flatten(list(tags))) AS tags FROM tagged GROUP BY ALL),
-w AS (SELECT unnest(['quality', 'clean', '""" + GENERAL_TAG + """', 'dataset1']) AS tag)
+w AS (SELECT unnest(['quality', 'clean', '""" + GENERAL_TAG + """', 'set_1']) AS tag)
 SELECT w.tag, (SELECT count(*) FROM st WHERE list_contains(st.tags, w.tag)) AS n FROM w""")
 def tagged_corpus_size(spark, sf_dir):
     """S9 + A4: per tag, the size of the corpus a training job would read
     (rows of the store whose tag set holds the tag; absent tag -> 0)."""
-    from ..sources.providers import tagged_corpus
-
     store, _, _ = _two_batch_store(spark, sf_dir)
-    parts = [tagged_corpus(store, t, "key").agg(F.lit(t).alias("tag"), F.count("*").alias("n"))
-             for t in ["quality", "clean", GENERAL_TAG, "dataset1"]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return st.tag_counts(store, ["quality", "clean", GENERAL_TAG, "set_1"])

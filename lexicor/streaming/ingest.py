@@ -2,62 +2,76 @@
 
 A file source (``maxFilesPerTrigger`` bounds each micro-batch, the
 counterpart of the original's 20,000-article flushes) feeds
-``foreachBatch``: the batch is prepared exactly as in batch mode, upserted
-into the latest store version, and written as version ``epoch + 1``. The
-write is idempotent per epoch: a replayed epoch finds its version already
-written and skips, so an executor or driver restart never double-applies a
-batch. Keyed first-writer-wins upserts need no watermark or state store.
+``foreachBatch``: the batch is prepared exactly as in batch mode and upserted
+into a bucketed store. The store's manifest records, with the version, the
+last epoch of every stream (its id is kept in its checkpoint), so a replayed
+batch is skipped, a half-written one is done again, and a second source or a
+new checkpoint on the same store goes on from what is there. Keyed
+first-writer-wins upserts need no watermark or state store.
+
+Every batch also leaves its counts under ``metrics/``: rejects by reason, and
+by tag what was analysed, newly stored or tagged, irrelevant, already tagged.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.store import write_version
-from ..plans.ingest import ingest, prepare
+from ..operators import store as st
+from ..operators.bucket_store import manifest, read_store, upsert_into
+from ..plans.ingest import STORE_FIELDS, prepare
+from ..session import cut_lineage
 from ..sources.providers import S2ORC_SCHEMA, s2orc_articles
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+def latest_store(spark: SparkSession, root: str) -> DataFrame | None:
+    return read_store(spark, root)
 
 
-def list_versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v="):
-            if fs.exists(st.getPath().suffix("/_SUCCESS")):
-                out.append(int(name[2:]))
-    return sorted(out)
+def stream_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """``stream, epoch, kind, name, total, relevant, irrelevant,
+    already_tagged`` of every batch: kind ``reject`` (name: reason) or ``tag``."""
+    return spark.read.parquet(f"{root.rstrip('/')}/metrics")
 
 
-def latest_store(spark: SparkSession, root: str) -> DataFrame | None:
-    versions = list_versions(spark, root)
-    if not versions:
-        return None
-    return spark.read.parquet(f"{root.rstrip('/')}/v={versions[-1]:08d}")
+def _write_metrics(root: str, stream: str, epoch: int, rejected: DataFrame, rows: DataFrame, per_key: DataFrame,
+                   tags: list[str], general_tag: str | None) -> None:
+    none = F.lit(None).cast("long")
+    out = rejected.groupBy(F.col("reject_reason").alias("name")).agg(F.count("*").alias("total")).select(
+        F.lit("reject").alias("kind"), "name", "total", none.alias("relevant"), none.alias("irrelevant"),
+        none.alias("already_tagged"))
+    if tags:
+        out = out.unionByName(st.store_metrics(rows, per_key, tags).select(
+            F.lit("tag").alias("kind"), F.col("tag").alias("name"), "total", "relevant", "irrelevant", "already_tagged"))
+    if general_tag:
+        new = per_key.select(F.count_if("is_new")).scalar()
+        out = out.unionByName(rows.agg(F.count("*").alias("total")).select(
+            F.lit("tag").alias("kind"), F.lit(general_tag).alias("name"), "total", new.alias("relevant"),
+            F.lit(0).cast("long").alias("irrelevant"), (F.col("total") - new).alias("already_tagged")))
+    (out.select(F.lit(stream).alias("stream"), F.lit(epoch).cast("long").alias("epoch"), "*").coalesce(1)
+     .write.mode("overwrite").parquet(f"{root.rstrip('/')}/metrics/batch={stream}-{epoch}"))
 
 
 def stream_s2orc(spark: SparkSession, source_dir: str, store_root: str, checkpoint: str, *,
                  models=None, general_tag: str | None = None, max_files_per_trigger: int = 1,
-                 recipe: str = "api", glob: str = "*.jsonl"):
-    """Run the S2ORC ingest over every file now in ``source_dir`` and stop."""
+                 recipe: str = "s2orc", glob: str = "*.jsonl", **normalise_kw):
+    """Run the S2ORC ingest over every file now in ``source_dir`` and stop.
+    ``normalise_kw`` (lemma table, spelling, flags) goes to the recipe."""
     stream = (spark.readStream.schema(S2ORC_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
               .option("pathGlobFilter", glob).json(source_dir))
 
-    def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        version = epoch_id + 1
-        if version in list_versions(spark, store_root):
+    def per_batch(batch: DataFrame, epoch: int) -> None:
+        own = batch.sparkSession
+        name = own.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if manifest(own, store_root)["applied"].get(name, -1) >= epoch:
             return
-        rows, _ = prepare(s2orc_articles(batch), "s2orc", models, general_tag, recipe)
-        store, _ = ingest(latest_store(spark, store_root), rows)
-        write_version(store, store_root, version, partition_by=())
+        rows, rejected = prepare(s2orc_articles(batch), "s2orc", models, general_tag, recipe, **normalise_kw)
+        rows = cut_lineage(rows, "prepared")
+        fields = [f for f in STORE_FIELDS if f in rows.columns]
+        upsert_into(own, store_root, rows, fields, stream=name, epoch=epoch,
+                    before_commit=lambda per_key: _write_metrics(
+                        store_root, name, epoch, rejected, rows, per_key, list(models or {}), general_tag))
 
     q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -47,37 +47,91 @@ def test_word2vec_neighbours_of_planted_pairs(spark):
     df = spark.createDataFrame([(s,) for s in sents], "toks array<string>")
     vec = em.word_vectors(em.train_word2vec(df, dims=16, epochs=5, partitions=2))
     assert vec.count() > 10
-    answers, unknown = em.exploration_batch(vec, user_term="salt")
+    answers, unknown = em.exploration_batch(vec, ["bread", "flavor"], "salt", "butter", [("salt", "pepper", "bread")],
+                                            user_term="salt")
     user = [r.word for r in answers.where("variant = 'user'").orderBy("rank").collect()]
     assert "pepper" in user[:3]
     assert unknown.where("term = 'flavor'").count() >= 1
 
 
+def _land(src, f, lines):
+    src.mkdir(exist_ok=True)
+    (src / f"part{f}.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
+    os.utime(src / f"part{f}.jsonl", (time.time() + f, time.time() + f))
+
+
+def _articles(f):
+    return [{"paper_id": f"p{i}", "doi": f"10.9/{i % 7}" if i % 2 else "", "title": f"t{f}-{i}",
+             "abstract": "" if i == 5 else f"Sample {i} of file {f}. Iron oxide Fe2O3 at 5K."} for i in range(f * 4, f * 4 + 8)]
+
+
+def _stored(df):
+    return sorted((r.key_type, r.key, r.title, r.processed_abstract, tuple(r.tags))
+                  for r in df.select("key_type", "key", "title", "processed_abstract", "tags").collect())
+
+
 def test_stream_equals_batch(spark, tmp_path):
-    from lexicor.operators.store import KEY
     from lexicor.plans.ingest import ingest, prepare
     from lexicor.sources import providers as pv
-    from lexicor.streaming.ingest import stream_s2orc
+    from lexicor.streaming.ingest import stream_metrics, stream_s2orc
 
-    src = tmp_path / "in"
-    src.mkdir()
+    src, root = tmp_path / "in", str(tmp_path / "store")
     for f in range(3):
-        lines = [{"paper_id": f"p{i}", "doi": f"10.9/{i % 7}" if i % 2 else "", "title": f"t{f}-{i}",
-                  "abstract": f"Sample {i} of file {f}. Iron oxide Fe2O3 at 5K."} for i in range(f * 4, f * 4 + 8)]
-        (src / f"part{f}.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
-        os.utime(src / f"part{f}.jsonl", (time.time() + f, time.time() + f))
-    streamed = stream_s2orc(spark, str(src), str(tmp_path / "store"), str(tmp_path / "ckpt"),
-                            general_tag="food science")
-    rows, _ = prepare(pv.s2orc_articles(pv.read_s2orc(spark, str(src))), "s2orc", None, "food science")
-    batch, _ = ingest(None, rows)
+        _land(src, f, _articles(f))
+
+    def run():
+        return stream_s2orc(spark, str(src), root, str(tmp_path / "ckpt"), general_tag="general")
 
-    def norm(df):
-        return sorted((r.key_type, r.key, r.title, tuple(r.tags)) for r in df.select(*KEY, "title", "tags").collect())
-    assert norm(streamed) == norm(batch)
+    streamed = _stored(run())
+    rows, _ = prepare(pv.s2orc_articles(pv.read_s2orc(spark, str(src))), "s2orc", None, "general", "s2orc")
+    batch, _ = ingest(None, rows)
+    assert streamed == _stored(batch)
+    assert "iron oxide" in streamed[0][3].lower()
     # a second run over the same files is a no-op
-    again = stream_s2orc(spark, str(src), str(tmp_path / "store"), str(tmp_path / "ckpt"),
-                         general_tag="food science")
-    assert norm(again) == norm(batch)
+    assert _stored(run()) == streamed
+    m = {(r.epoch, r.kind, r.name): (r.total, r.relevant, r.already_tagged) for r in stream_metrics(spark, root).collect()}
+    # p5 of the first two files has no abstract; keys of file 1: p4, p6, p8, p10 and four DOIs, some known
+    assert m[(0, "reject", "no_abstract")][0] == 1 and m[(1, "reject", "no_abstract")][0] == 1
+    assert m[(0, "tag", "general")] == (7, 7, 0)
+    assert sum(v[1] for k, v in m.items() if k[1] == "tag") == len(streamed)
+
+
+def test_second_source_and_new_checkpoint_lose_nothing(spark, tmp_path):
+    from lexicor.streaming.ingest import stream_s2orc
+
+    root = str(tmp_path / "store")
+    for name, f in (("a", 0), ("b", 1), ("c", 2)):
+        _land(tmp_path / name, 0, _articles(f))
+        got = stream_s2orc(spark, str(tmp_path / name), root, str(tmp_path / f"ckpt-{name}"), general_tag="general")
+    keys = {(x["doi"] or x["paper_id"]) for f in range(3) for x in _articles(f) if x["abstract"]}
+    assert {r.key for r in got.collect()} == keys
+
+
+def test_half_written_version_is_done_again(spark, tmp_path):
+    from lexicor.operators import bucket_store as bs
+    from lexicor.operators import rejects as rj
+
+    def batch(rows):
+        return rj.with_identity(spark.createDataFrame(
+            [(k, None, None, None, t, tags, i) for i, (k, t, tags) in enumerate(rows)],
+            "doi string, uid string, pmc string, paperid string, title string, tags array<string>, _seq long"))
+
+    root = str(tmp_path / "s")
+    bs.upsert_into(spark, root, batch([(f"10.1/{i}", f"t{i}", ["x"]) for i in range(60)]), ["title"], n_buckets=16)
+    half = tmp_path / "s" / "data" / "v=00000002" / "bucket=1"
+    half.mkdir(parents=True)
+    (half / "part-0.parquet").write_bytes(b"cut off")
+    per_key = bs.upsert_into(spark, root, batch([("10.1/3", "new title", ["y"]), ("10.1/new", "n", [])]), ["title"],
+                             stream="s", epoch=0)
+    assert sorted((r.key, r.is_new, r.added) for r in per_key.collect()) == [("10.1/3", False, ["y"]), ("10.1/new", True, [])]
+    # only the buckets of the two keys were written
+    written = {p.name for p in (tmp_path / "s" / "data" / "v=00000002").iterdir() if p.name.startswith("bucket")}
+    assert 1 <= len(written) <= 2
+    got = {r.key: (r.title, r.tags) for r in bs.read_store(spark, root).collect()}
+    assert len(got) == 61 and got["10.1/3"] == ("t3", ["x", "y"]) and got["10.1/new"] == ("n", [])
+    # the same batch of the same stream again: nothing happens
+    assert bs.upsert_into(spark, root, batch([("10.1/z", "z", [])]), ["title"], stream="s", epoch=0) is None
+    assert bs.manifest(spark, root)["version"] == 2
 
 
 def test_entry_contract(spark):
@@ -122,13 +176,13 @@ def test_model_and_phrase_table_round_trip(spark, tmp_path):
 def test_search_filter_and_tag_scan(spark):
     from lexicor.operators.search import search_filter
     from lexicor.sources.providers import tagged_corpus
-    df = spark.createDataFrame([("Journal", "Food", "Beef flavour study", ["dataset1"]),
-                                ("Book", "Food", "beef", ["dataset1"]),
+    df = spark.createDataFrame([("Journal", "Food", "Beef flavour study", ["set_1"]),
+                                ("Book", "Food", "beef", ["set_1"]),
                                 ("Journal", "Chem", "beef", ["x"])],
                                "type string, subject string, abstract string, tags array<string>")
     assert df.where(search_filter(df, subject="Food", keyword="BEEF")).count() == 1
     assert df.where(search_filter(df)).count() == 2
-    scan = tagged_corpus(df.withColumnRenamed("abstract", "processed_abstract"), "dataset1")
+    scan = tagged_corpus(df.withColumnRenamed("abstract", "processed_abstract"), "set_1")
     assert scan.columns == ["processed_abstract"] and scan.count() == 2
 
 
