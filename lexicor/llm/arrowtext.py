@@ -10,6 +10,9 @@ word hashes with numpy only.
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
@@ -163,3 +166,14 @@ def widened(schema: T.StructType, **fields) -> T.StructType:
     for name, kind in fields.items():
         out.add(name, kind)
     return out
+
+
+def worker_store() -> dict:
+    """A dict that lives as long as the Python process: functions shipped by
+    value have no module of their own that outlives a task."""
+    name = "_lexicor_worker_store"
+    if name not in sys.modules:
+        module = types.ModuleType(name)
+        module.store = {}
+        sys.modules[name] = module
+    return sys.modules[name].store

@@ -28,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrowtext import widened
+from .arrowtext import widened, worker_store
 
 #: The word mark of SentencePiece.
 MARK = "▁"
 #: Parts whose paths a task remembers: the last so many, and as many before.
-MEMORY_PARTS = 200_000
+MEMORY_PARTS = 400_000
+#: States are kept at every so many characters.
+STEP = 5
 #: Characters cut into parts at once; output batches close at as many.
 SLICE_CHARS = 1 << 20
 
@@ -64,6 +66,20 @@ def _fields(data: bytes):
             at += size
 
 
+class _Paths(dict):
+    """Packed ids of the parts met last; the generation before is behind it."""
+
+    def __init__(self, machine, older):
+        self.machine, self.older = machine, older
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = np.array(self.machine.path(part), np.int32).tobytes()
+        self[part] = ids
+        return ids
+
+
 class Transducer:
     """The compiled model (see the module text)."""
 
@@ -106,8 +122,8 @@ class Transducer:
             f"{MARK}+[^{MARK}]*|[^{MARK}]+" if mixed else
             f"{MARK}*[^\\W\\d_]+|{MARK}*{other}|{MARK}+").findall
         self.joint: dict[tuple[str, str], bool] = {}
-        self.memory: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.memory = _Paths(self, {})
+        self.heads: dict[str, list[str]] = {}
 
     def _merge(self, text: str) -> list[str]:
         """The merge result: the best-scored adjacent pair first, then the
@@ -140,8 +156,12 @@ class Transducer:
         while j:
             arc = last[j]
             i = self.id.get(arc)
-            out[:0] = [i] if i is not None else [self.byte[b] for b in arc.encode("utf-8", "replace")]
+            if i is not None:
+                out.append(i)
+            else:
+                out += [self.byte[b] for b in reversed(arc.encode("utf-8", "replace"))]
             j -= len(arc)
+        out.reverse()
         return out
 
     def _last_cheapest(self, text: str) -> list[str]:
@@ -162,10 +182,22 @@ class Transducer:
 
     def _last_joined(self, text: str) -> list[str]:
         """The same where arcs must be jointed: each state then has one arc of
-        finite cost, so the first that passes is the cheapest."""
+        finite cost, so the first that passes is the cheapest. States depend
+        on what is before them only, so those of common beginnings are kept."""
+        n = len(text)
+        known = (n - 1) // STEP * STEP
+        if known:
+            last = self.heads.get(text[:known])
+            if last is None:
+                last = self._last_joined(text[:known])
+                if len(self.heads) >= MEMORY_PARTS:
+                    self.heads.clear()
+                self.heads[text[:known]] = last
+            last = last.copy()
+        else:
+            last = [""]
         weight, ends, joint, follows = self.weight, self.ends, self.joint, self._follows
-        last = [""]
-        for j in range(1, len(text) + 1):
+        for j in range(known + 1, n + 1):
             for i in range(j - 1, -1, -1):
                 arc = text[i:j]
                 if arc in weight or i == j - 1:
@@ -180,9 +212,9 @@ class Transducer:
                 raise ValueError("no path")
         return last
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a text; none for an empty one."""
-        out: list[int] = []
+        out: list[bytes] = []
         a, first = 0, self.prefix
         while a < len(text):
             b = min(len(text), a + SLICE_CHARS)
@@ -197,29 +229,32 @@ class Transducer:
             if first:
                 part, first = MARK + part, False
             if self.part is None:
-                out += self.path(part)
+                out.append(np.array(self.path(part), np.int32).tobytes())
             else:
-                memory, older = self.memory, self.older
-                for p in self.part(part):
-                    ids = memory.get(p)
-                    if ids is None:
-                        ids = older.get(p)
-                        memory[p] = ids = self.path(p) if ids is None else ids
-                    out += ids
-                if len(memory) >= MEMORY_PARTS:
-                    self.memory, self.older = {}, memory
+                out.extend(map(self.memory.__getitem__, self.part(part)))
+                if len(self.memory) >= MEMORY_PARTS:
+                    self.memory = _Paths(self, dict(self.memory))
             a = b
-        return out
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> str:
         """Text of ids: the surfaces in a row, without the blank of the
         prefix; bytes that are no UTF-8 become U+FFFD."""
-        data = b"".join(map(self.out.__getitem__, ids))
+        data = b"".join(map(self.out.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         if self.prefix and data[:1] == b" ":
             data = data[1:]
         return data.decode("utf-8", "replace")
 
 
+def _machine(model_path: str) -> Transducer:
+    """The transducer of this Python worker for a model: what it remembers
+    serves the worker's next tasks too."""
+    held = worker_store().setdefault("transducers", {})
+    if model_path not in held:
+        held[model_path] = Transducer(model_path)
+    return held[model_path]
+
+
 def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids",
            decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the ids of every whole text, equal to those of the
@@ -238,7 +273,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
         schema = widened(schema, **{decoded_col: "boolean"})
 
     def run(batches):
-        machine = Transducer(model_path)
+        machine = _machine(model_path)
 
         def close(batch, a, b, flat, sizes, same):
             ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
@@ -253,7 +288,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
             for i, text in enumerate(batch.column(at)):
                 text = text.as_py() or ""
                 ids = machine.encode(text)
-                flat.append(np.array(ids, np.int32))
+                flat.append(ids)
                 sizes.append(len(ids))
                 if decoded_col:
                     same.append(machine.decode(ids) == text)
@@ -274,7 +309,7 @@ def decode(encoded: DataFrame, model_path: str, *, ids_col: str = "ids", text_co
     at = names.index(ids_col)
 
     def run(batches):
-        machine = Transducer(model_path)
+        machine = _machine(model_path)
         for batch in batches:
             texts = [None if ids is None else machine.decode(ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, text_col])

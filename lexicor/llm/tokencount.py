@@ -12,7 +12,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrowtext import widened
+from .arrowtext import widened, worker_store
 
 #: Bytes of one call of the tokenizer.
 BATCH_BYTES = 1 << 18
@@ -74,8 +74,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        known = {"": 0}
+        held = worker_store().setdefault("tokenizers", {})  # for the worker's next tasks too
+        if tokenizer_path not in held:
+            held[tokenizer_path] = Tokenizer.from_file(tokenizer_path), {"": 0}
+        tokenizer, known = held[tokenizer_path]
         for batch in batches:
             n_bytes, n_tokens = [], []
             for text in batch.column(at):
@@ -85,7 +87,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text"
                 for part in pieces(text):
                     fresh = {p for p in part if p not in known}
                     if len(known) + len(fresh) > MEMORY_PIECES:
-                        known = {"": 0}
+                        known.clear()
+                        known[""] = 0
                         fresh = set(part) - {""}
                     for some in batches_by_bytes(fresh):
                         for piece, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
