@@ -223,15 +223,15 @@ MAX_DICTIONARY_ROWS = 2_000_000
 def broadcast_dictionary(table: DataFrame, key_col: str, value_col: str | None = None,
                          max_rows: int = MAX_DICTIONARY_ROWS):
     """A lookup table as a broadcast Python dict (or set when ``value_col`` is
-    None). The row count is checked first; above ``max_rows`` callers take
-    their join path instead. Spark's own map lookups scan keys linearly, so a
-    large dictionary must not be a map value."""
+    None); None if it has more than ``max_rows`` rows: callers take their join
+    path then. Spark's own map lookups scan keys linearly, so a large
+    dictionary must not be a map value."""
     spark = table.sparkSession
     cols = [key_col] if value_col is None else [key_col, value_col]
     # one bounded pass: the size check and the rows come from the same job
     rows = table.select(*cols).limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        raise ValueError(f"dictionary has more than {max_rows} rows")
+        return None
     if value_col is None:
         value = {r[0] for r in rows}
     else:
@@ -260,22 +260,27 @@ def lemmatize(toks: Column, lemmas, nested: bool = False) -> Column:
     return lookup.asNondeterministic()(toks)
 
 
-def lemmatize_column(df: DataFrame, key_cols, col: str, lemmas: DataFrame,
-                     max_rows: int = MAX_DICTIONARY_ROWS) -> DataFrame:
-    """T15 on a token-array column of a keyed table: broadcast lookup when
-    the lemma table is within ``max_rows``, otherwise an equi-join of the
-    exploded tokens regrouped per row key (a group is one row's tokens)."""
-    try:
-        lookup = broadcast_dictionary(lemmas, "form", "lemma", max_rows)
-        return df.withColumn(col, lemmatize(F.col(col), lookup))
-    except ValueError:
-        keys = list(key_cols)
-        rows = df.select(*keys, F.posexplode(col).alias("_p", "token"))
-        joined = lemmatize_by_join(rows, lemmas, "token")
-        back = (joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "token"))).alias("_a"))
-                .select(*keys, F.transform("_a", lambda x: x["token"]).alias("_lem")))
-        return (df.join(back, keys, "left")
-                .withColumn(col, F.coalesce("_lem", F.array().cast("array<string>"))).drop("_lem"))
+def lemmatize_column(df: DataFrame, col: str, lemmas: DataFrame, max_rows: int = MAX_DICTIONARY_ROWS,
+                     nested: bool = False) -> DataFrame:
+    """T15 on a token-array column (``nested``: an array of token arrays):
+    broadcast lookup when the lemma table is within ``max_rows``, otherwise an
+    equi-join of the tokens of every distinct array, found again by the
+    array's digest (a group is one array's tokens)."""
+    lookup = broadcast_dictionary(lemmas, "form", "lemma", max_rows)
+    if lookup is not None:
+        return df.withColumn(col, lemmatize(F.col(col), lookup, nested))
+    flat = F.flatten(col) if nested else F.col(col)
+    keyed = df.withColumn("_key", F.sha2(F.array_join(flat, "\x1f"), 256))
+    arrays = keyed.where(F.size(flat) > 0).select("_key", flat.alias("_flat")).dropDuplicates(["_key"])
+    joined = lemmatize_by_join(arrays.select("_key", F.posexplode("_flat").alias("_p", "token")), lemmas, "token")
+    back = (joined.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_p", "token"))).alias("_a"))
+            .select("_key", F.transform("_a", lambda x: x["token"]).alias("_lem")))
+    found = F.coalesce("_lem", F.array().cast("array<string>"))
+    if nested:
+        before = lambda i: F.aggregate(F.slice(col, 1, i), F.lit(0), lambda n, s: n + F.size(s))
+        found = F.transform(col, lambda s, i: F.slice(found, before(i) + 1, F.size(s)))
+    return (keyed.join(back, "_key", "left").withColumn(col, F.when(F.col(col).isNotNull(), found))
+            .select(*df.columns))
 
 
 def lemmatize_by_join(tok_rows: DataFrame, lemmas: DataFrame, token_col: str = "token") -> DataFrame:
@@ -286,12 +291,9 @@ def lemmatize_by_join(tok_rows: DataFrame, lemmas: DataFrame, token_col: str = "
             .withColumn(token_col, F.coalesce("_lemma", token_col)).drop("form", "_lemma"))
 
 
-def attach_spelling(df: DataFrame, spelling: DataFrame, column: str = "_spelling",
-                    max_rows: int = MAX_DICTIONARY_ROWS) -> DataFrame:
-    """Attach the ordered GB->US list (``pos, gb, us``) as one array value."""
-    n = spelling.count()
-    if n > max_rows:
-        raise ValueError(f"spelling table has {n} rows > {max_rows}")
+def attach_spelling(df: DataFrame, spelling: DataFrame, column: str = "_spelling") -> DataFrame:
+    """Attach the ordered GB->US list (``pos, gb, us``) as one array value: its
+    replacements follow one another by definition, so it is never split."""
     value = spelling.select(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "gb", "us"))),
         lambda x: F.struct(x["gb"].alias("gb"), x["us"].alias("us")))).scalar()

@@ -47,12 +47,12 @@ def process_sentences(toks: Column, formulas: Column, **flags) -> Column:
 
 
 def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
-              lemmas=None, spelling: Column | None = None,
+              lemma_table: DataFrame | None = None, spelling: Column | None = None,
               stop_words=None, lemmatize: bool = True, **flags) -> DataFrame:
     """Adds ``processed_abstract``, ``materials`` (T13 mentions) and
-    ``unprocessable`` (F3) to ``docs`` using the named recipe. ``lemmas`` is
-    a broadcast dictionary (``text.broadcast_dictionary``); ``spelling`` the
-    ordered pair array attached by ``text.attach_spelling``."""
+    ``unprocessable`` (F3) to ``docs`` using the named recipe. ``lemma_table``
+    has ``form, lemma`` (any size, see ``text.lemmatize_column``); ``spelling``
+    is the ordered pair array attached by ``text.attach_spelling``."""
     text = F.col(text_col)
 
     def spell(s: Column) -> Column:
@@ -70,11 +70,11 @@ def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
             F.exists("_steps", overflow).alias("unprocessable"))
     elif recipe == "loader":
         if lemmatize:
-            toks = tx.remove_stop_words(F.flatten(F.transform(tx.sentences(text), lambda s: tx.tokens(s))),
-                                        stop_words)
-            if lemmas is not None:
-                toks = tx.lemmatize(toks, lemmas)
-            docs = docs.withColumn("_base", spell(F.array_join(toks, " ")))
+            docs = docs.withColumn("_ltoks", tx.remove_stop_words(
+                F.flatten(F.transform(tx.sentences(text), lambda s: tx.tokens(s))), stop_words))
+            if lemma_table is not None:
+                docs = tx.lemmatize_column(docs, "_ltoks", lemma_table)
+            docs = docs.withColumn("_base", spell(F.array_join("_ltoks", " "))).drop("_ltoks")
         else:
             docs = docs.withColumn("_base", text)
         flat = F.flatten(F.transform(tx.sentences(F.col("_base")), lambda s: tx.tokens(s)))
@@ -87,8 +87,8 @@ def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
         # references keep the optimizer from inlining the tokenisation twice)
         staged = docs.withColumn("_stoks", F.transform(tx.sentences(text), lambda s: tx.tokens(s))).withColumn(
             "_kept", F.transform("_stoks", lambda tk: tx.remove_stop_words(tk, stop_words)))
-        if lemmas is not None:
-            staged = staged.withColumn("_kept", tx.lemmatize(F.col("_kept"), lemmas, nested=True))
+        if lemma_table is not None:
+            staged = tx.lemmatize_column(staged, "_kept", lemma_table, nested=True)
         out = staged.select(
             "*",
             F.array_join(F.transform("_kept", lambda k: spell(F.array_join(k, " "))), "\n")
@@ -113,7 +113,7 @@ def clean_corpus(articles: DataFrame, tag: str, *, lemma_table: DataFrame | None
     staged = sel.select(*keys, *([] if spelling is None else ["_spelling"]),
                         tx.remove_stop_words(toks, stop_words).alias("_ct"))
     if lemma_table is not None:
-        staged = tx.lemmatize_column(staged, keys, "_ct", lemma_table)
+        staged = tx.lemmatize_column(staged, "_ct", lemma_table)
     cleaned = F.array_join("_ct", " ")
     if spelling is not None:
         cleaned = tx.fold_spelling(cleaned, spelling)

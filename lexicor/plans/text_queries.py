@@ -15,7 +15,7 @@ from ..functions import text as tx
 from ..functions.fixed_values import ELEMENT_NAMES, ELEMENTS, ELEMENTS_AND_NAMES
 from ..operators import corpus
 from ..functions.markup import strip_markup
-from ..session import load
+from ..session import cut_lineage, load
 from . import sql_text as S
 from .registry import register
 
@@ -241,10 +241,9 @@ def _documents(spark, sf_dir):
 
 
 def _with_dictionaries(spark, docs):
-    """Spelling list attached as one value, and the lemma dictionary derived
-    from the corpus vocabulary as a broadcast lookup (both size-checked)."""
-    lemmas = tx.broadcast_dictionary(plural_lemmas(corpus.token_rows(docs.select("doc_id", "text"))),
-                                     "form", "lemma")
+    """Spelling list attached as one value, and the lemma table derived from
+    the corpus vocabulary."""
+    lemmas = cut_lineage(plural_lemmas(corpus.token_rows(docs.select("doc_id", "text"))), "lemmas")
     return tx.attach_spelling(docs, spelling_table(spark, SPELLING_GB_US)), lemmas
 
 
@@ -277,7 +276,7 @@ def lemma_lookup(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     lemmas = plural_lemmas(corpus.token_rows(docs.select("doc_id", "text")))
     s = _sentence_tokens(spark, sf_dir).withColumn("toks", tx.remove_stop_words(F.col("toks")))
-    out = tx.lemmatize_column(s, ["doc_id", "sent_no"], "toks", lemmas)
+    out = tx.lemmatize_column(s, "toks", lemmas)
     return out.select("doc_id", "sent_no", F.array_join("toks", " ").alias("lemmatized"))
 
 
@@ -315,7 +314,7 @@ def normalise_loader(spark, sf_dir):
     """Loader recipe: stop words + lemmas over the whole text -> spelling ->
     the token pipeline on one flat token list."""
     docs, lemmas = _with_dictionaries(spark, _documents(spark, sf_dir))
-    out = corpus.normalise(docs, "loader", lemmas=lemmas, spelling=F.col("_spelling"))
+    out = corpus.normalise(docs, "loader", lemma_table=lemmas, spelling=F.col("_spelling"))
     return out.select("doc_id", "processed_abstract")
 
 
@@ -330,7 +329,7 @@ def normalise_s2orc(spark, sf_dir):
     """S2ORC recipe: per sentence stop words + lemmas -> spelling; the token
     pipeline only decides whether the article is unprocessable."""
     docs, lemmas = _with_dictionaries(spark, _documents(spark, sf_dir))
-    out = corpus.normalise(docs, "s2orc", lemmas=lemmas, spelling=F.col("_spelling"))
+    out = corpus.normalise(docs, "s2orc", lemma_table=lemmas, spelling=F.col("_spelling"))
     return out.select("doc_id", "processed_abstract", "unprocessable")
 
 

@@ -26,6 +26,10 @@ def _anchors(vocab):
     return vocab.groupBy("label").agg(F.min("word").alias("anchor"))
 
 
+def display_word(word: str) -> str:
+    return word.replace("_", " ")
+
+
 def _round(df, col="similarity"):
     return df.withColumn(col, F.round(F.col(col), 4))
 
@@ -217,8 +221,7 @@ def vec_query_table(spark, sf_dir):
 def vec_unknown_terms(spark, sf_dir):
     """V9: the out-of-vocabulary terms of the query table (those queries
     return no rows)."""
-    _, unknown = sim.answer_query_table(_term_vocab(spark, sf_dir), _query_table(spark, sf_dir))
-    return unknown
+    return sim.unknown_terms(_term_vocab(spark, sf_dir), sim.query_table_terms(_query_table(spark, sf_dir)))
 
 
 @register("term_display", """
@@ -236,3 +239,19 @@ def term_display(spark, sf_dir):
                       F.struct(F.col("p_brand").alias("term"), F.lit(False).alias("positive")))
     return part.select("p_partkey", stored.alias("stored"), display_term(stored).alias("display"),
                        query_label(F.col("p_name"), vectors).alias("label"))
+
+
+@register("exploration")
+def exploration(spark, sf_dir):
+    """The exploration batch over the term vocabulary: most-similar,
+    comparison filter, signed vectors, analogies and a user term, all built
+    from the label anchors (rows only)."""
+    vocab = _term_vocab(spark, sf_dir)
+    first = vocab.groupBy("label").agg(F.min_by("word", "vec_id").alias("word")).orderBy("label").limit(8)
+    a = [display_word(r["word"]) for r in first.collect()]  # eight anchors
+    from ..operators.embeddings import exploration_batch
+
+    answers, _ = exploration_batch(vocab.select("word", "vector"), a[:4], a[4].replace(" ", "_"), a[5].replace(" ", "_"),
+                                   [(x.replace(" ", "_"), a[6].replace(" ", "_"), a[7].replace(" ", "_")) for x in a[:4]],
+                                   user_term=a[0])
+    return _round(answers)

@@ -124,6 +124,24 @@ def test_lemma_join_path_equals_broadcast_path(spark):
     df = spark.createDataFrame([(1, ["cats", "and", "dogs"]), (2, []), (3, ["dog", "cats"])],
                                "id int, toks array<string>")
     lem = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "form string, lemma string")
-    a = {r.id: r.toks for r in tx.lemmatize_column(df, ["id"], "toks", lem).collect()}
-    b = {r.id: r.toks for r in tx.lemmatize_column(df, ["id"], "toks", lem, max_rows=0).collect()}
+    a = {r.id: r.toks for r in tx.lemmatize_column(df, "toks", lem).collect()}
+    b = {r.id: r.toks for r in tx.lemmatize_column(df, "toks", lem, max_rows=0).collect()}
     assert a == b == {1: ["cat", "and", "dog"], 2: [], 3: ["dog", "cat"]}
+
+
+def test_recipes_beyond_the_dictionary_bound(spark, monkeypatch):
+    from lexicor.operators import corpus
+    from lexicor.operators.lemmas import spelling_table
+    docs = spark.createDataFrame([(1, "The cats sat. Colours of dogs!"), (1, "The cats sat. Colours of dogs!"), (2, ""), (3, None),
+                                  (4, "a. the")], "doc_id long, text string")
+    lem = spark.createDataFrame([("cats", "cat"), ("dogs", "dog"), ("dog", "hound")], "form string, lemma string")
+    spelled = tx.attach_spelling(docs, spelling_table(spark, [("olour", "olor")]))
+
+    def run(recipe):
+        out = corpus.normalise(spelled, recipe, lemma_table=lem, spelling=F.col("_spelling"))
+        return sorted(((r.doc_id, r.processed_abstract) for r in out.collect()), key=str)
+
+    near = {r: run(r) for r in ("loader", "s2orc")}
+    assert near["s2orc"][0] == (1, "cat sat .\nColors dog !")
+    monkeypatch.setattr(tx.lemmatize_column, "__defaults__", (0, False))
+    assert {r: run(r) for r in ("loader", "s2orc")} == near
