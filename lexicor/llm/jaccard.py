@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup
 from ..session import cut_lineage
 from .arrowtext import WHITE_SEP, mix, shingle_hashes, text_buffer, word_hashes
-from .graphs import components, lookup
+from .graphs import components
 
 #: Most rows and n-grams of one product (about 150 MB of task memory).
 MAX_ROWS = 1024

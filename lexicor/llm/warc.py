@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import lookup
 from ..session import cut_lineage
-from .graphs import lookup
 
 CRLF2 = "\r\n\r\n"
 #: Payloads below this many bytes are always stored.
