@@ -32,11 +32,13 @@ def _pages(records, wrap):
     return pages.select(*wrap(F.transform("rs", lambda x: x["r"])))
 
 
-# P3 input: a date with one-digit parts, an empty one, an impossible one.
-_DATE = F.when(F.col("doc_id") % 3 == 0, F.concat_ws("-", (2000 + F.col("doc_id") % 20).cast("string"),
-                                                     (1 + F.col("doc_id") % 12).cast("string"),
-                                                     (1 + F.col("doc_id") % 28).cast("string"))) \
-    .when(F.col("doc_id") % 3 == 1, F.lit("")).otherwise(F.lit("2020-13-40"))
+def _date():
+    """P3 input: a date with one-digit parts, an empty one, an impossible one."""
+    day = F.concat_ws("-", (2000 + F.col("doc_id") % 20).cast("string"), (1 + F.col("doc_id") % 12).cast("string"),
+                      (1 + F.col("doc_id") % 28).cast("string"))
+    return F.when(F.col("doc_id") % 3 == 0, day).when(F.col("doc_id") % 3 == 1, F.lit("")).otherwise(F.lit("2020-13-40"))
+
+
 _DATE_SQL = ("CASE WHEN doc_id % 3 = 0 THEN make_date(2000 + doc_id % 20, 1 + doc_id % 12, 1 + doc_id % 28) END"
              " AS publication_date")
 
@@ -59,7 +61,7 @@ def springer_scan(spark, sf_dir):
     rec = F.struct(
         F.when(F.col("doc_id") % 7 != 6, F.concat(F.lit("10.2/"), key)).otherwise("").alias("doi"), _title().alias("title"),
         F.col("text").alias("abstract"), F.col("source").alias("publicationName"),
-        F.concat("lang", F.lit("-1")).alias("issn"), F.concat("lang", F.lit("-2")).alias("eIssn"), _DATE.alias("publicationDate"),
+        F.concat("lang", F.lit("-1")).alias("issn"), F.concat("lang", F.lit("-2")).alias("eIssn"), _date().alias("publicationDate"),
         F.when(F.col("doc_id") % 2 == 0, F.array(
             F.struct(F.lit("pdf").alias("format"), F.concat(F.lit("https://p.example/"), key).alias("value")),
             F.struct(F.lit("").alias("format"), F.concat(F.lit("https://a.example/"), key).alias("value"))))
@@ -129,7 +131,7 @@ def _elsevier_listing(spark, sf_dir):
     rec = F.struct(
         F.concat(F.lit("10.4/"), key).alias("prism:doi"), F.col("text").alias("prism:teaser"), _title().alias("dc:title"),
         F.concat(F.lit("https://e.example/"), key).alias("prism:url"), F.col("source").alias("prism:publicationName"),
-        _DATE.alias("prism:coverDate"),
+        _date().alias("prism:coverDate"),
         F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.col("lang").alias("$")), F.struct(F.col("source").alias("$")))).alias("dc:creator"))
     path = scratch_path(spark, "elsevier-landing")
     _pages(_docs(spark, sf_dir).select("doc_id", rec.alias("r")), lambda rs: [
@@ -159,7 +161,7 @@ def elsevier_payloads(spark, sf_dir):
     fifth cannot be read, and both are counted by the reject rules."""
     key = F.col("doc_id").cast("string")
     core = F.struct(F.struct(F.struct(
-        _title().alias("dc:title"), F.concat_ws(": ", F.upper("lang"), "text").alias("dc:description"), _DATE.alias("prism:coverDate"),
+        _title().alias("dc:title"), F.concat_ws(": ", F.upper("lang"), "text").alias("dc:description"), _date().alias("prism:coverDate"),
         F.array(F.struct(F.col("lang").alias("$")), F.struct(F.col("source").alias("$"))).alias("dc:creator")).alias("coredata"))
         .alias("full-text-retrieval-response"))
     path = scratch_path(spark, "elsevier-payloads")
