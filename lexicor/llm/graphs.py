@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+
 def _is_settled(edges: DataFrame) -> bool:
     """Whether every node is either one edge's ``u`` or only a ``v``."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
