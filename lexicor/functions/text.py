@@ -111,22 +111,29 @@ def lower_candidate(t: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def accent_table() -> tuple[str, str, list[tuple[str, str]]]:
-    """T12 transliteration built by rule: every Latin letter from U+00C0 to
-    U+024F whose canonical decomposition is an ASCII letter plus combining
-    marks maps to that letter; letters without a decomposition that have a
-    conventional ASCII spelling are listed as multi-character replacements."""
+    """T12 transliteration built by rule: every letter of the Latin blocks and
+    every full-width form whose compatibility decomposition is an ASCII
+    character plus combining marks maps to that character, and Greek letters
+    with marks to those without; letters without a decomposition that have a
+    conventional ASCII spelling are listed as replacements."""
     src, dst = [], []
-    for cp in range(0xC0, 0x250):
+    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF21, 0xFF5B)]:
         ch = chr(cp)
         dec = unicodedata.normalize("NFKD", ch)
-        if len(dec) >= 1 and dec[0].isascii() and dec[0].isalpha() and \
-                all(unicodedata.combining(c) for c in dec[1:]) and len(dec) > 1:
+        if dec != ch and dec[0].isascii() and dec[0].isalpha() and all(unicodedata.combining(c) for c in dec[1:]):
             src.append(ch)
             dst.append(dec[0])
     # Letters that do not decompose.
     specials = [("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("ø", "o"),
                 ("Ø", "O"), ("đ", "d"), ("Đ", "D"), ("ł", "l"), ("Ł", "L"), ("þ", "th"),
                 ("Þ", "Th"), ("ð", "d"), ("Ð", "D"), ("ı", "i"), ("ħ", "h"), ("Ħ", "H")]
+    greek = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω",
+                     "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split()))
+    for cp in range(0x386, 0x3CF):
+        base = unicodedata.normalize("NFD", chr(cp))[0]
+        low = greek.get(base.lower())
+        if low:
+            specials.append((chr(cp), low if base == base.lower() else low.capitalize()))
     return "".join(src), "".join(dst), specials
 
 
@@ -300,6 +307,11 @@ def attach_spelling(df: DataFrame, spelling: DataFrame, column: str = "_spelling
     return df.withColumn(column, value)
 
 
+def fold_spelling_tokens(toks: Column, spelling: Column) -> Column:
+    """T17 token by token: replacements never span two tokens."""
+    return F.transform(toks, lambda t: fold_spelling(t, spelling))
+
+
 def fold_spelling(text: Column, spelling: Column) -> Column:
     """Ordered substring replacement gb -> us over the whole text (also
     inside words)."""

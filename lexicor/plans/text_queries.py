@@ -207,17 +207,43 @@ def element_mentions(spark, sf_dir):
             .agg(F.count("*").alias("n")))
 
 
-@register("material_mentions", TOKENS_CTE + f"""
+# Abstracts made from keys: a formula (every fiftieth with an amount that no
+# double holds) and an element name in a sentence.
+_A_TOKEN_SQL = f"CASE WHEN l_partkey % 50 = 0 THEN 'Fe' || repeat('9', 400) || 'O2' ELSE {_F_TOKEN_SQL} END"
+_A_SENTENCES = (f"WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS doc_id, 'Sample of ' || {_A_TOKEN_SQL} || ' and ' || "
+                f"{_pick_sql(ELEMENT_NAMES, 'l_partkey')} || ' (5 K). It was Iron.' AS text FROM lineitem), "
+                f"s AS ({S.unnest_sentences('a', 'doc_id', 'text')}), "
+                f"k AS (SELECT doc_id, sent_no, {S.tokens('sentence')} AS toks FROM s)")
+
+
+def _abstracts(spark, sf_dir):
+    li = _lineitem(spark, sf_dir)
+    formula = F.concat(_pick(ELEMENTS, F.col("l_partkey")), _pick(_AMOUNTS, F.col("l_linenumber")),
+                       _pick(ELEMENTS, F.col("l_suppkey")), _pick(_AMOUNTS, F.col("l_quantity").cast("long")))
+    token = F.when(F.col("l_partkey") % 50 == 0, F.concat(F.lit("Fe"), F.repeat(F.lit("9"), 400), F.lit("O2"))).otherwise(formula)
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("doc_id"), F.concat(
+        F.lit("Sample of "), token, F.lit(" and "), _pick(ELEMENT_NAMES, F.col("l_partkey")), F.lit(" (5 K). It was Iron."))
+        .alias("text"))
+
+
+@register("material_mentions", _A_SENTENCES + f"""
 , m AS (SELECT unnest({S.mention_list('toks')}) AS mm FROM k)
 SELECT mm.original AS original, mm.normalized AS normalized, count(*) AS n FROM m GROUP BY ALL""")
 def material_mentions(spark, sf_dir):
-    """T13 over the whole document table: mention counts by material."""
-    steps = tx.process_tokens(F.col("toks"))
-    return (_sentence_tokens(spark, sf_dir).select(F.explode(tx.mentions(steps)).alias("m"))
-            .groupBy(F.col("m.original").alias("original"), F.col("m.normalized").alias("normalized"))
+    """T13 from text to counts: sentences, tokens, mentions by material."""
+    out = corpus.normalise(_abstracts(spark, sf_dir), "api").select(F.explode("materials").alias("m"))
+    return (out.groupBy(F.col("m.original").alias("original"), F.col("m.normalized").alias("normalized"))
             .agg(F.count("*").alias("n")))
 
 
+@register("formula_overflow", _A_SENTENCES + f"""
+SELECT doc_id, bool_or({S.process_overflow('toks')}) AS unprocessable FROM k GROUP BY doc_id""")
+def formula_overflow(spark, sf_dir):
+    """abstracts with an amount that overflows are unprocessable."""
+    out = corpus.normalise(_abstracts(spark, sf_dir), "api")
+    return out.groupBy("doc_id").agg(F.bool_or("unprocessable").alias("unprocessable"))
+
+
 # ------------------------------------------------------------ markup strip
 @register("strip_markup", f"""
 SELECT page_id, regexp_replace(html, '<[A-Za-z/!?][^>]*>', '', 'g') AS text,

@@ -145,3 +145,26 @@ def test_recipes_beyond_the_dictionary_bound(spark, monkeypatch):
     assert near["s2orc"][0] == (1, "cat sat .\nColors dog !")
     monkeypatch.setattr(tx.lemmatize_column, "__defaults__", (0, False))
     assert {r: run(r) for r in ("loader", "s2orc")} == near
+
+
+def test_process_text_options(spark):
+    from lexicor.operators import corpus
+    from lexicor.operators import phrases as ph
+    docs = spark.createDataFrame([(1, "The New York sample Fe(III) of New York."), (2, None)], "doc_id long, text string")
+    table = spark.createDataFrame([(ph.SEP.join(["new", "york"]),), (ph.SEP.join(["new_york", "sample"]),)], "ckey string")
+    got = {r.doc_id: r.processed for r in corpus.process_text(docs, phrase_table=table).collect()}
+    assert got[1] == ["the", "new_york_sample", "Fe", "(III)", "of", "new_york", "."] and got[2] is None
+    whole = {r.doc_id: r.processed for r in corpus.process_text(docs, split_oxidation=False).collect()}
+    assert whole[1][4] == "Fe(III)"
+
+
+def test_transliteration_of_greek_and_wide_letters(spark):
+    got = col_values(spark, tx.remove_accents(F.col("t")), ["αβ", "ΘΕ", "ώρα", "Ｆｅ", "ệm", "α"])
+    assert got == ["ab", "ThE", "ora", "Fe", "em", "α"]
+
+
+def test_spelling_by_token(spark):
+    from lexicor.operators.lemmas import spelling_table
+    df = tx.attach_spelling(spark.createDataFrame([(["col", "our", "colour"],)], "t array<string>"),
+                            spelling_table(spark, [("colour", "color"), ("lour", "x")]))
+    assert df.select(tx.fold_spelling_tokens(F.col("t"), F.col("_spelling"))).first()[0] == ["col", "our", "color"]
