@@ -142,7 +142,10 @@ def formula_table(toks: Column) -> Column:
     tokens of an array that may be formulas (T9, T10, F3). The others, most of
     all tokens, never leave the JVM. Not for use inside a lambda."""
     some = F.array_distinct(F.filter(F.coalesce(toks, F.array().cast("array<string>")), _is_candidate))
-    return F.arrow_udf(_describe_lists, "array<struct<tok:string,simple:boolean,normalized:string,overflow:boolean>>")(some)
+    # Nondeterministic only as an optimizer barrier: its projection is never
+    # inlined into that of another Python function.
+    describe = F.arrow_udf(_describe_lists, "array<struct<tok:string,simple:boolean,normalized:string,overflow:boolean>>")
+    return describe.asNondeterministic()(some)
 
 
 def described(table: Column, t: Column) -> Column:

@@ -50,14 +50,12 @@ def process_text(docs: DataFrame, text_col: str = "text", *, split_oxidation: bo
                  phrase_table: DataFrame | None = None, reps: int = 2, **flags) -> DataFrame:
     """T14 on whole texts: adds ``processed`` (tokens) and ``materials``.
     With ``phrase_table`` the tokens are merged into phrases ``reps`` times."""
-    from .phrases import apply_phrases
+    from .phrases import make_phrases
 
     out = docs.withColumn("_toks", tx.tokens(F.col(text_col), split_oxidation))
     out = out.withColumn("_steps", tx.process_tokens(F.col("_toks"), **flags)).select(
         *docs.columns, tx.processed(F.col("_steps")).alias("processed"), tx.mentions(F.col("_steps")).alias("materials"))
-    for _ in range(reps if phrase_table is not None else 0):
-        out = apply_phrases(out, phrase_table, "processed", key_cols=docs.columns)
-    return out
+    return out if phrase_table is None else make_phrases(out, [phrase_table], reps, "processed", docs.columns)
 
 
 def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
