@@ -91,8 +91,7 @@ def product_links(sets: list[np.ndarray], threshold: int, allowed: np.ndarray |
     ``A_b A_b^T`` over blocks b of columns under the size-derived bounds."""
     n = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    both = size[:, None] + size[None, :]
-    need = -(-threshold * both // (100 + threshold))
+    need = (-(-threshold * (size[:, None] + size[None, :]) // (100 + threshold))).astype(np.int32)
     alive = np.triu(np.minimum.outer(size, size) * 100 >= threshold * np.maximum.outer(size, size), 1)
     alive &= np.minimum.outer(size, size) > 0
     if allowed is not None:
@@ -107,8 +106,8 @@ def product_links(sets: list[np.ndarray], threshold: int, allowed: np.ndarray |
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     n_cols, step = int(shared.sum()), max(64, cells // n)
-    rest = np.bincount(row, minlength=n)
-    overlap = np.zeros((n, n), np.int64)
+    rest = np.bincount(row, minlength=n).astype(np.int32)
+    overlap = np.zeros((n, n), np.int32)
     alive &= np.minimum.outer(rest, rest) >= need
     for a in range(0, n_cols, step):
         if not alive.any():
@@ -116,8 +115,8 @@ def product_links(sets: list[np.ndarray], threshold: int, allowed: np.ndarray |
         i, j = np.searchsorted(col, (a, a + step))
         block = np.zeros((n, min(step, n_cols - a)), np.float32)
         block[row[i:j], col[i:j] - a] = 1
-        overlap += (block @ block.T).astype(np.int64)
-        rest -= np.bincount(row[i:j], minlength=n)
+        overlap += (block @ block.T).astype(np.int32)
+        rest -= np.bincount(row[i:j], minlength=n).astype(np.int32)
         alive &= overlap + np.minimum.outer(rest, rest) >= need
     return alive
 
