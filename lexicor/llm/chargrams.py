@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters handled at once; a longer text is worked through in slices.
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 18
 _P = np.uint64(0x100000001B3)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -32,10 +32,14 @@ from .arrowtext import widened, worker_store
 
 #: The word mark of SentencePiece.
 MARK = "▁"
-#: Parts whose paths a task remembers: the last so many, and as many before.
-MEMORY_PARTS = 400_000
+#: Parts whose paths a worker remembers (the last so many, and as many
+#: before), beginnings whose states it does, and pairs of arcs: together about
+#: 200 MB.
+MEMORY_PARTS = 300_000
+MEMORY_HEADS = 200_000
+MEMORY_PAIRS = 300_000
 #: States are kept at every so many characters.
-STEP = 5
+STEP = 4
 #: Characters cut into parts at once; output batches close at as many.
 SLICE_CHARS = 1 << 20
 
@@ -111,7 +115,10 @@ class Transducer:
                 self.id[piece] = i
                 self.out[i] = piece.replace(MARK, " ").encode()
         self.starts = {p[:k] for p in self.weight for k in range(1, len(p) + 1)}
-        self.ends = {p[k:] for p in self.weight for k in range(len(p))}
+        # What a piece may end with, and whether that is a piece itself.
+        self.kind = {p[k:]: p[k:] in self.weight for p in self.weight for k in range(len(p))}
+        if max(map(len, self.weight)) > 255:
+            raise ValueError("pieces of more than 255 characters are not supported")
         self.costly = 1e3 + max(self.weight.values())
         joined = {p[k:k + 2] for p in self.weight for k in range(len(p) - 1)}
         crossing = any(b == MARK != a for a, b in joined)
@@ -121,9 +128,10 @@ class Transducer:
         self.part = None if crossing else re.compile(
             f"{MARK}+[^{MARK}]*|[^{MARK}]+" if mixed else
             f"{MARK}*[^\\W\\d_]+|{MARK}*{other}|{MARK}+").findall
-        self.joint: dict[tuple[str, str], bool] = {}
+        self.joint: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.memory = _Paths(self, {})
-        self.heads: dict[str, list[str]] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _merge(self, text: str) -> list[str]:
         """The merge result: the best-scored adjacent pair first, then the
@@ -141,11 +149,13 @@ class Transducer:
         return parts
 
     def _follows(self, a: str, b: str) -> bool:
-        ok = self.joint.get((a, b))
-        if ok is None:
-            if len(self.joint) > 4 * MEMORY_PARTS:
-                self.joint.clear()
-            ok = self.joint[a, b] = self._merge(a + b) == ([a, b] if a else [b])
+        """Whether the arc of b may follow that of a (the start, if empty)."""
+        if self.pairs >= MEMORY_PAIRS:
+            self.joint.clear()
+            self.pairs = 0
+        self.pairs += 1
+        ok = self._merge(a + b) == ([a, b] if a else [b])
+        self.joint.setdefault(a, {})[b] = ok
         return ok
 
     def path(self, text: str) -> list[int]:
@@ -154,7 +164,7 @@ class Transducer:
         out: list[int] = []
         j = len(text)
         while j:
-            arc = last[j]
+            arc = text[j - last[j]:j]
             i = self.id.get(arc)
             if i is not None:
                 out.append(i)
@@ -164,52 +174,57 @@ class Transducer:
         out.reverse()
         return out
 
-    def _last_cheapest(self, text: str) -> list[str]:
-        """The last arc of the cheapest path to every state."""
+    def _last_cheapest(self, text: str) -> bytearray:
+        """The length of the last arc of the cheapest path to every state."""
         n = len(text)
         cost = [inf] * (n + 1)
-        last = [""] * (n + 1)
+        last = bytearray(n + 1)
         cost[0] = 0.0
         for i in range(n):
             for j in range(i + 1, n + 1):
                 arc = text[i:j]
                 w = self.weight.get(arc, self.costly if j == i + 1 else None)
                 if w is not None and cost[i] + w < cost[j]:
-                    cost[j], last[j] = cost[i] + w, arc
+                    cost[j], last[j] = cost[i] + w, j - i
                 if arc not in self.starts:
                     break
         return last
 
-    def _last_joined(self, text: str) -> list[str]:
+    def _last_joined(self, text: str) -> bytearray:
         """The same where arcs must be jointed: each state then has one arc of
         finite cost, so the first that passes is the cheapest. States depend
         on what is before them only, so those of common beginnings are kept."""
         n = len(text)
         known = (n - 1) // STEP * STEP
-        if known:
-            last = self.heads.get(text[:known])
+        if known > 0:
+            head = text[:known]
+            last = self.heads.get(head)
             if last is None:
-                last = self._last_joined(text[:known])
-                if len(self.heads) >= MEMORY_PARTS:
+                last = bytes(self._last_joined(head))
+                if len(self.heads) >= MEMORY_HEADS:
                     self.heads.clear()
-                self.heads[text[:known]] = last
-            last = last.copy()
+                self.heads[head] = last
+            last = bytearray(last)
         else:
-            last = [""]
-        weight, ends, joint, follows = self.weight, self.ends, self.joint, self._follows
+            known, last = 0, bytearray(1)
+        kind, joint = self.kind.get, self.joint
         for j in range(known + 1, n + 1):
-            for i in range(j - 1, -1, -1):
-                arc = text[i:j]
-                if arc in weight or i == j - 1:
-                    key = (last[i], arc)
-                    ok = joint.get(key)
-                    if ok or ok is None and follows(*key):
-                        last.append(arc)
+            i = j - 1
+            arc = text[i]
+            is_piece = True  # or a character that goes out as bytes
+            while True:
+                if is_piece:
+                    before = text[i - last[i]:i]
+                    row = joint.get(before)
+                    ok = row.get(arc) if row is not None else None
+                    if ok or ok is None and self._follows(before, arc):
+                        last.append(j - i)
                         break
-                if arc not in ends and i < j - 1:
+                i -= 1
+                arc = text[i:j] if i >= 0 else ""
+                is_piece = kind(arc)
+                if is_piece is None:
                     raise ValueError("no path")
-            else:
-                raise ValueError("no path")
         return last
 
     def encode(self, text: str) -> np.ndarray:
