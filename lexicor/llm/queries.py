@@ -81,7 +81,7 @@ PIECE_MODEL = "piece_bpe_32k.model"
 def op2_sentencepiece_wfst(spark, sf_dir):
     """Piece ids of every document, and whether they decode to its text."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return spm.encode(docs, tokenizer_path(PIECE_MODEL), decoded_col="round_trip").select(
+    return spm.encode(docs, tokenizer_path(PIECE_MODEL), decoded_col="round_trip", remember=500_000).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 

@@ -32,12 +32,10 @@ from .arrowtext import widened, worker_store
 
 #: The word mark of SentencePiece.
 MARK = "▁"
-#: Parts whose paths a worker remembers (the last so many, and as many
-#: before), beginnings whose states it does, and pairs of arcs: together about
-#: 200 MB.
-MEMORY_PARTS = 300_000
-MEMORY_HEADS = 200_000
-MEMORY_PAIRS = 300_000
+#: What a worker remembers: the paths of so many parts (and as many before),
+#: the states of so many beginnings, twice as many pairs of arcs. 100,000 take
+#: about 60 MB of each Python worker; more save time on many rare words.
+REMEMBER = 100_000
 #: States are kept at every so many characters.
 STEP = 4
 #: Characters cut into parts at once; output batches close at as many.
@@ -79,7 +77,7 @@ class _Paths(dict):
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
         if ids is None:
-            ids = np.array(self.machine.path(part), np.int32).tobytes()
+            ids = np.array(self.machine.path(part.replace(" ", MARK)), np.int32).tobytes()
         self[part] = ids
         return ids
 
@@ -87,9 +85,10 @@ class _Paths(dict):
 class Transducer:
     """The compiled model (see the module text)."""
 
-    def __init__(self, model_path: str):
+    def __init__(self, model_path: str, remember: int = REMEMBER):
         import sentencepiece
 
+        self.remember = remember
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         proto = dict(_fields(model.serialized_model_proto()))
         trainer, normaliser = dict(_fields(proto[2])), dict(_fields(proto[3]))
@@ -124,10 +123,11 @@ class Transducer:
         crossing = any(b == MARK != a for a, b in joined)
         letter = re.compile(r"[^\W\d_]").match
         mixed = any(a != MARK != b and bool(letter(a)) != bool(letter(b)) for a, b in joined)
-        other = f"(?:[^\\w{MARK}]|[\\d_])+"
+        mark = f"[ {MARK}]"  # blanks become marks only where a path is looked for
+        other = f"(?:[^\\w {MARK}]|[\\d_])+"
         self.part = None if crossing else re.compile(
-            f"{MARK}+[^{MARK}]*|[^{MARK}]+" if mixed else
-            f"{MARK}*[^\\W\\d_]+|{MARK}*{other}|{MARK}+").findall
+            f"{mark}+[^ {MARK}]*|[^ {MARK}]+" if mixed else
+            f"{mark}*[^\\W\\d_]+|{mark}*{other}|{mark}+").findall
         self.joint: dict[str, dict[str, bool]] = {}
         self.pairs = 0
         self.memory = _Paths(self, {})
@@ -150,7 +150,7 @@ class Transducer:
 
     def _follows(self, a: str, b: str) -> bool:
         """Whether the arc of b may follow that of a (the start, if empty)."""
-        if self.pairs >= MEMORY_PAIRS:
+        if self.pairs >= 2 * self.remember:
             self.joint.clear()
             self.pairs = 0
         self.pairs += 1
@@ -201,7 +201,7 @@ class Transducer:
             last = self.heads.get(head)
             if last is None:
                 last = bytes(self._last_joined(head))
-                if len(self.heads) >= MEMORY_HEADS:
+                if len(self.heads) >= self.remember:
                     self.heads.clear()
                 self.heads[head] = last
             last = bytearray(last)
@@ -240,14 +240,14 @@ class Transducer:
                 b = cut if cut > a else len(text)
             elif b < len(text):
                 b = len(text)
-            part = text[a:b].replace(" ", MARK)
+            part = text[a:b]
             if first:
-                part, first = MARK + part, False
+                part, first = " " + part, False
             if self.part is None:
-                out.append(np.array(self.path(part), np.int32).tobytes())
+                out.append(np.array(self.path(part.replace(" ", MARK)), np.int32).tobytes())
             else:
                 out.extend(map(self.memory.__getitem__, self.part(part)))
-                if len(self.memory) >= MEMORY_PARTS:
+                if len(self.memory) >= self.remember:
                     self.memory = _Paths(self, dict(self.memory))
             a = b
         return np.frombuffer(b"".join(out), np.int32)
@@ -261,17 +261,17 @@ class Transducer:
         return data.decode("utf-8", "replace")
 
 
-def _machine(model_path: str) -> Transducer:
+def _machine(model_path: str, remember: int = REMEMBER) -> Transducer:
     """The transducer of this Python worker for a model: what it remembers
     serves the worker's next tasks too."""
     held = worker_store().setdefault("transducers", {})
-    if model_path not in held:
-        held[model_path] = Transducer(model_path)
-    return held[model_path]
+    if (model_path, remember) not in held:
+        held[model_path, remember] = Transducer(model_path, remember)
+    return held[model_path, remember]
 
 
 def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids",
-           decoded_col: str | None = None) -> DataFrame:
+           decoded_col: str | None = None, remember: int = REMEMBER) -> DataFrame:
     """``docs`` with the ids of every whole text, equal to those of the
     SentencePiece library for the model at ``model_path`` (readable on every
     executor), without begin or end ids; with ``decoded_col`` also whether
@@ -288,7 +288,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
         schema = widened(schema, **{decoded_col: "boolean"})
 
     def run(batches):
-        machine = _machine(model_path)
+        machine = _machine(model_path, remember)
 
         def close(batch, a, b, flat, sizes, same):
             ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])

@@ -41,12 +41,11 @@ def test_ids_equal_the_library(spark, monkeypatch, slice_chars):
     import sentencepiece
 
     monkeypatch.setattr(spm, "SLICE_CHARS", slice_chars)
-    monkeypatch.setattr(spm, "MEMORY_PARTS", 40)
     own = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(PIECE_MODEL))
     rows = [(i, t, "x") for i, t in enumerate(texts())] + [(None, "a b", None), (1, "", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     path = tokenizer_path(PIECE_MODEL)
-    got = spm.decode(spm.encode(docs, path, decoded_col="same"), path)
+    got = spm.decode(spm.encode(docs, path, decoded_col="same", remember=40), path)
     assert got.columns == ["doc_id", "text", "ids", "same", "decoded"]
     for _, text, ids, same, decoded in got.collect():
         assert ids == own.encode(text or ""), text
