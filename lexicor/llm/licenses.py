@@ -68,24 +68,28 @@ RULES = (
     ("BSD-2-Clause", ("s19", "s20", "s21")), ("BSD-3-Clause", ("s19", "s20", "s21", "s22")),
     ("Unlicense", ("s23",)),
 )
-#: A sentence ends at a mark before white space, at a line end, at a colon.
-SENTENCE_END = r"[.!?;:]+[ \t\r\n]+|[\r\n]+"
+#: A sentence may begin and end at white space after a mark and at line ends.
+SENTENCE_END = r"(?<=[.!?;:])[ \t\r\n]+|[\r\n]+"
+
+
+def _anywhere(sentences) -> str:
+    """Pattern of the normalised sentences, ends of the text's sentences (``|``)
+    allowed between their words; the longest first."""
+    return "|".join(s.replace(" ", "[ |]") for s in sorted(sentences, key=len, reverse=True))
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order (null: none).
 
-    Hard-wrapped licence texts are found too: besides the sentences that end
-    at line ends, those are looked up whose line ends count as blanks."""
-    def ids(parts: Column) -> Column:
-        plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-        known = F.filter(plain, lambda s: s.isin(*SENTENCES.values()))
-        table = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-        return F.transform(known, lambda s: table[s])
-
-    lines = ids(F.split(F.coalesce(text, F.lit("")), SENTENCE_END))
-    wrapped = ids(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+", " "), r"[.!?;:]+[ \t]+"))
-    return F.when(F.size(wrapped) > F.size(lines), wrapped).otherwise(lines)
+    A known sentence begins and ends where one of the text does; in between
+    any sentence ends may lie, so that line ends of hard-wrapped texts and
+    marks inside a sentence do no harm."""
+    marked = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "|", "/"), SENTENCE_END, "|")
+    plain = F.regexp_replace(F.concat(F.lit("|"), marked, F.lit("|")), "[^a-z0-9|]+", " ")
+    known = F.regexp_extract_all(F.regexp_replace(plain, r" ?\|[ |]*", "|"),
+                                 F.lit(rf"\|({_anywhere(SENTENCES.values())})(?=\|)"), 1)
+    table = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
+    return F.transform(known, lambda s: table[F.translate(s, "|", " ")])
 
 
 def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:

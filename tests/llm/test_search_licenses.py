@@ -63,3 +63,41 @@ def test_license_rules(spark):
     got = licenses.scan(docs).orderBy("doc_id").select(F.array_join("sentence_ids", ","), F.array_join("licenses", ",")).collect()
     assert [tuple(r) for r in got] == [(a, b) for _, a, b in cases]
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Foo
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL = """# This program is free software{mark} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation{comma} either version {n} of the License, or
+# (at your option) any later version.
+"""
+
+
+def found_in(spark, texts):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = licenses.scan(docs).orderBy("doc_id").collect()
+    return [(",".join(r["sentence_ids"]), ",".join(r["licenses"])) for r in rows]
+
+
+def test_license_texts_in_their_usual_spelling(spark):
+    spdx = {"MIT": "s24", "Apache-2.0": "s25", "GPL-3.0-only": "s26", "GPL-2.0-only": "s27"}
+    cases = [(MIT, "s01,s02", "MIT"), (MIT.replace("\n", "\r\n"), "s01,s02", "MIT"),
+             (GPL.format(mark=":", comma=",", n=3), "s11", "GPL-3.0"), (GPL.format(mark=";", comma=";", n=2), "s12", "GPL-2.0"),
+             (" ".join(GPL.format(mark=":", comma=",", n=3).replace("#", "").split()), "s11", "GPL-3.0"),
+             *[(f"// SPDX-License-Identifier: {x}\nint main();", i, x.removesuffix("-only")) for x, i in spdx.items()],
+             ("SPDX-License-Identifier: MIT OR Zlib", "", ""), ("not released under the MIT License.", "", ""),
+             ("a|SPDX-License-Identifier: MIT|b", "", ""), ("|| Released: under\n--\nthe MIT; License ||", "s03", "MIT")]
+    assert found_in(spark, [t for t, _, _ in cases]) == [(a, b) for _, a, b in cases]
