@@ -1,8 +1,8 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised and looked up among known
-licence sentences; the identifiers found, in text order, form a sequence that
-is matched against ordered rules. A rule is a run of consecutive identifiers
+A text is normalised with its sentence ends marked, and known licence sentences
+are looked up from one end to another; the identifiers found, in text order,
+form a sequence that is matched against ordered rules. A rule is a run of consecutive identifiers
 (sentences that are not known in between do not matter), and names a licence.
 Everything is a row expression: no shuffle, whatever the text's length.
 """
@@ -71,6 +71,9 @@ RULES = (
 #: A sentence may begin and end at white space after a mark and at line ends.
 SENTENCE_END = r"(?<=[.!?;:])[ \t\r\n]+|[\r\n]+"
 
+#: Known sentences that are part of a longer one.
+INNER = [(i, j) for i, a in SENTENCES.items() for j, b in SENTENCES.items() if i != j and f" {a} " in f" {b} "]
+
 
 def _anywhere(sentences) -> str:
     """Pattern of the normalised sentences, ends of the text's sentences (``|``)
@@ -83,13 +86,22 @@ def sentence_ids(text: Column) -> Column:
 
     A known sentence begins and ends where one of the text does; in between
     any sentence ends may lie, so that line ends of hard-wrapped texts and
-    marks inside a sentence do no harm."""
+    marks inside a sentence do no harm. One-line notices and wrapped sentences
+    of a text are all returned, and a known sentence within a longer one comes
+    before it if it ends at a sentence end of its own."""
     marked = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), "|", "/"), SENTENCE_END, "|")
     plain = F.regexp_replace(F.concat(F.lit("|"), marked, F.lit("|")), "[^a-z0-9|]+", " ")
     known = F.regexp_extract_all(F.regexp_replace(plain, r" ?\|[ |]*", "|"),
                                  F.lit(rf"\|({_anywhere(SENTENCES.values())})(?=\|)"), 1)
     table = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    return F.transform(known, lambda s: table[F.translate(s, "|", " ")])
+
+    def with_inner(found):
+        own = table[F.translate(found, "|", " ")]
+        inner = [F.when((own == j) & F.concat(F.lit("|"), found, F.lit("|")).rlike(rf"\|{_anywhere([SENTENCES[i]])}\|"), F.lit(i))
+                 for i, j in INNER]
+        return F.array_compact(F.array(*inner, own))
+
+    return F.flatten(F.transform(known, with_inner))
 
 
 def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:

@@ -101,3 +101,14 @@ def test_license_texts_in_their_usual_spelling(spark):
              ("SPDX-License-Identifier: MIT OR Zlib", "", ""), ("not released under the MIT License.", "", ""),
              ("a|SPDX-License-Identifier: MIT|b", "", ""), ("|| Released: under\n--\nthe MIT; License ||", "s03", "MIT")]
     assert found_in(spark, [t for t, _, _ in cases]) == [(a, b) for _, a, b in cases]
+
+
+def test_notices_and_wrapped_texts_of_one_text(spark):
+    notices = "Released under the MIT License\nLicensed under the MIT License\nLicensed under CC BY-NC 4.0\n"
+    apache = 'Licensed under the Apache License, Version 2.0\n(the "License");\nyou may not use this file except in\ncompliance with the License.'
+    cases = [(notices + MIT, "s03,s04,s13,s01,s02", "CC-BY-NC-4.0,MIT"), (MIT + "\n" + notices, "s01,s02,s03,s04,s13", "CC-BY-NC-4.0,MIT"),
+             (GPL.format(mark=":", comma=",", n=3) + "\nLicensed under CC BY 4.0\n" + MIT, "s11,s14,s01,s02", "CC-BY-4.0,GPL-3.0,MIT"),
+             ("Licensed under CC BY 4.0\nThis is free and unencumbered software released\ninto the public domain.", "s14,s23", "CC-BY-4.0,Unlicense"),
+             (apache, "s05,s06,s07", "Apache-2.0"), (apache.replace("\n", " "), "s06,s07", "Apache-2.0"),
+             ('Licensed under the Apache License, Version 2.0\n(the "License");', "s05,s06", "Apache-2.0")]
+    assert found_in(spark, [t for t, _, _ in cases]) == [(a, b) for _, a, b in cases]
