@@ -19,6 +19,10 @@ from lexicor.session import cut_lineage, load
 
 ORACLE_SQL = None
 
+#: Near copies share so many percent of their shingles of so many words.
+SHINGLE_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def _framed(docs: DataFrame) -> DataFrame:
     """``row`` (all columns) and ``text``: names that an operator adds cannot
@@ -40,10 +44,10 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies (3-word shingles, Jaccard of 0.9) the
+    """Of every group of near copies (5-word shingles, Jaccard of 0.8) the
     document of the smallest id, and of rows of one id the one of the smallest
     text. Rows with a null id are in no group and stay."""
-    groups = jaccard_components(docs)
+    groups = jaccard_components(docs, n_words=SHINGLE_WORDS, threshold=NEAR_PERCENT)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
     one = named.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))

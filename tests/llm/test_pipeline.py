@@ -93,3 +93,25 @@ def test_stage_list():
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "language ID", "n-gram Jaccard join", "benchmark decontamination",
                                          "SentencePiece encoding"]
     assert cp.ORACLE_SQL is None
+
+
+def test_near_copies_by_five_words(spark):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(12):
+        base = [rng.choice("abcdefghij") + str(rng.randrange(20)) for _ in range(rng.choice([30, 50, 90]))]
+        for n in (0, 1, 1, 2, 4):
+            w = list(base)
+            for _ in range(n):
+                w[rng.randrange(len(w))] = "changed"
+            rows.append((len(rows), " ".join(w)))
+    grams = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    first = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b]):
+                x, y = sorted((first[a], first[b]))
+                first = [x if f == y else f for f in first]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in cp.keep_one_of_each(spark, docs, SMALL).collect())
+    assert got == sorted(set(first)) and got != sorted({c for _, _, c in brute_components(rows)})
