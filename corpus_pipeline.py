@@ -65,9 +65,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` of every document left."""
-    return spm.encode(docs.select("doc_id", "text"), tokenizer_path(PIECE_MODEL)).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """``doc_id, n_tokens, ids, round_trip`` of every document left: its
+    pieces, and whether they decode to its text."""
+    return spm.encode(docs.select("doc_id", "text"), tokenizer_path(PIECE_MODEL), decoded_col="round_trip").select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [

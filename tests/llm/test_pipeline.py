@@ -115,3 +115,14 @@ def test_near_copies_by_five_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r["doc_id"] for r in cp.keep_one_of_each(spark, docs, SMALL).collect())
     assert got == sorted(set(first)) and got != sorted({c for _, _, c in brute_components(rows)})
+
+
+def test_last_stage_decodes(spark):
+    import sentencepiece
+
+    texts = ["Two plain words", "two  blanks", " leading", "ﬁ Ⅳ ｆｕｌｌ", "tab\there", "日本 é", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(PIECE_MODEL))
+    got = {r["doc_id"]: (r["ids"], r["round_trip"]) for r in cp.STAGES[-1][1](spark, docs, SMALL).collect()}
+    assert got == {i: (own.encode(t or ""), own.decode(own.encode(t or "")) == (t or "")) for i, t in enumerate(texts)}
+    assert got[0][1]
