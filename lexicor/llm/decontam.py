@@ -34,7 +34,7 @@ _SIEVE = 1 << 20
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int):
-    """Lists of ``(item_id, word hashes)``, block by block."""
+    """Lists of ``(item_id, word hashes)``, block by block; ids may be null."""
     def words(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
@@ -44,7 +44,6 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int)
                                               pa.array([r.tobytes() for r in rows], pa.binary())], ["item", "n", "words"])
 
     hashed = cut_lineage(items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-                         .where("item is not null")
                          .mapInArrow(words, "item string, n long, words binary").where("n > 0").distinct(), "items")
     total = hashed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_blocks = max(1, -(-total // block_words))
@@ -187,7 +186,7 @@ def _scan_hits(docs: DataFrame, index, windows, names: list[str]) -> DataFrame:
                 new = np.append(True, s[1:] > top[:-1])
                 starts.append(s[new])
                 ends.append(top[np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)])
-                items.append(sorted({names[o] for w in np.unique(win[a:b]) for o in owners[w]}))
+                items.append(sorted({names[o] for w in np.unique(win[a:b]) for o in owners[w]} - {None}))
             hit = pa.array(docs_hit, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(hit), batch.column(2).take(hit), pa.array(items, pa.list_(pa.string())),
@@ -214,8 +213,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_
     sorted) of the items with occurring windows.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z
-    lower-cased. A null or empty text has no words; an item with a null id or
-    without words has no window; items with equal windows are all named.
+    lower-cased. A null or empty text has no words; an item without words has
+    no window, and one with a null id counts but is not named; items with equal
+    windows are all named.
     Repeated rows are each returned, rows with a null id too; other columns
     are not read. An empty benchmark leaves every count of hits at 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),

@@ -125,3 +125,11 @@ def test_contamination_without_items_or_documents(spark):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert [tuple(r) for r in find_contamination(docs, items.limit(0)).collect()] == [(1, 3, 0, [])]
     assert find_contamination(docs.limit(0), items).count() == 0
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 4])
+def test_items_without_an_id_count_unnamed(spark, block_words):
+    items = spark.createDataFrame([(None, "a b c d"), (7, "x y z"), (None, "x y z"), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "q a b c d q"), (2, "x y z a b c d"), (3, "a b c"), (None, "a b c d")], "doc_id long, text string")
+    got = sorted((tuple(r) for r in find_contamination(docs, items, block_words=block_words).collect()), key=str)
+    assert got == [(1, 6, 4, []), (2, 7, 7, ["7"]), (3, 3, 0, []), (None, 4, 4, [])]
