@@ -14,7 +14,7 @@ from ..operators import embeddings as em
 from ..operators import rejects as rj
 from ..operators import search
 from ..operators import store as st
-from ..session import load, scratch_path
+from ..session import load, numbered, scratch_path
 from ..sources import providers as pv
 from .registry import register
 
@@ -196,13 +196,14 @@ def keyword_file(spark, sf_dir):
 @register("spelling_file", """
 SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS pos, p_name || ' ' || p_partkey AS gb, p_type AS us FROM part""")
 def spelling_file(spark, sf_dir):
-    """A spelling file (one JSON object, its order kept) read as the
-    ordered table."""
-    entry = F.struct("p_partkey", F.struct(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")), F.col("p_type")).alias("e"))
+    """A large spelling table, landed as one JSON line an entry with its
+    position and read as the ordered table."""
+    part = load(spark, sf_dir, "part").select(
+        "p_partkey", F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("gb"), F.col("p_type").alias("us"))
+    order = [F.col(c).asc_nulls_last() for c in ("p_partkey", "gb", "us")]
     path = scratch_path(spark, "spelling")
-    pairs = load(spark, sf_dir, "part").agg(F.array_sort(F.collect_list(entry)).alias("es"))
-    pairs.select(F.to_json(F.map_from_entries(F.transform("es", lambda x: x["e"])))).write.text(path)
-    return pv.read_spelling(spark, path)
+    numbered(part, order, "pos").select("pos", "gb", "us").write.json(path)
+    return pv.read_spelling_lines(spark, path)
 
 
 @register("vector_file", """

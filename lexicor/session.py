@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -90,5 +91,22 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with ``name``, the row's position from 0 in ``order`` (columns);
+    rows are dealt by ranges and numbered there, and only one count a range
+    meets the others."""
+    ranges = cut_lineage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    rng = F.shiftright("_at", 33).alias("_range")
+    counts = ranges.groupBy(rng).agg(F.count("*").alias("n")).orderBy("_range").collect()
+    starts, total = {}, 0
+    for r in counts:
+        starts[r["_range"]] = total
+        total += r["n"]
+    table = df.sparkSession.createDataFrame(list(starts.items()), "_range long, _start long")
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (ranges.withColumn("_range", rng).join(F.broadcast(table), "_range")
+            .withColumn(name, place).drop("_range", "_start", "_at"))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
