@@ -10,6 +10,7 @@ runner-up is larger; narrow margins are rejected.
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -32,6 +33,9 @@ MARGIN = 0.002
 SLICE_CHARS = 1 << 20
 UNDETERMINED = "und"
 
+#: Most languages a model can have: that bounds what is collected and broadcast.
+MAX_LANGUAGES = 1_000
+
 
 @dataclass(frozen=True)
 class LanguageModel:
@@ -47,9 +51,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     picked by a hash of their id, and of their text ``dictionary_bytes``."""
     known = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= SAMPLE_DOC_BYTES))
     sizes = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    known_sizes = sizes.limit(MAX_LANGUAGES + 1).collect()
+    if len(known_sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rate = [(F.col(lang_col) == r["lang"])
             & (F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < 1_000_003.0 * 2 * sample_docs / r["n"])
-            for r in sizes.collect()]
+            for r in known_sizes]
     if not rate:
         return LanguageModel({})
     pick = rate[0]
@@ -70,10 +77,23 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return LanguageModel({k: v for k, v in out.items() if len(v) >= 8})
 
 
+def _letters(text: str) -> str:
+    """Lower-cased words of letters (``str.isalpha``, so no numerals such as
+    U+00B2) and the marks that follow them (vowel signs, accents)."""
+    text = text.lower()
+    odd = [c for c in set(text) if not "a" <= c <= "z"]
+    marks = "".join(c for c in odd if unicodedata.category(c)[0] == "M")
+    text = text.translate({ord(c): " " for c in odd if not c.isalpha() and c not in marks})
+    if marks:  # a mark without a letter before it is no letter
+        text = re.sub(f"(?:^|(?<= ))[{re.escape(marks)}]+", " ", text)
+    return " ".join(text.split())
+
+
 def _blocks(text: str):
-    """The normalised text in blocks of about ``BLOCK_BYTES``."""
+    """The letters of the text, with their combining marks, in blocks of
+    about ``BLOCK_BYTES``; none if it has no letter."""
     for a in range(0, len(text), SLICE_CHARS):
-        flat = re.sub(r"[\W\d_]+", " ", text[a:a + SLICE_CHARS].lower()).strip().encode()
+        flat = _letters(text[a:a + SLICE_CHARS]).encode("utf-8", "replace")
         for b in range(0, len(flat), BLOCK_BYTES):
             yield flat[b:b + BLOCK_BYTES]
 

@@ -36,6 +36,9 @@ MARK = "▁"
 #: the states of so many beginnings, twice as many pairs of arcs. 100,000 take
 #: about 60 MB of each Python worker; more save time on many rare words.
 REMEMBER = 100_000
+#: Parts and beginnings of more characters are worked out each time, so that
+#: what is remembered is bounded in bytes too.
+KEPT_CHARS = 64
 #: States are kept at every so many characters.
 STEP = 4
 #: Characters cut into parts at once; output batches close at as many.
@@ -78,7 +81,8 @@ class _Paths(dict):
         ids = self.older.get(part)
         if ids is None:
             ids = np.array(self.machine.path(part.replace(" ", MARK)), np.int32).tobytes()
-        self[part] = ids
+        if len(part) <= KEPT_CHARS:
+            self[part] = ids
         return ids
 
 
@@ -193,23 +197,22 @@ class Transducer:
     def _last_joined(self, text: str) -> bytearray:
         """The same where arcs must be jointed: each state then has one arc of
         finite cost, so the first that passes is the cheapest. States depend
-        on what is before them only, so those of common beginnings are kept."""
+        on what is before them only, so the states of short beginnings are
+        kept; from the longest one known on, the rest is filled in order."""
         n = len(text)
-        known = (n - 1) // STEP * STEP
-        if known > 0:
-            head = text[:known]
-            last = self.heads.get(head)
-            if last is None:
-                last = bytes(self._last_joined(head))
-                if len(self.heads) >= self.remember:
-                    self.heads.clear()
-                self.heads[head] = last
-            last = bytearray(last)
-        else:
-            known, last = 0, bytearray(1)
+        last, known = bytearray(1), 0
+        for k in range(min((n - 1) // STEP * STEP, KEPT_CHARS), 0, -STEP):
+            held = self.heads.get(text[:k])
+            if held is not None:
+                last, known = bytearray(held), k
+                break
         kind, joint = self.kind.get, self.joint
         for j in range(known + 1, n + 1):
             i = j - 1
+            if known < i <= KEPT_CHARS and i % STEP == 0:
+                if len(self.heads) >= self.remember:
+                    self.heads.clear()
+                self.heads[text[:i]] = bytes(last)
             arc = text[i]
             is_piece = True  # or a character that goes out as bytes
             while True:

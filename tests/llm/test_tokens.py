@@ -55,6 +55,31 @@ def test_ids_equal_the_library(spark, monkeypatch, slice_chars):
     assert spm.encode(docs.limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("text", ["x" * 5_000, "x" * 200_000, "ab" * 30_000, "日本語中文" * 3_000, "中" * 6_000, "的" * 50_000,
+                                  "ACGTTGCA" * 4_000, "กขคง" * 2_500], ids=lambda t: f"{t[:2]}{len(t)}")
+def test_long_runs_of_letters_equal_the_library(text):
+    import sentencepiece
+
+    path = tokenizer_path(PIECE_MODEL)
+    machine = spm.Transducer(path)
+    ids = machine.encode(text)
+    assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
+    assert machine.decode(ids) == text
+    assert sum(len(k) + len(v) for k, v in machine.heads.items()) < 10_000
+
+
+def test_random_long_words_equal_the_library():
+    import sentencepiece
+
+    rng = random.Random(3)
+    path = tokenizer_path(PIECE_MODEL)
+    machine, own = spm.Transducer(path, remember=200), sentencepiece.SentencePieceProcessor(model_file=path)
+    for alphabet in ("etaoinshr", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "的一是不了人我在有他"):
+        for n in (63, 64, 65, 68, 300, 7_000):
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            assert machine.encode(text).tolist() == own.encode(text)
+
+
 def test_cheapest_path_without_joints():
     m = spm.Transducer(tokenizer_path(PIECE_MODEL))
     m.merges = False
