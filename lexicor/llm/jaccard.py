@@ -1,17 +1,18 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
 Rows of the incidence matrix are the distinct shingle sets, columns the
-n-grams. Two sets of a and b n-grams with Jaccard similarity of at least t
-differ in at most ``(a + b)(1 - t)/(1 + t)`` n-grams. The columns of a size
-class are cut by hash into one block more than that bound, so such a pair has
-identical rows in at least one block: all other pairs are discarded before
-anything is multiplied, and n-grams that many documents share do no harm,
-because a block row is matched whole. The product is then taken over the
-surviving groups of rows, block of columns by block: overlap counts add up
-and a pair goes as soon as what is left cannot bring it to its bound.
+n-grams. Columns are ordered by how common they are (counted over all
+documents in a fixed number of slots), rare ones first, so that n-grams that
+many documents share come last. Two sets whose Jaccard similarity reaches t
+share at least ``ceil(t n)`` n-grams of each set of n, so both have one of
+their first ``n - ceil(t n) + 1`` columns in common: the product is begun over
+these columns alone, and all pairs without an overlap there are discarded by
+that bound. It is then taken over the surviving groups of rows, block of
+columns by block: overlap counts add up and a pair goes as soon as what is
+left cannot bring it to its bound.
 
 Equal sets are one row from the start. Rows meet in groups by the smallest
-row of the blocks they share. A group never grows beyond
+row that has one of their first columns. A group never grows beyond
 ``max_rows``/``max_shingles``: larger ones are cut into chunks with that row in
 each; then only chunks with rows of different components meet. The product returns a spanning forest of the links, never
 the pairs themselves.
@@ -28,46 +29,68 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import lookup
 from ..session import cut_lineage
-from .arrowtext import WHITE_SEP, mix, shingle_hashes, text_buffer, word_hashes
+from .arrowtext import WHITE_SEP, shingle_hashes, text_buffer, word_hashes
 from .graphs import components
 
 #: Most rows and n-grams of one product (about 150 MB of task memory).
 MAX_ROWS = 1024
 MAX_SHINGLES = 2_000_000
-#: Bits of the filter that says which texts the product needs (512 KB).
-FILTER_BITS = 1 << 22
-#: Blocks beyond the bound; a set with at most as many empty blocks need not
-#: be matched on those.
-SPARE = 1
-
-
-def size_classes(threshold: int, largest: int = 1 << 40) -> np.ndarray:
-    """Lower ends of the size classes: partners are in the same or the next."""
-    lo = [1]
-    while lo[-1] < largest:
-        lo.append(max(lo[-1] + 1, -(-lo[-1] * 100 // threshold)))
-    return np.array(lo, dtype=np.int64)
-
-
-def block_rows(s: np.ndarray, lo: np.ndarray, threshold: int) -> np.ndarray:
-    """Keys of the block rows of one sorted set, for its own size class and,
-    where a partner may be in the next one, for that too."""
-    n, out = len(s), []
-    own = int(np.searchsorted(lo, n, "right")) - 1
-    for c in (own, own + 1):
-        if c > own and 100 * n < threshold * int(lo[c]):
-            continue
-        differ = 2 * (int(lo[c + 1]) - 1) * (100 - threshold) // (100 + threshold)
-        k = differ + 1 + (SPARE if differ else 0)
-        part = ((s >> np.uint64(33)).astype(np.int64) * k) >> 31
-        ends = np.searchsorted(part, np.arange(k + 1))
-        with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(0xA0761D6478BD642F)))])
-            seed = np.uint64(c * 0x1000003) + np.arange(k, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)
-            keys = mix(total[ends[1:]] - total[ends[:-1]] + mix(seed))
-        full = ends[1:] > ends[:-1]
-        out.append(keys[full] if k - int(full.sum()) <= SPARE else keys)
-    return np.concatenate(out).view(np.int64)
+#: Slots that count how common n-grams are (4 bytes each in every task).
+SLOTS = 1 << 16
+
+
+def slot_of(grams: np.ndarray) -> np.ndarray:
+    """The slot that counts each n-gram."""
+    return (grams >> np.uint64(17)).astype(np.int64) & (SLOTS - 1)
+
+
+def first_columns(s: np.ndarray, common: np.ndarray, threshold: int) -> np.ndarray:
+    """The columns of one set of which a linked set must share one: the first
+    ``n - ceil(t n) + 1`` by (count of the slot, n-gram)."""
+    n = len(s)
+    k = n - -(-threshold * n // 100) + 1
+    times = common[slot_of(s)]
+    if k < n:
+        some = np.flatnonzero(times <= np.partition(times, k - 1)[k - 1])
+        s, times = s[some], times[some]
+    return s[np.lexsort((s, times))[:k]].view(np.int64)
+
+
+def parity(s: np.ndarray) -> bytes:
+    """One bit a slot, whether the slot has an odd number of the set's n-grams;
+    the power of two from the set's size on is the number of slots."""
+    slots = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits(np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1,
+                       bitorder="little").tobytes()
+
+
+def may_link(sizes: np.ndarray, parities: list, threshold: int, cells: int = 1 << 22) -> np.ndarray:
+    """Whether each set may be linked with any other. Slots in which two
+    parities differ are at most as many as n-grams in which the sets differ,
+    and linked sets of a and b differ in at most (a + b)(1 - t)/(1 + t)."""
+    out = np.zeros(len(sizes), bool)
+    width = np.array([len(p) for p in parities])
+    by_width = {}
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        by_width[int(w)] = at, np.array([np.frombuffer(parities[i], np.uint8) for i in at]).view(np.uint64)
+    for w, (at, bits) in by_width.items():
+        for v, (to, wide) in by_width.items():
+            if v not in (w, 2 * w):
+                continue
+            if v > w:  # halves of a parity add up to that of half the slots
+                half = wide.shape[1] // 2
+                wide = wide[:, :half] ^ wide[:, half:]
+            step = max(1, cells // max(1, wide.size))
+            for a in range(0, len(at), step):
+                mine = at[a:a + step]
+                odd = np.bitwise_count(bits[a:a + step, None, :] ^ wide[None, :, :]).sum(2, dtype=np.int64)
+                x, y = sizes[mine][:, None], sizes[to][None, :]
+                ok = (100 + threshold) * odd <= (x + y) * (100 - threshold)
+                ok &= (np.minimum(x, y) * 100 >= threshold * np.maximum(x, y)) & (mine[:, None] != to[None, :])
+                out[mine] |= ok.any(1)
+                out[to] |= ok.any(0)
+    return out
 
 
 def _sets(col: pa.Array, n_words: int):
@@ -153,30 +176,49 @@ def _product(threshold: int):
     return edges
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, n_words: int, threshold: int) -> DataFrame:
-    """``id, n_shingles, print, keys`` per row: set size, fingerprint of the
-    set (null: empty) and the keys of its block rows."""
+def _candidates(threshold: int):
+    """Group function: rows ``pivot, node, size, parity`` to those that may be linked."""
+
+    def keep(table: pa.Table) -> pa.Table:
+        ok = may_link(table["size"].to_numpy(), table["parity"].to_pylist(), threshold)
+        return table.select(["pivot", "node"]).filter(pa.array(ok))
+
+    return keep
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, n_words: int) -> tuple[DataFrame, np.ndarray]:
+    """``id, n_shingles, print, parity`` per row (size, fingerprint and parity
+    bits of the set; null: empty) and the counts of the n-grams' slots over all documents. Each
+    task adds one row a slot, marked by a null size."""
 
     def run(batches):
-        lo = size_classes(threshold)
+        total = np.zeros(SLOTS, np.int64)
+        names = ["id", "n_shingles", "print", "parity", "times"]
         for batch in batches:
-            n, prints, keys = [], [], []
+            n, prints, odd = [], [], []
             for s in _sets(batch.column(1), n_words):
                 n.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append(block_rows(s, lo, threshold) if len(s) else np.zeros(0, np.int64))
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                odd.append(parity(s) if len(s) else None)
+                total += np.bincount(slot_of(s), minlength=SLOTS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(prints, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n_shingles", "print", "keys"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n_shingles long, print binary, keys array<long>")
-
-
-def _shared_blocks(rows: DataFrame) -> DataFrame:
-    """``key, node, pivot`` of the block rows that at least two nodes have;
+                 pa.array(odd, pa.binary()), pa.nulls(len(n), pa.int64())], names)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()),
+             pa.nulls(len(at), pa.binary()), pa.array(total[at], pa.int64())], names)
+
+    rows = cut_lineage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        run, "id long, n_shingles long, print binary, parity binary, times long"), "sketches")
+    common = np.zeros(SLOTS, np.int64)
+    for r in rows.where("times is not null").groupBy("id").agg(F.sum("times").alias("n")).toLocalIterator():
+        common[r["id"]] = r["n"]  # SLOTS rows at most
+    return rows.where("times is null").drop("times"), common
+
+
+def _shared_columns(rows: DataFrame) -> DataFrame:
+    """``key, node, pivot`` of the columns that at least two nodes have;
     ``pivot`` is the smallest of them. One sorted pass per partition that
     keeps only the run at hand's first node."""
     def run(batches):
@@ -215,36 +257,58 @@ def _shared_blocks(rows: DataFrame) -> DataFrame:
             .mapInArrow(run, "key long, node long, pivot long"))
 
 
-def _grams_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFrame:
-    """``id, print, grams`` of the rows whose id may be in ``nodes`` (a fixed
-    bit filter spares the other texts; the caller joins exactly)."""
-    place = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    bits = (nodes.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket"))
-            .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")))
-    rows = bits.collect()  # FILTER_BITS / 32768 buckets of 4 KB at most
-    width = 32768
-    have = np.zeros(FILTER_BITS + 2 * width, bool)
-    for r in rows:
-        at = (r["bucket"] - 1) * width + 1 if r["bucket"] > 0 else 0
-        flat = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
-        have[at:at + len(flat)] |= flat.astype(bool)
-    mask = docs.sparkSession.sparkContext.broadcast(np.packbits(have))
+def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n_words: int, schema: str, emit) -> DataFrame:
+    """``emit(ids, sets)``, a record batch of ``schema``, over the rows whose id
+    may be in ``nodes``. A bit filter of 16 bits a node, 64 MB at most, spares
+    the other texts; where it is not exact, rows of further ids come too: copies
+    of a node with a larger id, which never are the smallest row of a group."""
+    bits = 1 << min(29, max(22, (16 * nodes.count()).bit_length()))
+    place = F.pmod(F.xxhash64("node"), F.lit(bits)) + 1
+    found = (nodes.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket"))
+             .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")))
+    have = np.zeros(bits // 8, np.uint8)
+    width = 4096  # bytes of a bucket
+    for r in found.toLocalIterator():
+        have[(r["bucket"] - 1) * width:r["bucket"] * width] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    mask = docs.sparkSession.sparkContext.broadcast(have)
 
     def run(batches):
-        wanted = np.unpackbits(mask.value).astype(bool)
+        wanted = mask.value
         for batch in batches:
-            hit = np.flatnonzero(wanted[batch.column(2).to_numpy()])
-            batch = batch.take(pa.array(hit))
-            grams = [s.tobytes() for s in _sets(batch.column(1), n_words)]
-            prints = [hashlib.blake2b(g, digest_size=16).digest() if g else None for g in grams]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()),
-                                              pa.array(grams, pa.binary())], ["id", "print", "grams"])
+            at = batch.column(2).to_numpy()
+            batch = batch.take(pa.array(np.flatnonzero((wanted[at >> 3] >> (at & 7)) & 1)))
+            yield emit(batch.column(0), _sets(batch.column(1), n_words))
 
     ident = F.col(id_col).cast("long")
     return (docs.where(ident.isNotNull())
-            .select(ident.alias("id"), F.col(text_col).alias("text"),
-                    F.pmod(F.xxhash64(ident), F.lit(FILTER_BITS)).alias("p"))
-            .mapInArrow(run, "id long, print binary, grams binary"))
+            .select(ident.alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(ident), F.lit(bits)).alias("p"))
+            .mapInArrow(run, schema))
+
+
+def _columns_of(docs: DataFrame, nodes: DataFrame, common: np.ndarray, id_col: str, text_col: str, n_words: int,
+                threshold: int) -> DataFrame:
+    """``key, node`` of the first columns of the sets of ``nodes``."""
+    counts = docs.sparkSession.sparkContext.broadcast(common)  # 8 bytes a slot
+
+    def emit(ids, sets):
+        keys = [first_columns(s, counts.value, threshold) if len(s) else s.view(np.int64) for s in sets]
+        node = np.repeat(ids.to_numpy(), [len(k) for k in keys])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])),
+                                           pa.array(node, pa.int64())], ["key", "node"])
+
+    return _sets_of(docs, nodes, id_col, text_col, n_words, "key long, node long", emit)
+
+
+def _grams_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFrame:
+    """``node, print, grams`` of ``nodes`` (the caller joins exactly)."""
+
+    def emit(ids, sets):
+        grams = [s.tobytes() for s in sets]
+        prints = [hashlib.blake2b(g, digest_size=16).digest() if g else None for g in grams]
+        return pa.RecordBatch.from_arrays([ids, pa.array(prints, pa.binary()), pa.array(grams, pa.binary())],
+                                          ["node", "print", "grams"])
+
+    return _sets_of(docs, nodes, id_col, text_col, n_words, "node long, print binary, grams binary", emit)
 
 
 def _chunks(load) -> F.Column:
@@ -254,7 +318,7 @@ def _chunks(load) -> F.Column:
 
 def _star_links(star: DataFrame, size: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
     """Forest edges among the rows that share a pivot. Every two rows of one
-    block have its pivot, so groups by pivot miss no pair; a group of several
+    column have its pivot, so groups by pivot miss no pair; a group of several
     chunks has the pivot in each of them."""
     dealt = lookup(star.where("node <> pivot"), size, "pivot", "w").select(
         "pivot", "node", F.pmod(F.hash("node"), F.col("chunks")).alias("chunk"))
@@ -265,8 +329,8 @@ def _star_links(star: DataFrame, size: DataFrame, grams: DataFrame, threshold: i
 
 
 def _chunk_links(blocks: DataFrame, links: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
-    """Forest edges among the chunks of large groups. ``blocks``: their key,
-    node, load. Per block the rows outside the component that most of its
+    """Forest edges among the chunks of large groups. ``blocks``: their key
+    (column), node, load. Per column the rows outside the component that most of its
     rows are in meet all its rows, chunk by chunk."""
     rows = cut_lineage(blocks.join(components(links), "node", "left")
                        .select("key", "node", "load", F.coalesce("component", "node").alias("comp")), "blocks")
@@ -299,23 +363,28 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     id reachable. Rows of one id are one node of the graph. A row with a null
     id is returned with its set size and a null component. Other columns of
     ``docs`` are not read. The join is exact up to 64-bit hashes of n-grams."""
-    sketch = cut_lineage(sketches(docs, id_col, text_col, n_words, threshold), "sketches")
+    sketch, common = sketches(docs, id_col, text_col, n_words)
     classes = cut_lineage(
         sketch.where(F.col("id").isNotNull() & F.col("print").isNotNull()).groupBy("print")
         .agg(F.min("id").alias("node"), F.count("*").alias("w"), F.first("n_shingles").alias("size"),
-             F.first("keys").alias("keys")), "classes")
-    blocks = cut_lineage(_shared_blocks(classes.select("node", F.explode("keys").alias("key"))), "blocks")
+             F.first("parity").alias("parity")), "classes")
+    blocks = cut_lineage(_shared_columns(_columns_of(docs, classes.select("node"), common, id_col, text_col, n_words,
+                                                     threshold)), "columns")
     load = F.greatest(F.lit(1 / max_rows), F.col("size") / max_shingles)
-    members = cut_lineage(classes.select("print", "node", load.alias("load"))
-                          .join(blocks.select("node").distinct(), "node"), "members")
-    texts = _grams_of(docs, members.select("node"), id_col, text_col, n_words).withColumnRenamed("id", "node")
-    grams = cut_lineage(members.join(texts.dropDuplicates(["node", "print"]), ["node", "print"]), "grams")
-    loads = members.groupBy("node").agg(F.sum("load").alias("load"))
-    star = cut_lineage(blocks.select("pivot", "node").distinct().join(loads, "node"), "stars")
-    size = cut_lineage(star.groupBy("pivot").agg(F.count("*").alias("w"), _chunks(F.sum("load")).alias("chunks")), "sizes")
-    links = cut_lineage(_star_links(star.drop("load"), size, grams, threshold), "links")
+    met = cut_lineage(blocks.select("pivot", "node").distinct().join(
+        classes.select("node", "size", "parity", load.alias("load")), "node"), "met")
+    size = cut_lineage(met.groupBy("pivot").agg(F.count("*").alias("w"), _chunks(F.sum("load")).alias("chunks")), "sizes")
     large = size.where("chunks > 1").select("pivot")
+    # A group of one chunk holds all pairs of its rows, so those that can have no link there go.
+    star = cut_lineage(
+        met.join(large, "pivot", "left_anti").groupBy("pivot").applyInArrow(_candidates(threshold), "pivot long, node long")
+        .unionByName(met.join(large, "pivot", "left_semi").select("pivot", "node").distinct()), "stars")
+    members = classes.select("print", "node").join(star.select("node").distinct(), "node")
+    texts = _grams_of(docs, star.select("node").distinct(), id_col, text_col, n_words)
+    grams = cut_lineage(members.join(texts, ["node", "print"]).dropDuplicates(["node", "print"]), "grams")
+    links = cut_lineage(_star_links(star, size, grams, threshold), "links")
     if not large.isEmpty():
+        loads = classes.groupBy("node").agg(F.sum(load).alias("load"))
         own = blocks.join(large, "pivot", "left_semi").drop("pivot").join(loads, "node")
         links = links.unionByName(_chunk_links(own, links, grams, threshold))
     label = components(links)
