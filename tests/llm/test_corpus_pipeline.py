@@ -35,7 +35,7 @@ def plain_run(spark, docs, sf_dir):
         return (b - a) / a >= langid.MARGIN
 
     rows = [r for r in rows if settled(r[1])]
-    keep = {c for _, _, c in brute_components(rows)}
+    keep = {c for _, _, c in brute_components(rows, 80, 5)}
     rows = [r for r in rows if r[0] in keep]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     bad = {i for i, _, n, _ in brute_contamination(rows, items) if n}
@@ -91,10 +91,19 @@ def test_stages_keep_the_columns_and_survive_odd_rows(spark, tmp_path):
 
 def test_stage_list():
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "language ID", "n-gram Jaccard join", "benchmark decontamination",
-                                         "SentencePiece encoding"]
+                                         "SentencePiece encoding and decoding"]
     assert cp.ORACLE_SQL is None
 
 
+def test_rows_of_one_id_are_compared_as_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(5, text), (5, other), (5, text), (2, text + " more"), (None, other), (None, "a third text of six words"), (9, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, cp.keep_one_of_each(spark, docs, SMALL).collect()), key=str)
+    assert got == sorted([(2, text + " more"), (5, other), (None, "a third text of six words"), (9, None), (9, "")], key=str)
+
+
 def test_near_copies_by_five_words(spark):
     rng = random.Random(7)
     rows = []

@@ -3,22 +3,24 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
+from lexicor.llm import jaccard
 from lexicor.llm.decontam import find_contamination
 from lexicor.llm.jaccard import jaccard_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def grams(text):
+def grams(text, n=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    return frozenset(zip(w, w[1:], w[2:])) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    return frozenset(zip(*(w[k:] for k in range(n)))) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(rows, threshold=90):
+def brute_components(rows, threshold=90, n=3):
     """Expected (id, size, component) of every row with an id."""
-    sets = [grams(t) for _, t in rows]
+    sets = [grams(t, n) for _, t in rows]
     parent = {i: i for i, _ in rows}
 
     def find(x):
@@ -71,6 +73,29 @@ def test_components_at_a_lower_threshold(spark):
     assert sorted(map(tuple, jaccard_components(docs, threshold=80).collect())) == brute_components(rows, 80)
 
 
+def test_components_of_five_words(spark):
+    rows = fixture(8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(docs, n_words=5, threshold=80).collect())) == brute_components(rows, 80, 5)
+
+
+def test_bounds_never_lose_a_link():
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 9, jaccard.SLOTS)
+    for _ in range(3000):
+        base = rng.integers(0, 1 << 62, rng.integers(1, 200)).astype(np.uint64)
+        threshold = int(rng.choice([80, 90, 100, 50]))
+        other = base.copy()
+        change = rng.random(len(base)) < rng.choice([0.02, 0.1, 0.2])
+        other[change] = rng.integers(0, 1 << 62, change.sum())
+        other = other[rng.random(len(other)) > rng.choice([0, 0.1])]
+        x, y = np.unique(base), np.unique(other)
+        both, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+        if len(y) and 100 * both >= threshold * union:
+            assert len(np.intersect1d(jaccard.first_columns(x, common, threshold), jaccard.first_columns(y, common, threshold)))
+            assert jaccard.may_link(np.array([len(x), len(y)]), [jaccard.parity(x), jaccard.parity(y)], threshold).all()
+
+
 def test_components_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(None, text), (5, text), (5, text), (9, text), (2, None), (2, ""), (4, "x")]
