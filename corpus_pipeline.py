@@ -43,25 +43,29 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return langid.classify(_framed(docs), language_model(docs)).where("lang_accepted").select("row.*")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns), ``text`` and ``key``, a number of the row's own:
+    ids may be null or come again. Written, so that the numbers stay."""
+    return cut_lineage(_framed(docs).withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies (5-word shingles, Jaccard of 0.8) the
-    document of the smallest id, and of rows of one id the one of the smallest
-    text. Rows with a null id are in no group and stay."""
-    groups = jaccard_components(docs, n_words=SHINGLE_WORDS, threshold=NEAR_PERCENT)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
-    one = named.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
-    return one.select("row.*").unionByName(docs.where("doc_id is null"))
+    row of the smallest id (a null id last). Rows, not ids, are compared: of
+    rows of one id only those that are near copies go."""
+    keyed = _keyed(docs)
+    groups = jaccard_components(keyed, id_col="key", n_words=SHINGLE_WORDS, threshold=NEAR_PERCENT)
+    named = groups.join(keyed.select("key", F.col("row.doc_id").alias("id")), "key")
+    first = named.groupBy("component_id").agg(
+        F.min_by("key", F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("key"))
+    return keyed.join(first.select("key"), "key", "left_semi").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any 10-word window of a benchmark item. A row with a
-    null id is known by its text's hash."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    keyed = docs.select(F.struct("*").alias("row"), key.alias("key"), "text")
+    """Rows without any 10-word window of a benchmark item."""
+    keyed = _keyed(docs)
     found = decontam.find_contamination(keyed, load(spark, sf_dir, "benchmark"), id_col="key")
-    bad = found.where("n_hit > 0").select("key").distinct()
-    return keyed.drop("text").join(bad, "key", "left_anti").select("row.*")
+    return keyed.join(found.where("n_hit > 0").select("key"), "key", "left_anti").select("row.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +80,7 @@ STAGES = [
     ("language ID", keep_language),
     ("n-gram Jaccard join", keep_one_of_each),
     ("benchmark decontamination", drop_contaminated),
-    ("SentencePiece encoding", encode_pieces),
+    ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
 
