@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, load, scratch_path
-from . import decontam, langid, licenses, quality, spm, tokencount, topk, toxicity, warc
+from . import decontam, langid, licenses, mixing, quality, spm, tokencount, topk, toxicity, warc
 from .jaccard import jaccard_components
 
 QUERIES: dict = {}
@@ -245,3 +245,26 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""")
 def op10_block_topk(spark, sf_dir):
     """Five best rows of every 50th vector by integer inner product."""
     return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@register("op13_source_mix", """
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                            md5('13:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+      FROM d GROUP BY source),
+t AS (SELECT 1.5::DOUBLE * sum(source_size)::BIGINT AS total FROM s),
+r(lam) AS (SELECT total / sum(w) FROM s, t GROUP BY total
+           UNION
+           SELECT (total - sum(CASE WHEN source_size * 2.0::DOUBLE <= lam * w THEN source_size * 2.0::DOUBLE ELSE 0 END))
+                  / sum(CASE WHEN source_size * 2.0::DOUBLE > lam * w THEN w ELSE 0 END)
+           FROM r, s, t GROUP BY lam, total),
+f AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, lam * w) AS target FROM s, (SELECT max(lam) AS lam FROM r)),
+c AS (SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(target / source_size)) ELSE 0 END::BIGINT AS copies FROM f),
+g AS (SELECT *, floor(target - copies * source_size + 0.5)::BIGINT AS rest FROM c),
+o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d)
+SELECT o.doc_id, o.size, g.source_size, g.target,
+       (g.copies * o.size + greatest(0, least(o.size, g.rest - o.before)))::BIGINT AS taken
+FROM o JOIN g ON o.source IS NOT DISTINCT FROM g.source""")
+def op13_source_mix(spark, sf_dir):
+    """Words that a 150 % mix takes of every document, sources weighing 3, 1, 2 in turn."""
+    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
