@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, load, scratch_path
-from . import decontam, langid, licenses, mixing, quality, spm, tokencount, topk, toxicity, warc
+from . import decontam, langid, lexical, licenses, mixing, quality, spm, tokencount, topk, toxicity, warc
 from .jaccard import jaccard_components
 
 QUERIES: dict = {}
@@ -247,6 +247,27 @@ def op10_block_topk(spark, sf_dir):
     return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+_TERMS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+@register("op12_bag_search", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format('text')}, '{_TERMS}') AS w FROM documents),
+st AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, t, count(*) AS times
+      FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format('text')}, '{_TERMS}')) AS t FROM benchmark) GROUP BY 1, 2),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, st GROUP BY t, n_docs),
+m AS (SELECT r, doc_id, 75 + (25 * len(d.w)::BIGINT * n_docs) // n_terms AS m FROM d, st),
+s AS (SELECT item_id, r, sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN f USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY 1, 2),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+      FROM s JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 20""")
+def op12_bag_search(spark, sf_dir):
+    """The 20 documents that fit each benchmark item best by its terms."""
+    return lexical.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 @register("op13_source_mix", """
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
                             md5('13:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
