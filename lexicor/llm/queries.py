@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, load, scratch_path
-from . import decontam, langid, lexical, licenses, mixing, quality, spm, tokencount, topk, toxicity, warc
+from . import decontam, dialogue, langid, lexical, licenses, mixing, quality, spm, tokencount, topk, toxicity, warc
 from .jaccard import jaccard_components
 
 QUERIES: dict = {}
@@ -247,6 +247,63 @@ def op10_block_topk(spark, sf_dir):
     return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+_CRC_TABLE = """list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+
+
+@register("op11_conversation_repair", f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS tbl),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT o.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)),
+                                  lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS how FROM o, crc),
+a AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN how = 1 THEN '' WHEN how = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE WHEN how = 3 THEN 2 ELSE 1 END)) AS again FROM h WHERE how <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM a),
+x AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                     WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+             role[1] AS c, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM n),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+             count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+             count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM x GROUP BY 1),
+ins(q, p, cost, letters, lines) AS (VALUES
+  (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+  (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']), (3, 2, 3, 'I', ['user:']), (2, 3, 3, 'I', ['assistant:']),
+  (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:']),
+  (3, 3, 6, 'II', ['user:', 'assistant:']), (2, 2, 6, 'II', ['assistant:', 'user:'])),
+mv(q, c, p, letter, cost, own) AS (VALUES
+  (0, 's', 1, 'K', 0, NULL), (0, 'u', 2, 'K', 0, NULL), (1, 'u', 2, 'K', 0, NULL), (3, 'u', 2, 'K', 0, NULL), (2, 'a', 3, 'K', 0, NULL),
+  (0, NULL, 2, 'R', 3, 'user'), (1, NULL, 2, 'R', 3, 'user'), (3, NULL, 2, 'R', 3, 'user'), (2, NULL, 3, 'R', 3, 'assistant'),
+  (0, NULL, 0, 'D', 4, NULL), (1, NULL, 1, 'D', 4, NULL), (2, NULL, 2, 'D', 4, NULL), (3, NULL, 3, 'D', 4, NULL)),
+dp(conv_id, i, q, cost, audit, lines) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0::BIGINT, '', []::VARCHAR[] FROM s
+  UNION ALL
+  SELECT conv_id, i, q, b.cost, b.audit, b.lines FROM (
+    SELECT dp.conv_id, x.i, mv.p AS q, arg_min(
+             {{'cost': dp.cost + ins.cost + mv.cost + CASE WHEN letter <> 'D' AND fault = 3 THEN 3 ELSE 0 END,
+              'audit': dp.audit || ins.letters || letter,
+              'lines': list_concat(dp.lines, ins.lines, CASE WHEN letter = 'D' THEN [] ELSE [coalesce(own, role) || ':' || text] END)}},
+             lpad((dp.cost + ins.cost + mv.cost + CASE WHEN letter <> 'D' AND fault = 3 THEN 3 ELSE 0 END)::VARCHAR, 9, '0')
+             || dp.audit || ins.letters || letter) AS b
+    FROM dp JOIN x ON x.conv_id IS NOT DISTINCT FROM dp.conv_id AND x.i = dp.i + 1 JOIN ins ON ins.q = dp.q
+         JOIN mv ON mv.q = ins.p AND (letter = 'D' OR fault IN (0, 3)) AND (mv.c IS NULL OR mv.c = x.c)
+    GROUP BY 1, 2, 3)),
+e AS (SELECT dp.conv_id, arg_min({{'cost': dp.cost + ins.cost, 'audit': dp.audit || ins.letters, 'lines': list_concat(dp.lines, ins.lines)}},
+                                 lpad((dp.cost + ins.cost)::VARCHAR, 9, '0') || dp.audit || ins.letters) AS b
+      FROM dp JOIN s ON s.conv_id IS NOT DISTINCT FROM dp.conv_id AND s.n = dp.i JOIN ins ON ins.q = dp.q AND ins.p IN (0, 3) GROUP BY 1)
+SELECT c.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate,
+       coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal, coalesce(e.b.cost, 0)::BIGINT AS cost,
+       coalesce(e.b.audit, '') AS audit, sha256(coalesce(array_to_string(e.b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+     LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id""")
+def op11_conversation_repair(spark, sf_dir):
+    """Faults, cheapest repair and its audit of every conversation, after damage by crc32."""
+    rows = load(spark, sf_dir, "conversations")
+    return dialogue.repair(dialogue.damage(rows), conversations=rows)
+
+
 _TERMS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
