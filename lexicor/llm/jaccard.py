@@ -195,12 +195,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n_words: int) -> tuple
         total = np.zeros(SLOTS, np.int64)
         names = ["id", "n_shingles", "print", "parity", "times"]
         for batch in batches:
-            n, prints, odd = [], [], []
+            n, prints, odd, slots = [], [], [], []
             for s in _sets(batch.column(1), n_words):
                 n.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 odd.append(parity(s) if len(s) else None)
-                total += np.bincount(slot_of(s), minlength=SLOTS)
+                slots.append(slot_of(s))
+            total += np.bincount(np.concatenate([np.zeros(0, np.int64), *slots]), minlength=SLOTS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(prints, pa.binary()),
                  pa.array(odd, pa.binary()), pa.nulls(len(n), pa.int64())], names)
