@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lexicor.llm import decontam, langid, quality, spm
 from lexicor.llm.jaccard import jaccard_components
 from lexicor.llm.queries import PIECE_MODEL, QUALITY_AT, language_model, quality_model, tokenizer_path
+from lexicor.operators.joins import lookup
 from lexicor.session import cut_lineage, load
 
 ORACLE_SQL = None
@@ -44,9 +45,23 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns), ``text`` and ``key``, a number of the row's own:
-    ids may be null or come again. Written, so that the numbers stay."""
-    return cut_lineage(_framed(docs).withColumn("key", F.monotonically_increasing_id()), "keyed")
+    """``row`` (all columns), ``text`` and ``key``, a number of the row's own.
+    That is the id where one row has it; rows whose id is null or comes again
+    are written with numbers below all ids."""
+    again = cut_lineage(docs.groupBy("doc_id").count().where("doc_id is null or count > 1").select("doc_id"), "repeated")
+    framed = _framed(docs)
+    if again.isEmpty():
+        return framed.withColumn("key", F.col("row.doc_id").cast("long"))
+    below = docs.agg(F.coalesce(F.min("doc_id").cast("long"), F.lit(0))).first()[0] - 1
+    known, odd = (framed.join(again, F.col("row.doc_id").eqNullSafe(again["doc_id"]), how) for how in ("left_anti", "left_semi"))
+    odd = cut_lineage(odd.withColumn("key", below - F.monotonically_increasing_id()), "odd")
+    return known.withColumn("key", F.col("row.doc_id").cast("long")).unionByName(odd)
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose key is not in ``keys``, a written table: its
+    size is known, so Spark broadcasts it while it is small."""
+    return keyed.drop("text").join(cut_lineage(keys.select("key"), "dropped"), "key", "left_anti").select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,17 +70,17 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows of one id only those that are near copies go."""
     keyed = _keyed(docs)
     groups = jaccard_components(keyed, id_col="key", n_words=SHINGLE_WORDS, threshold=NEAR_PERCENT)
-    named = groups.join(keyed.select("key", F.col("row.doc_id").alias("id")), "key")
-    first = named.groupBy("component_id").agg(
-        F.min_by("key", F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("key"))
-    return keyed.join(first.select("key"), "key", "left_semi").select("row.*")
+    named = groups.join(keyed.select("key", F.col("row.doc_id").alias("id")), "key").select(
+        "component_id", "key", F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("order"))
+    first = named.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return _without(keyed, lookup(named, cut_lineage(first, "groups"), "component_id", "n").where("order <> first"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any 10-word window of a benchmark item."""
     keyed = _keyed(docs)
     found = decontam.find_contamination(keyed, load(spark, sf_dir, "benchmark"), id_col="key")
-    return keyed.join(found.where("n_hit > 0").select("key"), "key", "left_anti").select("row.*")
+    return _without(keyed, found.where("n_hit > 0"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
