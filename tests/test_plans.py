@@ -4,7 +4,7 @@ import pytest
 
 from conftest import SF
 
-SLOW = {"word2vec_neighbours", "relevance_predict"}
+SLOW = {"word2vec_neighbours", "relevance_predict", "cbow_model", "cbow_continued", "cbow_neighbours"}
 
 
 def _plan(df):
