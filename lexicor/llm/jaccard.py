@@ -35,6 +35,8 @@ from .graphs import components
 #: Most rows and n-grams of one product (about 150 MB of task memory).
 MAX_ROWS = 1024
 MAX_SHINGLES = 2_000_000
+#: Bytes of texts whose n-grams are worked out at once.
+SPAN_BYTES = 1 << 22
 #: Slots that count how common n-grams are (4 bytes each in every task).
 SLOTS = 1 << 16
 
@@ -93,19 +95,24 @@ def may_link(sizes: np.ndarray, parities: list, threshold: int, cells: int = 1 <
     return out
 
 
-def _sets(col: pa.Array, n_words: int):
-    """The sorted distinct n-gram hashes of every text of an Arrow column."""
-    data, offsets = text_buffer(col)
-    words, first = word_hashes(data, offsets, WHITE_SEP)
-    grams = shingle_hashes(words, n_words)
-    for i in range(len(offsets) - 1):
-        a, b = int(first[i]), int(first[i + 1])
-        if b - a >= n_words:
-            yield np.unique(grams[a:b - n_words + 1])
-        elif b > a:
-            yield shingle_hashes(words[a:b], b - a)
-        else:
-            yield grams[:0]
+def _sets(col: pa.Array, n_words: int, span: int = SPAN_BYTES):
+    """The sorted distinct n-gram hashes of every text of an Arrow column,
+    worked out for rows of about ``span`` bytes at a time."""
+    data, ends = text_buffer(col)
+    a = 0
+    while a < len(ends) - 1:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + span, "right")) - 1)
+        words, first = word_hashes(data[ends[a]:ends[b]], ends[a:b + 1] - ends[a], WHITE_SEP)
+        grams = shingle_hashes(words, n_words)
+        for i in range(b - a):
+            x, y = int(first[i]), int(first[i + 1])
+            if y - x >= n_words:
+                yield np.unique(grams[x:y - n_words + 1])
+            elif y > x:
+                yield shingle_hashes(words[x:y], y - x)
+            else:
+                yield grams[:0]
+        a = b
 
 
 def product_links(sets: list[np.ndarray], threshold: int, allowed: np.ndarray | None = None,
