@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import materials as mat
 from ..functions import text as tx
+from .spelling import fold_spelling
 
 
 def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,17 +60,15 @@ def process_text(docs: DataFrame, text_col: str = "text", *, split_oxidation: bo
 
 
 def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
-              lemma_table: DataFrame | None = None, spelling: Column | None = None,
+              lemma_table: DataFrame | None = None, spelling: Column | DataFrame | None = None,
               stop_words=None, lemmatize: bool = True, **flags) -> DataFrame:
     """Adds ``processed_abstract``, ``materials`` (T13 mentions) and
     ``unprocessable`` (F3) to ``docs`` using the named recipe. ``lemma_table``
     has ``form, lemma`` (any size, see ``text.lemmatize_column``); ``spelling``
-    is the ordered pair array attached by ``text.attach_spelling``."""
+    is a table ``pos, gb, us`` of any size (``spelling.fold_spelling``) or, for a
+    short list, the ordered pair array attached by ``text.attach_spelling``."""
     text = F.col(text_col)
 
-    def spell(s: Column) -> Column:
-        return tx.fold_spelling(s, spelling) if spelling is not None else s
-
     if recipe == "api":
         # tokens are projected once and read by two consumers
         staged = docs.withColumn("_stoks", F.transform(tx.sentences(text), lambda s: tx.tokens(s)))
@@ -86,7 +85,7 @@ def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
                 F.flatten(F.transform(tx.sentences(text), lambda s: tx.tokens(s))), stop_words))
             if lemma_table is not None:
                 docs = tx.lemmatize_column(docs, "_ltoks", lemma_table)
-            docs = docs.withColumn("_base", spell(F.array_join("_ltoks", " "))).drop("_ltoks")
+            docs = _spelled(docs.withColumn("_base", F.array_join("_ltoks", " ")).drop("_ltoks"), "_base", spelling)
         else:
             docs = docs.withColumn("_base", text)
         flat = F.flatten(F.transform(tx.sentences(F.col("_base")), lambda s: tx.tokens(s)))
@@ -101,10 +100,10 @@ def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
             "_kept", F.transform("_stoks", lambda tk: tx.remove_stop_words(tk, stop_words)))
         if lemma_table is not None:
             staged = tx.lemmatize_column(staged, "_kept", lemma_table, nested=True)
+        staged = _spelled(staged.withColumn("_kept", F.transform("_kept", lambda k: F.array_join(k, " "))), "_kept", spelling)
         out = staged.select(
             "*",
-            F.array_join(F.transform("_kept", lambda k: spell(F.array_join(k, " "))), "\n")
-            .alias("processed_abstract"),
+            F.array_join("_kept", "\n").alias("processed_abstract"),
             F.array().cast("array<struct<original:string,normalized:string>>").alias("materials"),
             F.exists(mat.formula_table(F.flatten("_stoks")), lambda x: x["overflow"]).alias("unprocessable"))
         out = out.drop("_stoks", "_kept")
@@ -113,8 +112,19 @@ def normalise(docs: DataFrame, recipe: str = "api", *, text_col: str = "text",
     return out.drop("_steps")
 
 
+def _spelled(df: DataFrame, col: str, spelling: Column | DataFrame | None) -> DataFrame:
+    """``df`` with the texts (or array of texts) of ``col`` folded."""
+    if spelling is None:
+        return df
+    if isinstance(spelling, DataFrame):
+        return fold_spelling(df, spelling, text_col=col)
+    if df.schema[col].dataType.typeName() == "array":
+        return df.withColumn(col, F.transform(col, lambda s: tx.fold_spelling(s, spelling)))
+    return df.withColumn(col, tx.fold_spelling(F.col(col), spelling))
+
+
 def clean_corpus(articles: DataFrame, tag: str, *, lemma_table: DataFrame | None = None,
-                 spelling: Column | None = None, stop_words=None, key_cols=("doc_id",),
+                 spelling: Column | DataFrame | None = None, stop_words=None, key_cols=("doc_id",),
                  text_col: str = "processed_abstract") -> DataFrame:
     """Tag filter -> stop words -> lemmas -> spelling, one record per
     article. The lemma table is a broadcast lookup within its size bound and
@@ -122,14 +132,12 @@ def clean_corpus(articles: DataFrame, tag: str, *, lemma_table: DataFrame | None
     keys = [c for c in key_cols if c in articles.columns]
     sel = articles.where(F.array_contains("tags", tag))
     toks = F.flatten(F.transform(F.split(F.col(text_col), "\n"), lambda s: tx.tokens(s)))
-    staged = sel.select(*keys, *([] if spelling is None else ["_spelling"]),
+    staged = sel.select(*keys, *(["_spelling"] if isinstance(spelling, Column) else []),
                         tx.remove_stop_words(toks, stop_words).alias("_ct"))
     if lemma_table is not None:
         staged = tx.lemmatize_column(staged, "_ct", lemma_table)
-    cleaned = F.array_join("_ct", " ")
-    if spelling is not None:
-        cleaned = tx.fold_spelling(cleaned, spelling)
-    return staged.select(*keys, cleaned.alias("cleaned"))
+    staged = _spelled(staged.withColumn("cleaned", F.array_join("_ct", " ")), "cleaned", spelling)
+    return staged.select(*keys, "cleaned")
 
 
 def write_corpus_text(cleaned: DataFrame, path: str, column: str = "cleaned") -> None:

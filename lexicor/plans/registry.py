@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None):
 
 
 PLAN_MODULES = ("vector_queries", "text_queries", "phrase_queries", "store_queries",
-                "relevance_queries", "source_queries", "provider_queries", "cbow_queries", "border_queries", "lexicon_queries")
+                "relevance_queries", "source_queries", "provider_queries", "cbow_queries", "border_queries", "lexicon_queries", "index_queries")
 
 
 def load_all() -> None:

@@ -168,3 +168,18 @@ def test_spelling_by_token(spark):
     df = tx.attach_spelling(spark.createDataFrame([(["col", "our", "colour"],)], "t array<string>"),
                             spelling_table(spark, [("colour", "color"), ("lour", "x")]))
     assert df.select(tx.fold_spelling_tokens(F.col("t"), F.col("_spelling"))).first()[0] == ["col", "our", "color"]
+
+
+def test_recipes_with_a_spelling_table(spark):
+    from lexicor.operators import corpus
+    from lexicor.operators.lemmas import spelling_table
+    docs = spark.createDataFrame([(1, "The colours. Of olourr!\nCentre"), (2, ""), (3, None)], "doc_id long, text string")
+    table = spelling_table(spark, [("olour", "olor"), ("lorr", "x"), ("entre", "enter")])
+    attached = tx.attach_spelling(docs, table)
+    for recipe in ("loader", "s2orc"):
+        want = corpus.normalise(attached, recipe, spelling=F.col("_spelling")).select("doc_id", "processed_abstract").collect()
+        got = corpus.normalise(docs, recipe, spelling=table).select("doc_id", "processed_abstract").collect()
+        assert sorted(got, key=str) == sorted(want, key=str)
+    articles = attached.select("doc_id", F.col("text").alias("processed_abstract"), F.array(F.lit("t")).alias("tags"), "_spelling")
+    want = corpus.clean_corpus(articles, "t", spelling=F.col("_spelling")).collect()
+    assert sorted(corpus.clean_corpus(articles.drop("_spelling"), "t", spelling=table).collect(), key=str) == sorted(want, key=str)
