@@ -1,18 +1,18 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
 Rows of the incidence matrix are the distinct shingle sets, columns the
-n-grams. Columns are ordered by how common they are (counted over all
-documents in a fixed number of slots), rare ones first, so that n-grams that
-many documents share come last. Two sets whose Jaccard similarity reaches t
-share at least ``ceil(t n)`` n-grams of each set of n, so both have one of
-their first ``n - ceil(t n) + 1`` columns in common: the product is begun over
-these columns alone, and all pairs without an overlap there are discarded by
-that bound. It is then taken over the surviving groups of rows, block of
-columns by block: overlap counts add up and a pair goes as soon as what is
-left cannot bring it to its bound.
+n-grams. Two sets of a and b n-grams with Jaccard similarity of at least t
+differ in at most ``(a + b)(1 - t)/(1 + t)`` n-grams. The columns of a size
+class are cut by hash into one block more than that bound, so such a pair has
+identical rows in at least one block: all other pairs are discarded before
+anything is multiplied, and n-grams that many documents share do no harm,
+because a block row is matched whole. The product is then taken over the
+surviving groups of rows, block of columns by block: overlap counts add up
+and a pair goes as soon as what is left cannot bring it to its bound.
 
 Equal sets are one row from the start. Rows meet in groups by the smallest
-row that has one of their first columns. A group never grows beyond
+row of the blocks they share, and of a group only those go on whose parity bits
+(one bit a slot of n-grams) do not rule out every link. A group never grows beyond
 ``max_rows``/``max_shingles``: larger ones are cut into chunks with that row in
 each; then only chunks with rows of different components meet. The product returns a spanning forest of the links, never
 the pairs themselves.
@@ -21,6 +21,8 @@ the pairs themselves.
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import lookup
 from ..session import cut_lineage
-from .arrowtext import WHITE_SEP, shingle_hashes, text_buffer, word_hashes
+from .arrowtext import WHITE_SEP, mix, shingle_hashes, text_buffer, word_hashes
 from .graphs import components
 
 #: Most rows and n-grams of one product (about 150 MB of task memory).
@@ -37,25 +39,52 @@ MAX_ROWS = 1024
 MAX_SHINGLES = 2_000_000
 #: Bytes of texts whose n-grams are worked out at once.
 SPAN_BYTES = 1 << 22
-#: Slots that count how common n-grams are (4 bytes each in every task).
-SLOTS = 1 << 16
 
 
-def slot_of(grams: np.ndarray) -> np.ndarray:
-    """The slot that counts each n-gram."""
-    return (grams >> np.uint64(17)).astype(np.int64) & (SLOTS - 1)
-
-
-def first_columns(s: np.ndarray, common: np.ndarray, threshold: int) -> np.ndarray:
-    """The columns of one set of which a linked set must share one: the first
-    ``n - ceil(t n) + 1`` by (count of the slot, n-gram)."""
-    n = len(s)
-    k = n - -(-threshold * n // 100) + 1
-    times = common[slot_of(s)]
-    if k < n:
-        some = np.flatnonzero(times <= np.partition(times, k - 1)[k - 1])
-        s, times = s[some], times[some]
-    return s[np.lexsort((s, times))[:k]].view(np.int64)
+def size_classes(threshold: int, largest: int = 1 << 40) -> np.ndarray:
+    """Lower ends of the size classes: partners are in the same or the next."""
+    lo = [1]
+    while lo[-1] < largest:
+        lo.append(max(lo[-1] + 1, -(-lo[-1] * 100 // threshold)))
+    return np.array(lo, dtype=np.int64)
+
+
+@lru_cache(maxsize=4096)
+def spare_blocks(size: int, differ: int) -> int:
+    """Blocks beyond the bound. Linked sets agree in more blocks than these, so
+    a set with at most as many empty ones need not be matched on its empty
+    blocks, which unrelated sets have too; three deviations above the number
+    that a set of ``size`` n-grams is expected to have."""
+    spare = 0
+    while differ:
+        k = differ + 1 + spare
+        empty = k * math.exp(-size / k)
+        if spare >= empty + 3 * math.sqrt(empty) + 1:
+            break
+        spare += 1
+    return spare
+
+
+def block_rows(s: np.ndarray, lo: np.ndarray, threshold: int) -> np.ndarray:
+    """Keys of the block rows of one sorted set, for its own size class and,
+    where a partner may be in the next one, for that too."""
+    n, out = len(s), []
+    own = int(np.searchsorted(lo, n, "right")) - 1
+    for c in (own, own + 1):
+        if c > own and 100 * n < threshold * int(lo[c]):
+            continue
+        differ = 2 * (int(lo[c + 1]) - 1) * (100 - threshold) // (100 + threshold)
+        spare = spare_blocks(int(lo[c]), differ)
+        k = differ + 1 + spare
+        part = ((s >> np.uint64(33)).astype(np.int64) * k) >> 31
+        ends = np.searchsorted(part, np.arange(k + 1))
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(0xA0761D6478BD642F)))])
+            seed = np.uint64(c * 0x1000003) + np.arange(k, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)
+            keys = mix(total[ends[1:]] - total[ends[:-1]] + mix(seed))
+        full = ends[1:] > ends[:-1]
+        out.append(keys[full] if k - int(full.sum()) <= spare else keys)
+    return np.concatenate(out).view(np.int64)
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -193,40 +222,27 @@ def _candidates(threshold: int):
     return keep
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, n_words: int) -> tuple[DataFrame, np.ndarray]:
-    """``id, n_shingles, print, parity`` per row (size, fingerprint and parity
-    bits of the set; null: empty) and the counts of the n-grams' slots over all documents. Each
-    task adds one row a slot, marked by a null size."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFrame:
+    """``id, n_shingles, print, parity`` per row: size, fingerprint and parity
+    bits of the set (null: empty)."""
 
     def run(batches):
-        total = np.zeros(SLOTS, np.int64)
-        names = ["id", "n_shingles", "print", "parity", "times"]
         for batch in batches:
-            n, prints, odd, slots = [], [], [], []
+            n, prints, odd = [], [], []
             for s in _sets(batch.column(1), n_words):
                 n.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 odd.append(parity(s) if len(s) else None)
-                slots.append(slot_of(s))
-            total += np.bincount(np.concatenate([np.zeros(0, np.int64), *slots]), minlength=SLOTS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(prints, pa.binary()),
-                 pa.array(odd, pa.binary()), pa.nulls(len(n), pa.int64())], names)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at, pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()),
-             pa.nulls(len(at), pa.binary()), pa.array(total[at], pa.int64())], names)
-
-    rows = cut_lineage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n_shingles long, print binary, parity binary, times long"), "sketches")
-    common = np.zeros(SLOTS, np.int64)
-    for r in rows.where("times is not null").groupBy("id").agg(F.sum("times").alias("n")).toLocalIterator():
-        common[r["id"]] = r["n"]  # SLOTS rows at most
-    return rows.where("times is null").drop("times"), common
-
-
-def _shared_columns(rows: DataFrame) -> DataFrame:
-    """``key, node, pivot`` of the columns that at least two nodes have;
+                 pa.array(odd, pa.binary())], ["id", "n_shingles", "print", "parity"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        run, "id long, n_shingles long, print binary, parity binary")
+
+
+def _shared_blocks(rows: DataFrame) -> DataFrame:
+    """``key, node, pivot`` of the block rows that at least two nodes have;
     ``pivot`` is the smallest of them. One sorted pass per partition that
     keeps only the run at hand's first node."""
     def run(batches):
@@ -293,13 +309,12 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n_wo
             .mapInArrow(run, schema))
 
 
-def _columns_of(docs: DataFrame, nodes: DataFrame, common: np.ndarray, id_col: str, text_col: str, n_words: int,
-                threshold: int) -> DataFrame:
-    """``key, node`` of the first columns of the sets of ``nodes``."""
-    counts = docs.sparkSession.sparkContext.broadcast(common)  # 8 bytes a slot
+def _block_rows_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n_words: int, threshold: int) -> DataFrame:
+    """``key, node`` of the block rows of the sets of ``nodes``."""
+    lo = size_classes(threshold)
 
     def emit(ids, sets):
-        keys = [first_columns(s, counts.value, threshold) if len(s) else s.view(np.int64) for s in sets]
+        keys = [block_rows(s, lo, threshold) if len(s) else s.view(np.int64) for s in sets]
         node = np.repeat(ids.to_numpy(), [len(k) for k in keys])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])),
                                            pa.array(node, pa.int64())], ["key", "node"])
@@ -326,7 +341,7 @@ def _chunks(load) -> F.Column:
 
 def _star_links(star: DataFrame, size: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
     """Forest edges among the rows that share a pivot. Every two rows of one
-    column have its pivot, so groups by pivot miss no pair; a group of several
+    block have its pivot, so groups by pivot miss no pair; a group of several
     chunks has the pivot in each of them."""
     dealt = lookup(star.where("node <> pivot"), size, "pivot", "w").select(
         "pivot", "node", F.pmod(F.hash("node"), F.col("chunks")).alias("chunk"))
@@ -337,8 +352,8 @@ def _star_links(star: DataFrame, size: DataFrame, grams: DataFrame, threshold: i
 
 
 def _chunk_links(blocks: DataFrame, links: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
-    """Forest edges among the chunks of large groups. ``blocks``: their key
-    (column), node, load. Per column the rows outside the component that most of its
+    """Forest edges among the chunks of large groups. ``blocks``: their key,
+    node, load. Per block the rows outside the component that most of its
     rows are in meet all its rows, chunk by chunk."""
     rows = cut_lineage(blocks.join(components(links), "node", "left")
                        .select("key", "node", "load", F.coalesce("component", "node").alias("comp")), "blocks")
@@ -371,13 +386,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     id reachable. Rows of one id are one node of the graph. A row with a null
     id is returned with its set size and a null component. Other columns of
     ``docs`` are not read. The join is exact up to 64-bit hashes of n-grams."""
-    sketch, common = sketches(docs, id_col, text_col, n_words)
+    sketch = cut_lineage(sketches(docs, id_col, text_col, n_words), "sketches")
     classes = cut_lineage(
         sketch.where(F.col("id").isNotNull() & F.col("print").isNotNull()).groupBy("print")
         .agg(F.min("id").alias("node"), F.count("*").alias("w"), F.first("n_shingles").alias("size"),
              F.first("parity").alias("parity")), "classes")
-    blocks = cut_lineage(_shared_columns(_columns_of(docs, classes.select("node"), common, id_col, text_col, n_words,
-                                                     threshold)), "columns")
+    blocks = cut_lineage(_shared_blocks(_block_rows_of(docs, classes.select("node"), id_col, text_col, n_words, threshold)), "blocks")
     load = F.greatest(F.lit(1 / max_rows), F.col("size") / max_shingles)
     met = cut_lineage(blocks.select("pivot", "node").distinct().join(
         classes.select("node", "size", "parity", load.alias("load")), "node"), "met")

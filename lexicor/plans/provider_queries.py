@@ -246,12 +246,10 @@ FROM k JOIN f USING (k) GROUP BY k.k""")
 def bucket_upsert(spark, sf_dir):
     """U1, U2 on the stored table: three batches into hash buckets, each
     rewriting only the buckets that its keys fall into."""
-    from ..operators import bucket_store as bs
-
     root = scratch_path(spark, "bucket-store")
     d = _docs(spark, sf_dir).select(
         F.lit("doi").alias("key_type"), F.concat(F.lit("10.1/"), (F.col("doc_id") % 400).cast("string")).alias("key"), "doc_id",
         F.array("lang").alias("tags"), F.col("doc_id").alias("_seq"))
     for batch in range(3):
-        bs.upsert_into(spark, root, d.where(F.col("doc_id") % 3 == batch), ["doc_id"])
-    return bs.read_store(spark, root).select(*st.KEY, "doc_id", F.array_join(F.array_sort("tags"), ",").alias("tags"))
+        st.upsert_into(spark, root, d.where(F.col("doc_id") % 3 == batch), ["doc_id"])
+    return st.read_buckets(spark, root).select(*st.KEY, "doc_id", F.array_join(F.array_sort("tags"), ",").alias("tags"))

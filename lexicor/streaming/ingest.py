@@ -1,32 +1,114 @@
-"""Micro-batched classify-and-store (S13) with Structured Streaming.
-
-A file source (``maxFilesPerTrigger`` bounds each micro-batch, the
-counterpart of the original's 20,000-article flushes) feeds
-``foreachBatch``: the batch is prepared exactly as in batch mode and upserted
-into a bucketed store. The store's manifest records, with the version, the
-last epoch of every stream (its id is kept in its checkpoint), so a replayed
-batch is skipped, a half-written one is done again, and a second source or a
-new checkpoint on the same store goes on from what is there. Keyed
-first-writer-wins upserts need no watermark or state store.
-
-Every batch also leaves its counts under ``metrics/``: rejects by reason, and
-by tag what was analysed, newly stored or tagged, irrelevant, already tagged.
+"""Micro-batched classify-and-store (S13) on Spark's keyed state.
+
+A file source (``maxFilesPerTrigger`` bounds each micro-batch, the counterpart
+of the original's 20,000-article flushes) is prepared exactly as in batch mode.
+For every article key Spark's state holds the first writer's fields and the tags
+so far; a batch that brings a new key or new tags appends one change row to a
+plain Parquet sink. What was read, the state and the sink's files are committed
+by Spark's checkpoint, so a restart or a replayed batch neither loses nor repeats
+a change. A second source, or a new checkpoint, writes changes of its own next
+to the others; reading the store reduces them to one row a key.
+
+Counts (rejects by reason; by tag what was analysed, newly stored or tagged,
+irrelevant, already tagged) are observed while the batch runs, without a scan
+of their own.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators import store as st
-from ..operators.bucket_store import manifest, read_store, upsert_into
+from ..operators import rejects as rj
+from ..operators.store import KEY
 from ..plans.ingest import STORE_FIELDS, prepare
-from ..session import cut_lineage
 from ..sources.providers import S2ORC_SCHEMA, s2orc_articles
 
+STATE = "row string, tags array<string>, version int"
+CHANGES = "key_type string, key string, row string, tags array<string>, version int, is_new boolean, added array<string>"
+#: Progress reports kept until a run ends: as many micro-batches have metrics.
+PROGRESS = 10_000
+
+
+def _changes(key, frames, state):
+    """State function: at most one change row for a key and batch."""
+    row, tags, version = state.get if state.exists else (None, [], 0)
+    first, added = None, set()
+    for pdf in frames:
+        for file, block, n, fields, new in zip(pdf["file"], pdf["block"], pdf["n"], pdf["row"], pdf["tags"]):
+            if first is None or (file, block, n) < first[0]:
+                first = ((file, block, n), fields)
+            added.update(new)
+    added = sorted(added - set(tags))
+    is_new = version == 0
+    if first is None or not (is_new or added):
+        return
+    row = first[1] if is_new else row
+    tags = sorted([*tags, *added])
+    state.update((row, tags, version + 1))
+    yield pd.DataFrame({"key_type": [key[0]], "key": [key[1]], "row": [row], "tags": [tags], "version": [version + 1],
+                        "is_new": [is_new], "added": [added]})
+
+
+def _positions(df: DataFrame) -> DataFrame:
+    """``df`` with ``_seq``: file, block and the row's position in its task."""
+    placed = df.withColumn("_file", F.input_file_name()).withColumn("_block", F.input_file_block_start())
+    names = placed.columns
+
+    def run(batches):
+        n = 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(n, n + b.num_rows), pa.int64())], [*names, "_n"])
+            n += b.num_rows
+
+    schema = T.StructType([*placed.schema.fields, T.StructField("_n", T.LongType())])
+    seq = F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"), F.col("_n").alias("row"))
+    return placed.mapInArrow(run, schema).withColumn("_seq", seq).drop("_file", "_block", "_n")
+
+
+def _lightened(df: DataFrame) -> DataFrame:
+    """Of the rows of a key in one Arrow batch the first and those with a
+    further tag: a key with many rows brings few to its state."""
+    def run(batches):
+        for b in batches:
+            seen: dict = {}
+            keep = []
+            for i, (kind, key, tags) in enumerate(zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in (*KEY, "tags")))):
+                known = seen.get((kind, key))
+                if known is None or not known.issuperset(tags):
+                    keep.append(i)
+                    seen[kind, key] = set(tags) | (known or set())
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _field_schema(fields: list[str], schema: T.StructType) -> T.StructType:
+    return T.StructType([schema[f] for f in fields])
+
 
 def latest_store(spark: SparkSession, root: str) -> DataFrame | None:
-    return read_store(spark, root)
+    """The store: of every key the fields of its first change (of several
+    streams that of the first by name) and all its tags; None while empty."""
+    base = root.rstrip("/")
+    if not _exists(spark, f"{base}/fields"):
+        return None
+    schema = T.StructType.fromDDL(spark.read.text(f"{base}/fields").first()[0])
+    changes = spark.read.schema(CHANGES + ", stream string").option("basePath", f"{base}/changes").parquet(f"{base}/changes/stream=*")
+    one = changes.groupBy(*KEY).agg(F.min_by("row", F.struct("stream", "version")).alias("row"),
+                                    F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"))
+    return one.select(*KEY, F.from_json("row", schema).alias("f"), "tags").select(*KEY, "f.*", "tags")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def stream_metrics(spark: SparkSession, root: str) -> DataFrame:
@@ -35,45 +117,63 @@ def stream_metrics(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/metrics")
 
 
-def _write_metrics(root: str, stream: str, epoch: int, rejected: DataFrame, rows: DataFrame, per_key: DataFrame,
-                   tags: list[str], general_tag: str | None) -> None:
-    none = F.lit(None).cast("long")
-    out = rejected.groupBy(F.col("reject_reason").alias("name")).agg(F.count("*").alias("total")).select(
-        F.lit("reject").alias("kind"), "name", "total", none.alias("relevant"), none.alias("irrelevant"),
-        none.alias("already_tagged"))
-    if tags:
-        out = out.unionByName(st.store_metrics(rows, per_key, tags).select(
-            F.lit("tag").alias("kind"), F.col("tag").alias("name"), "total", "relevant", "irrelevant", "already_tagged"))
-    if general_tag:
-        new = per_key.select(F.count_if("is_new")).scalar()
-        out = out.unionByName(rows.agg(F.count("*").alias("total")).select(
-            F.lit("tag").alias("kind"), F.lit(general_tag).alias("name"), "total", new.alias("relevant"),
-            F.lit(0).cast("long").alias("irrelevant"), (F.col("total") - new).alias("already_tagged")))
-    (out.select(F.lit(stream).alias("stream"), F.lit(epoch).cast("long").alias("epoch"), "*").coalesce(1)
-     .write.mode("overwrite").parquet(f"{root.rstrip('/')}/metrics/batch={stream}-{epoch}"))
-
-
-def stream_s2orc(spark: SparkSession, source_dir: str, store_root: str, checkpoint: str, *,
+_REASONS = ("no_id", "no_abstract", "unprocessable")
+
+
+def observed(rows: DataFrame, tags: list[str], general_tag: str | None) -> DataFrame:
+    """``rows`` (all articles, with ``reject_reason``, ``tags`` and ``pred_<tag>``)
+    with their counts observed as they pass (F4, A2, A3)."""
+    good = F.col("reject_reason").isNull()
+    counts = [F.count_if(F.col("reject_reason") == r).alias(f"reject:{r}") for r in _REASONS]
+    counts += [F.count_if(good).alias(f"total:{t}") for t in [*tags, *([general_tag] if general_tag else [])]]
+    counts += [F.count_if(good & (F.coalesce(F.col(f"pred_{t}"), F.lit(0)) != 1)).alias(f"irrelevant:{t}") for t in tags]
+    return rows.observe("articles", *counts)
+
+
+def _metric_rows(progress, stream: str):
+    for p in progress:
+        seen = p.observedMetrics
+        if "articles" not in seen or "changes" not in seen:
+            continue
+        a, c = seen["articles"].asDict(), seen["changes"].asDict()
+        for name, n in a.items():
+            kind, _, what = name.partition(":")
+            if kind == "reject" and n:
+                yield stream, p.batchId, "reject", what, n, None, None, None
+            if kind == "total":
+                irrelevant = a.get(f"irrelevant:{what}", 0)
+                yield stream, p.batchId, "tag", what, n, c[what], irrelevant, n - c[what] - irrelevant
+
+
+def stream_s2orc(spark: SparkSession, source_dir: str, store_root: str, checkpoint: str, *, stream: str | None = None,
                  models=None, general_tag: str | None = None, max_files_per_trigger: int = 1,
                  recipe: str = "s2orc", glob: str = "*.jsonl", **normalise_kw):
     """Run the S2ORC ingest over every file now in ``source_dir`` and stop.
+    ``stream`` names the changes of this source (default: by its checkpoint);
     ``normalise_kw`` (lemma table, spelling, flags) goes to the recipe."""
-    stream = (spark.readStream.schema(S2ORC_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-              .option("pathGlobFilter", glob).json(source_dir))
-
-    def per_batch(batch: DataFrame, epoch: int) -> None:
-        own = batch.sparkSession
-        name = own.sparkContext.getLocalProperty("sql.streaming.queryId")
-        if manifest(own, store_root)["applied"].get(name, -1) >= epoch:
-            return
-        rows, rejected = prepare(s2orc_articles(batch), "s2orc", models, general_tag, recipe, **normalise_kw)
-        rows = cut_lineage(rows, "prepared")
-        fields = [f for f in STORE_FIELDS if f in rows.columns]
-        upsert_into(own, store_root, rows, fields, stream=name, epoch=epoch,
-                    before_commit=lambda per_key: _write_metrics(
-                        store_root, name, epoch, rejected, rows, per_key, list(models or {}), general_tag))
-
-    q = (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    name = stream or uuid.uuid5(uuid.NAMESPACE_URL, checkpoint.rstrip("/")).hex[:12]
+    root = store_root.rstrip("/")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(PROGRESS))
+    raw = (spark.readStream.schema(S2ORC_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+           .option("pathGlobFilter", glob).json(source_dir))
+    tags = list(models or {})
+    rows = prepare(_positions(s2orc_articles(raw)), "s2orc", models, general_tag, recipe,
+                   watch=lambda df: observed(df, tags, general_tag), **normalise_kw)[0]
+    fields = [f for f in STORE_FIELDS if f in rows.columns]
+    schema = _field_schema(fields, rows.schema)
+    if not _exists(spark, f"{root}/fields"):
+        spark.range(1).select(F.lit(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)).alias("value")).coalesce(
+            1).write.mode("overwrite").text(f"{root}/fields")
+    light = _lightened(rows.select(*KEY, F.col("_seq.file").alias("file"), F.col("_seq.block").alias("block"), F.col("_seq.row").alias("n"),
+                                   F.to_json(F.struct(*fields)).alias("row"), "tags"))
+    changes = light.groupBy(*KEY).applyInPandasWithState(_changes, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+    new = [F.count_if(F.col("is_new")).alias(general_tag)] if general_tag else []
+    changes = changes.observe("changes", *(F.count_if(F.array_contains("added", t)).alias(t) for t in tags), *new, F.count(F.lit(1)).alias("rows"))
+    q = (changes.writeStream.format("parquet").option("path", f"{root}/changes/stream={name}").outputMode("append")
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return latest_store(spark, store_root)
+    found = list(_metric_rows(q.recentProgress, name))
+    if found:
+        spark.createDataFrame(found, "stream string, epoch long, kind string, name string, total long, relevant long, irrelevant long, "
+                                     "already_tagged long").coalesce(1).write.mode("append").parquet(f"{root}/metrics")
+    return latest_store(spark, root)

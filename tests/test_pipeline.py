@@ -107,31 +107,47 @@ def test_second_source_and_new_checkpoint_lose_nothing(spark, tmp_path):
     assert {r.key for r in got.collect()} == keys
 
 
-def test_half_written_version_is_done_again(spark, tmp_path):
-    from lexicor.operators import bucket_store as bs
+def test_restart_and_replay_repeat_nothing(spark, tmp_path):
+    from lexicor.streaming.ingest import stream_s2orc
+
+    src, root, ckpt = tmp_path / "in", str(tmp_path / "store"), tmp_path / "ckpt"
+    _land(src, 0, _articles(0))
+    first = _stored(stream_s2orc(spark, str(src), root, str(ckpt), general_tag="general"))
+    # the last batch is not yet committed when the driver stops: it runs again
+    for name in (tmp_path / "ckpt" / "commits").iterdir():
+        name.unlink()
+    _land(src, 1, _articles(1))
+    got = _stored(stream_s2orc(spark, str(src), root, str(ckpt), general_tag="general"))
+    keys = {(x["doi"] or x["paper_id"]) for f in range(2) for x in _articles(f) if x["abstract"]}
+    assert {r[1] for r in got} == keys and len(got) == len(keys)
+    assert [r for r in got if r[1] in {x[1] for x in first}] == first
+    changes = spark.read.parquet(f"{root}/changes").groupBy("key").count().where("count > 1").count()
+    assert changes == 0
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
     from lexicor.operators import rejects as rj
+    from lexicor.operators import store as st
 
     def batch(rows):
         return rj.with_identity(spark.createDataFrame(
             [(k, None, None, None, t, tags, i) for i, (k, t, tags) in enumerate(rows)],
             "doi string, uid string, pmc string, paperid string, title string, tags array<string>, _seq long"))
 
-    root = str(tmp_path / "s")
-    bs.upsert_into(spark, root, batch([(f"10.1/{i}", f"t{i}", ["x"]) for i in range(60)]), ["title"], n_buckets=16)
-    half = tmp_path / "s" / "data" / "v=00000002" / "bucket=1"
-    half.mkdir(parents=True)
-    (half / "part-0.parquet").write_bytes(b"cut off")
-    per_key = bs.upsert_into(spark, root, batch([("10.1/3", "new title", ["y"]), ("10.1/new", "n", [])]), ["title"],
-                             stream="s", epoch=0)
+    path = str(tmp_path / "s")
+    assert st.read_buckets(spark, path) is None
+    st.upsert_into(spark, path, batch([(f"10.1/{i}", f"t{i}", ["x"]) for i in range(60)]), ["title"], n_buckets=16)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "s").glob("bucket=*/*.parquet")}
+    per_key = st.upsert_into(spark, path, batch([("10.1/3", "new title", ["y"]), ("10.1/new", "n", [])]), ["title"], n_buckets=16)
     assert sorted((r.key, r.is_new, r.added) for r in per_key.collect()) == [("10.1/3", False, ["y"]), ("10.1/new", True, [])]
-    # only the buckets of the two keys were written
-    written = {p.name for p in (tmp_path / "s" / "data" / "v=00000002").iterdir() if p.name.startswith("bucket")}
-    assert 1 <= len(written) <= 2
-    got = {r.key: (r.title, r.tags) for r in bs.read_store(spark, root).collect()}
+    kept = [f for f in before if f.exists() and f.stat().st_mtime_ns == before[f]]
+    assert len({f.parent for f in before} - {f.parent for f in kept}) <= 2 and kept
+    got = {r.key: (r.title, r.tags) for r in st.read_buckets(spark, path).collect()}
     assert len(got) == 61 and got["10.1/3"] == ("t3", ["x", "y"]) and got["10.1/new"] == ("n", [])
-    # the same batch of the same stream again: nothing happens
-    assert bs.upsert_into(spark, root, batch([("10.1/z", "z", [])]), ["title"], stream="s", epoch=0) is None
-    assert bs.manifest(spark, root)["version"] == 2
+    # the same batch again changes nothing
+    again = st.upsert_into(spark, path, batch([("10.1/3", "new title", ["y"])]), ["title"], n_buckets=16)
+    assert [(r.is_new, r.added) for r in again.collect()] == [(False, [])]
+    assert {r.key: (r.title, r.tags) for r in st.read_buckets(spark, path).collect()} == got
 
 
 def test_entry_contract(spark):
