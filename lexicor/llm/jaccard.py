@@ -3,10 +3,11 @@
 Rows of the incidence matrix are the distinct shingle sets, columns the
 n-grams. Two sets of a and b n-grams with Jaccard similarity of at least t
 differ in at most ``(a + b)(1 - t)/(1 + t)`` n-grams. The columns of a size
-class are cut by hash into one block more than that bound, so such a pair has
-identical rows in at least one block: all other pairs are discarded before
-anything is multiplied, and n-grams that many documents share do no harm,
-because a block row is matched whole. The product is then taken over the
+class are cut by hash into more blocks than that bound, so such a pair has
+identical rows in some blocks, of which one is not empty (short sets with many
+empty blocks are matched on their first n-grams too): all other pairs are
+discarded before anything is multiplied, and n-grams that many documents share
+do little harm, because a block row is matched whole. The product is then taken over the
 surviving groups of rows, block of columns by block: overlap counts add up
 and a pair goes as soon as what is left cannot bring it to its bound.
 
@@ -52,22 +53,25 @@ def size_classes(threshold: int, largest: int = 1 << 40) -> np.ndarray:
 @lru_cache(maxsize=4096)
 def spare_blocks(size: int, differ: int) -> int:
     """Blocks beyond the bound. Linked sets agree in more blocks than these, so
-    a set with at most as many empty ones need not be matched on its empty
-    blocks, which unrelated sets have too; three deviations above the number
-    that a set of ``size`` n-grams is expected to have."""
-    spare = 0
-    while differ:
+    a set with at most as many empty ones agrees in one that is not empty. The
+    first number that is two deviations above the empty blocks expected of
+    ``size`` n-grams, or, for short sets, the one of a few that comes nearest."""
+    best = (-math.inf, 0)
+    for spare in range(differ // 2 + 2 if differ else 1):
         k = differ + 1 + spare
         empty = k * math.exp(-size / k)
-        if spare >= empty + 3 * math.sqrt(empty) + 1:
-            break
-        spare += 1
-    return spare
+        margin = (spare - empty) / math.sqrt(empty)
+        if margin >= 2:
+            return spare
+        best = max(best, (margin, spare))
+    return best[1]
 
 
 def block_rows(s: np.ndarray, lo: np.ndarray, threshold: int) -> np.ndarray:
     """Keys of the block rows of one sorted set, for its own size class and,
-    where a partner may be in the next one, for that too."""
+    where a partner may be in the next one, for that too. Empty blocks have no
+    key, as unrelated sets have them too: sets with more of them than spare
+    ones add their first n-grams, of which two linked sets share one."""
     n, out = len(s), []
     own = int(np.searchsorted(lo, n, "right")) - 1
     for c in (own, own + 1):
@@ -82,8 +86,10 @@ def block_rows(s: np.ndarray, lo: np.ndarray, threshold: int) -> np.ndarray:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(0xA0761D6478BD642F)))])
             seed = np.uint64(c * 0x1000003) + np.arange(k, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)
             keys = mix(total[ends[1:]] - total[ends[:-1]] + mix(seed))
-        full = ends[1:] > ends[:-1]
-        out.append(keys[full] if k - int(full.sum()) <= spare else keys)
+            full = ends[1:] > ends[:-1]
+            out.append(keys[full])
+            if k - int(full.sum()) > spare:
+                out.append(mix(s[:n - -(-threshold * n // 100) + 1] + np.uint64(c * 0x9E3779B1 + 1)))
     return np.concatenate(out).view(np.int64)
 
 
