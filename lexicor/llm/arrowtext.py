@@ -78,6 +78,20 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets - offsets[0]
 
 
+def by_bytes(batches, column: int, limit: int = 4 * SPAN_BYTES):
+    """The rows of Arrow batches in batches of about ``limit`` bytes of text of
+    the column (a longer text is one of its own), and empty batches as they are."""
+    for batch in batches:
+        ends = text_buffer(batch.column(column))[1]
+        a = 0
+        while a < batch.num_rows or not batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + limit, "right")) - 1)
+            yield batch.slice(a, b - a)
+            if not batch.num_rows:
+                break
+            a = b
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, limit: int = SPAN_BYTES):
     """Contiguous byte ranges ``(a, b)`` that cover ``data``; each ends at a
     row boundary, behind a separator, or (one longer word) at the next of them."""

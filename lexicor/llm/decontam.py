@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .arrowtext import ALNUM_SEP, shingle_hashes, text_buffer, word_hashes
+from .arrowtext import ALNUM_SEP, by_bytes, shingle_hashes, text_buffer, word_hashes
 
 #: Words of the items of one block (its index is a few times 8 bytes a word).
 BLOCK_WORDS = 2_000_000
@@ -97,7 +97,7 @@ def _scan_counts(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
     def run(batches):
         sieves = {w: _Sieve(h) for w, h in table.value.items()}
         counts = {w: np.zeros(len(h), np.int64) for w, h in table.value.items()}
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             data, offsets = text_buffer(batch.column(1))
             words, first = word_hashes(data, offsets, ALNUM_SEP)
             for w, sieve in sieves.items():
@@ -156,7 +156,7 @@ def _scan_hits(docs: DataFrame, index, windows, names: list[str]) -> DataFrame:
         for n, (rows, _, _) in windows.items():
             parts.append((n, base, rows))
             base += len(rows)
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             data, offsets = text_buffer(batch.column(1))
             words, first = word_hashes(data, offsets, ALNUM_SEP)
             begins, found = [], []

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexicor.llm.arrowtext import ALNUM_SEP, WHITE_SEP, shingle_hashes, spans, text_buffer, word_hashes
+from lexicor.llm.arrowtext import ALNUM_SEP, WHITE_SEP, by_bytes, shingle_hashes, spans, text_buffer, word_hashes
 
 
 @pytest.mark.parametrize("limit", [3, 17, 1 << 20])
@@ -30,3 +30,12 @@ def test_sliced_and_wide_columns():
     data, offsets = text_buffer(col)
     assert bytes(data) == b"a bc" and offsets.tolist() == [0, 3, 3, 4]
     assert len(shingle_hashes(np.zeros(2, np.uint64), 3)) == 0
+
+
+def test_batches_by_bytes_keep_every_row():
+    texts = ["a" * 10, None, "", "b" * 50, "c", "d" * 9, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["i", "text"])
+    parts = list(by_bytes([batch.slice(1), batch, batch.slice(0, 0)], 1, limit=12))
+    assert [r["text"] for p in parts for r in p.to_pylist()] == texts[1:] + texts
+    assert all(p.num_rows <= 1 or sum(len(t or "") for t in p["text"].to_pylist()) <= 12 for p in parts)
+    assert parts[-1].num_rows == 0
