@@ -357,11 +357,11 @@ def _star_links(star: DataFrame, size: DataFrame, grams: DataFrame, threshold: i
             .groupBy("pivot", "chunk").applyInArrow(_product(threshold), "a long, b long"))
 
 
-def _chunk_links(blocks: DataFrame, links: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
+def _chunk_links(blocks: DataFrame, label: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
     """Forest edges among the chunks of large groups. ``blocks``: their key,
-    node, load. Per block the rows outside the component that most of its
+    node, load; ``label``: the components found so far. Per block the rows outside the component that most of its
     rows are in meet all its rows, chunk by chunk."""
-    rows = cut_lineage(blocks.join(components(links), "node", "left")
+    rows = cut_lineage(blocks.join(label, "node", "left")
                        .select("key", "node", "load", F.coalesce("component", "node").alias("comp")), "blocks")
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("load").alias("load"))
     main = cut_lineage(
@@ -410,12 +410,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     members = classes.select("print", "node").join(star.select("node").distinct(), "node")
     texts = _grams_of(docs, star.select("node").distinct(), id_col, text_col, n_words)
     grams = cut_lineage(members.join(texts, ["node", "print"]).dropDuplicates(["node", "print"]), "grams")
-    links = cut_lineage(_star_links(star, size, grams, threshold), "links")
+    label = components(_star_links(star, size, grams, threshold))
     if not large.isEmpty():
         loads = classes.groupBy("node").agg(F.sum(load).alias("load"))
         own = blocks.join(large, "pivot", "left_semi").drop("pivot").join(loads, "node")
-        links = links.unionByName(_chunk_links(own, links, grams, threshold))
-    label = components(links)
+        more = cut_lineage(_chunk_links(own, label, grams, threshold), "links")
+        if not more.isEmpty():
+            label = components(more.unionByName(label.toDF("a", "b")))
     node = classes.join(label, "node", "left").select("print", F.coalesce("component", "node").alias("component"), "w")
     found = lookup(sketch.select("id", "n_shingles", "print"), cut_lineage(node, "nodes"), "print", "w")
     return found.select(F.col("id").alias(id_col), "n_shingles",

@@ -8,6 +8,7 @@ import pytest
 
 from lexicor.llm import jaccard
 from lexicor.llm.decontam import find_contamination
+from lexicor.llm.graphs import components
 from lexicor.llm.jaccard import jaccard_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -159,3 +160,24 @@ def test_items_without_an_id_count_unnamed(spark, block_words):
     docs = spark.createDataFrame([(1, "q a b c d q"), (2, "x y z a b c d"), (3, "a b c"), (None, "a b c d")], "doc_id long, text string")
     got = sorted((tuple(r) for r in find_contamination(docs, items, block_words=block_words).collect()), key=str)
     assert got == [(1, 6, 4, []), (2, 7, 7, ["7"]), (3, 3, 0, []), (None, 4, 4, [])]
+
+
+def test_components_of_edge_tables(spark):
+    """Chains, stars, loops, repeated edges and no edges at all, held to union-find."""
+    rng = random.Random(4)
+    for edges in ([], [(1, 1)], [(2, 1), (1, 2)], [(i, i + 1) for i in range(120)], [(7, i) for i in range(30)] * 2,
+                  [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]):
+        up = {}
+        for a, b in edges:
+            if a != b:
+                a, b = (_top(up, x) for x in (a, b))
+                up[max(a, b)] = min(a, b)
+        got = components(spark.createDataFrame(edges, "a long, b long"))
+        assert sorted(map(tuple, got.collect())) == sorted((x, _top(up, x)) for x in up)
+
+
+def _top(up, x):
+    up.setdefault(x, x)
+    while up[x] != x:
+        x = up[x]
+    return x
