@@ -241,11 +241,46 @@ def term_display(spark, sf_dir):
                        query_label(F.col("p_name"), vectors).alias("label"))
 
 
-@register("exploration")
+# Anchors 1-4 are asked about; 5 and 6 are the nearer and the farther term, 7
+# and 8 the analogies' same and opposite; the user term is anchor 1.
+_EXPLORATION_SQL = """
+WITH vocab AS (
+  SELECT replace(lower(p.p_name || ' ' || CAST(p.p_partkey AS VARCHAR)), ' ', '_') AS word, e.label, e.vec_id,
+         e.embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(e.embedding::DOUBLE[], lambda x: x * x))) AS n
+  FROM embeddings e JOIN part p ON e.vec_id = p.p_partkey),
+a AS (SELECT word, v, n, row_number() OVER (ORDER BY label) AS i
+      FROM vocab WHERE vec_id IN (SELECT min(vec_id) FROM vocab GROUP BY label)),
+t AS (
+  SELECT i AS query_id, 'similar' AS variant, 10 AS topn, i, 1.0 AS sgn FROM range(1, 5) r(i)
+  UNION ALL SELECT 4 + i, 'vector_math', 10, unnest([i, 5, 6]), unnest([1.0, 1.0, -1.0]) FROM range(1, 5) r(i)
+  UNION ALL SELECT 8 + i, 'analogy', 1, unnest([8, i, 7]), unnest([1.0, 1.0, -1.0]) FROM range(1, 5) r(i)
+  UNION ALL SELECT 13, 'user', 5, 1, 1.0),
+q AS (
+  SELECT t.query_id, any_value(t.variant) AS variant, any_value(t.topn) AS topn, list(t.sgn ORDER BY t.i) AS sg,
+         list(a.v ORDER BY t.i) AS vs, list(a.n ORDER BY t.i) AS ns, list(a.word) AS used
+  FROM t JOIN a USING (i) GROUP BY t.query_id),
+qv AS (
+  SELECT query_id, variant, topn, used, list_transform(range(1, len(vs[1]) + 1),
+           lambda k: list_sum(list_transform(range(1, len(vs) + 1), lambda j: sg[j] * vs[j][k] / ns[j])) / len(vs)) AS x
+  FROM q),
+s AS (
+  SELECT qv.query_id, qv.variant, qv.topn, w.word, w.v, list_cosine_similarity(qv.x, w.v) AS sim
+  FROM qv JOIN vocab w ON NOT list_contains(qv.used, w.word)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, word) AS rank FROM s),
+top AS (SELECT * FROM r WHERE rank <= topn)
+SELECT query_id, variant, rank, word, round(sim, 4) AS similarity FROM top
+UNION ALL
+SELECT query_id, 'comparison_filter', rank, word, round(sim, 4) FROM top
+WHERE variant = 'similar' AND list_cosine_similarity(v, (SELECT v FROM a WHERE i = 5))
+                            > list_cosine_similarity(v, (SELECT v FROM a WHERE i = 6))
+"""
+
+
+@register("exploration", _EXPLORATION_SQL)
 def exploration(spark, sf_dir):
     """The exploration batch over the term vocabulary: most-similar,
     comparison filter, signed vectors, analogies and a user term, all built
-    from the label anchors (rows only)."""
+    from the label anchors."""
     vocab = _term_vocab(spark, sf_dir)
     first = vocab.groupBy("label").agg(F.min_by("word", "vec_id").alias("word")).orderBy("label").limit(8)
     a = [display_word(r["word"]) for r in first.collect()]  # eight anchors
