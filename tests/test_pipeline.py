@@ -227,3 +227,12 @@ def test_prepare_with_classifier_tags_relevant_rows(spark, tmp_path):
     got = {(r.key_type, r.key): sorted(r.tags) for r in store.collect()}
     assert got == {("doi", "10.5/a"): ["metal"]}
     assert [r.reject_reason for r in rejected.collect()] == ["no_abstract"]
+
+
+def test_fitted_classifier_does_not_carry_the_session(spark):
+    from lexicor.operators import relevance as rel
+    docs = spark.createDataFrame([(i, "good words" if i % 2 else "bad text", float(i % 2)) for i in range(20)],
+                                 "doc_id long, text string, label double")
+    model = rel.fit_classifier(docs)
+    assert not model.stages[-1].hasSummary
+    assert [r.prediction for r in rel.predict(model, docs).orderBy("doc_id").collect()] == [i % 2 for i in range(20)]
