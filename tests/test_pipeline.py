@@ -236,3 +236,20 @@ def test_fitted_classifier_does_not_carry_the_session(spark):
     model = rel.fit_classifier(docs)
     assert not model.stages[-1].hasSummary
     assert [r.prediction for r in rel.predict(model, docs).orderBy("doc_id").collect()] == [i % 2 for i in range(20)]
+
+
+def test_classifier_of_a_large_vocabulary_equals_spark_ml(spark, tmp_path):
+    from lexicor.operators import logistic, relevance as rel
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 37}" for k in range(1, 6 + i % 4)) + (" good" if i % 5 < 2 else " bad bad"),
+                                   float(i % 5 < 2)) for i in range(120)] + [(-1, "", 0.0)], "doc_id long, text string, label double")
+    ml, table = rel.fit_classifier(docs), rel.fit_classifier(docs, max_terms=1)
+    assert isinstance(table, logistic.TermModel)
+    wanted = dict(zip(ml.stages[1].vocabulary, ml.stages[-1].coefficients.toArray()))
+    got = {r.term: r.weight for r in table.table.collect()}
+    assert got.keys() == wanted.keys() and max(abs(got[t] - wanted[t]) for t in got) < 1e-2
+    assert abs(table.intercept - ml.stages[-1].intercept) < 1e-2
+    rel.save_model(table, str(tmp_path / "m"))
+    new = spark.createDataFrame([(1, "good w3"), (2, "bad w1"), (3, "unseen"), (4, "")], "doc_id long, text string")
+    for df in (docs, new):
+        p = [{r.doc_id: r.prediction for r in rel.predict(m, df).collect()} for m in (ml, table, rel.load_model(str(tmp_path / "m")))]
+        assert p[0] == p[1] == p[2]
