@@ -44,3 +44,26 @@ def test_query_table_labels_and_display(spark):
     rows = answers.orderBy("rank").collect()
     assert rows[0].query == "Plant - beef" and rows[0].term in ("soy-based food", "tofu")
     assert unknown.count() == 0
+
+
+def test_topn_kernel_holds_the_vectors_once_and_few_scores():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    from lexicor.operators import similarity as sim
+    rng = np.random.default_rng(1)
+    n, dims = 40_000, 64
+    vocab = pd.DataFrame({"word": np.arange(n), "vector": list(rng.standard_normal((n, dims)).astype(np.float32))})
+    queries = pd.DataFrame({"query_id": np.arange(300), "qvec": list(vocab["vector"][:300]), "exclude": [[i] for i in range(300)], "topn": 3})
+    queries.at[299, "qvec"] = np.full(dims, np.nan)
+    tracemalloc.start()
+    got = sim._topn_kernel()(vocab, queries)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    v = np.vstack(vocab["vector"]).astype(float)
+    cos = v @ v[7] / np.linalg.norm(v, axis=1) / np.linalg.norm(v[7])
+    cos[7] = -1
+    assert got[got.query_id == 7]["word"].tolist() == np.argsort(-cos)[:3].tolist()
+    assert got[got.query_id == 299]["similarity"].tolist() == [0, 0, 0]
