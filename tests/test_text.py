@@ -1,4 +1,6 @@
 """Golden rows for the token functions (documented examples of the original)."""
+import random
+
 from pyspark.sql import functions as F
 
 from conftest import col_values
@@ -183,3 +185,23 @@ def test_recipes_with_a_spelling_table(spark):
     articles = attached.select("doc_id", F.col("text").alias("processed_abstract"), F.array(F.lit("t")).alias("tags"), "_spelling")
     want = corpus.clean_corpus(articles, "t", spelling=F.col("_spelling")).collect()
     assert sorted(corpus.clean_corpus(articles.drop("_spelling"), "t", spelling=table).collect(), key=str) == sorted(want, key=str)
+
+
+def test_formula_table_is_beside_the_tokens(spark):
+    """An entry for every token: no search of a row's other formulas."""
+    df = spark.createDataFrame([([["Fe2O3", "and", "NaCl"], [], ["of"], ["Fe2O3"]],), (None,), ([None, [None, "H2O"]],)], "toks array<array<string>>")
+    names = [[None if r is None else [x and x["normalized"] for x in r] for r in row[0]]
+             for row in df.select(mat.formula_table(F.col("toks"), nested=True)).collect()]
+    assert names == [[["Fe2O3", None, "ClNa"], [], [None], ["Fe2O3"]], [], [[], [None, "H2O"]]]
+
+
+def test_fast_tokens_and_sentences_equal_the_plain_patterns(spark):
+    assert tx.FAST_TOKEN_RE != tx.TOKEN_RE
+    rng = random.Random(3)
+    signs = [*"aZé1(),.:;% \t\r\n\u0085  µΩFeIVx23.5+-", "Fe(II)", "5V", "Ca(OH)2", "3.5 K", "Si(111)", "x1.2(3)"]
+    texts = [None, ""] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = mat.split_tokens(F.regexp_extract_all("t", F.lit(tx.TOKEN_RE), 0))
+    lines = F.split(F.regexp_replace("t", tx.SENTENCE_END_RE, "$1\n"), "\n")
+    cut = F.filter(F.transform(lines, lambda s: F.regexp_replace(s, tx.EDGE_BLANKS_RE, "")), lambda s: s != "")
+    assert df.where(~plain.eqNullSafe(tx.tokens(F.col("t"))) | ~cut.eqNullSafe(tx.sentences(F.col("t")))).count() == 0
