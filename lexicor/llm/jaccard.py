@@ -15,7 +15,8 @@ Equal sets are one row from the start. Rows meet in groups by the smallest
 row of the blocks they share, and of a group only those go on whose parity bits
 (one bit a slot of n-grams) do not rule out every link. A group never grows beyond
 ``max_rows``/``max_shingles``: larger ones are cut into chunks with that row in
-each; then only chunks with rows of different components meet. The product returns a spanning forest of the links, never
+each; then only chunks with rows of different components meet, parity bits
+first. The product returns a spanning forest of the links, never
 the pairs themselves.
 """
 
@@ -40,6 +41,8 @@ MAX_ROWS = 1024
 MAX_SHINGLES = 2_000_000
 #: Bytes of texts whose n-grams are worked out at once.
 SPAN_BYTES = 1 << 22
+#: Chunks whose parity bits are compared are so many times those of a product.
+PARITY_CHUNK = 16
 
 
 def size_classes(threshold: int, largest: int = 1 << 40) -> np.ndarray:
@@ -101,8 +104,9 @@ def parity(s: np.ndarray) -> bytes:
                        bitorder="little").tobytes()
 
 
-def may_link(sizes: np.ndarray, parities: list, threshold: int, cells: int = 1 << 22) -> np.ndarray:
-    """Whether each set may be linked with any other. Slots in which two
+def may_link(sizes: np.ndarray, parities: list, threshold: int, cells: int = 1 << 22,
+             comp: np.ndarray | None = None) -> np.ndarray:
+    """Whether each set may be linked with any other (of another ``comp``). Slots in which two
     parities differ are at most as many as n-grams in which the sets differ,
     and linked sets of a and b differ in at most (a + b)(1 - t)/(1 + t)."""
     out = np.zeros(len(sizes), bool)
@@ -125,6 +129,8 @@ def may_link(sizes: np.ndarray, parities: list, threshold: int, cells: int = 1 <
                 x, y = sizes[mine][:, None], sizes[to][None, :]
                 ok = (100 + threshold) * odd <= (x + y) * (100 - threshold)
                 ok &= (np.minimum(x, y) * 100 >= threshold * np.maximum(x, y)) & (mine[:, None] != to[None, :])
+                if comp is not None:
+                    ok &= comp[mine][:, None] != comp[to][None, :]
                 out[mine] |= ok.any(1)
                 out[to] |= ok.any(0)
     return out
@@ -228,6 +234,17 @@ def _candidates(threshold: int):
     return keep
 
 
+def _apart(threshold: int):
+    """Group function: rows ``unit, node, comp, load, size, parity`` to those
+    that may be linked with one of another component."""
+
+    def keep(table: pa.Table) -> pa.Table:
+        ok = may_link(table["size"].to_numpy(), table["parity"].to_pylist(), threshold, 1 << 20, table["comp"].to_numpy())
+        return table.select(["unit", "node", "comp", "load"]).filter(pa.array(ok))
+
+    return keep
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, n_words: int) -> DataFrame:
     """``id, n_shingles, print, parity`` per row: size, fingerprint and parity
     bits of the set (null: empty)."""
@@ -357,27 +374,52 @@ def _star_links(star: DataFrame, size: DataFrame, grams: DataFrame, threshold: i
             .groupBy("pivot", "chunk").applyInArrow(_product(threshold), "a long, b long"))
 
 
-def _chunk_links(blocks: DataFrame, label: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
-    """Forest edges among the chunks of large groups. ``blocks``: their key,
-    node, load; ``label``: the components found so far. Per block the rows outside the component that most of its
-    rows are in meet all its rows, chunk by chunk."""
-    rows = cut_lineage(blocks.join(label, "node", "left")
-                       .select("key", "node", "load", F.coalesce("component", "node").alias("comp")), "blocks")
-    per = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("load").alias("load"))
+def _meetings(rows: DataFrame, chunk: int) -> DataFrame:
+    """``rows`` (``unit, node, comp, load`` and more, a written table) as they
+    meet, chunk ``i`` and ``j`` of their unit with loads of about ``chunk``: those
+    outside the component that most of its rows are in meet all its rows."""
+    per = rows.groupBy("unit", "comp").agg(F.count("*").alias("n"), F.sum("load").alias("load"))
     main = cut_lineage(
-        per.groupBy("key").agg(F.max(F.struct("n", "comp", "load")).alias("top"), F.sum("n").alias("w"),
-                               F.sum("load").alias("load"))
+        per.groupBy("unit").agg(F.max(F.struct("n", "comp", "load")).alias("top"), F.sum("n").alias("w"),
+                                F.sum("load").alias("load"))
         .where(F.col("w") > F.col("top.n"))
-        .select("key", F.col("top.comp").alias("main"), "w", _chunks(F.col("load") - F.col("top.load")).alias("n_few"),
-                _chunks(F.col("top.load")).alias("n_main")), "blocks")
-    held = lookup(rows, main, "key", "w").where(F.col("main").isNotNull())
+        .select("unit", F.col("top.comp").alias("main"), "w", _chunks((F.col("load") - F.col("top.load")) / chunk).alias("n_few"),
+                _chunks(F.col("top.load") / chunk).alias("n_main")), "mains")
+    held = lookup(rows, main, "unit", "w").where(F.col("main").isNotNull())
     few = F.col("comp") != F.col("main")
-    chunk = F.when(few, F.pmod(F.hash("node"), F.col("n_few"))).otherwise(
+    place = F.when(few, F.pmod(F.hash("node"), F.col("n_few"))).otherwise(
         F.col("n_few") + F.pmod(F.hash("node"), F.col("n_main")))
     last = F.when(few, F.col("n_few") + F.col("n_main") - 1).otherwise(F.col("n_few") - 1)
-    meets = (held.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-             .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "comp"))
-    return (meets.join(grams.select("node", "grams"), "node").groupBy("key", "i", "j")
+    return (held.withColumn("place", place).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+            .select(*rows.columns, F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j")))
+
+
+def _units(met: DataFrame, blocks: DataFrame, large: DataFrame) -> DataFrame:
+    """``unit, node, size, parity, load`` of the large groups' rows. A group's
+    rows meet once under its pivot, unless block by block there are fewer pairs."""
+    w = blocks.join(large, "pivot", "left_semi").groupBy("pivot", "key").agg(F.count("*").alias("n"))
+    pairs = cut_lineage(w.groupBy("pivot").agg(F.sum(F.col("n") * F.col("n")).alias("pairs")).join(large, "pivot")
+                        .select("pivot", (F.col("pairs") < F.col("w") * F.col("w")).alias("apart")), "groups")
+    cols = ["node", "size", "parity", "load"]
+    whole = met.join(pairs.where("not apart"), "pivot", "left_semi").select(F.col("pivot").alias("unit"), *cols)
+    apart = pairs.where("apart")
+    if apart.isEmpty():
+        return whole
+    known = met.join(apart, "pivot", "left_semi").select("pivot", *cols)
+    own = blocks.join(apart, "pivot", "left_semi").select(F.col("key").alias("unit"), "pivot", "node")
+    return whole.unionByName(own.join(known, ["pivot", "node"]).select("unit", *cols))
+
+
+def _chunk_links(units: DataFrame, label: DataFrame, grams: DataFrame, threshold: int) -> DataFrame:
+    """Forest edges among the chunks of large groups. ``units``: see above;
+    ``label``: the components found so far. Rows of different components meet
+    with their parity bits first, which are a small part of their n-grams, so
+    those chunks are larger; only what may be linked there meets with its n-grams."""
+    rows = cut_lineage(units.join(label, "node", "left")
+                       .select("unit", "node", "size", "parity", "load", F.coalesce("component", "node").alias("comp")), "units")
+    few = cut_lineage(_meetings(rows, PARITY_CHUNK).groupBy("unit", "i", "j")
+                      .applyInArrow(_apart(threshold), "unit long, node long, comp long, load double").distinct(), "apart")
+    return (_meetings(few, 1).join(grams.select("node", "grams"), "node").groupBy("unit", "i", "j")
             .applyInArrow(_product(threshold), "a long, b long"))
 
 
@@ -402,7 +444,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     met = cut_lineage(blocks.select("pivot", "node").distinct().join(
         classes.select("node", "size", "parity", load.alias("load")), "node"), "met")
     size = cut_lineage(met.groupBy("pivot").agg(F.count("*").alias("w"), _chunks(F.sum("load")).alias("chunks")), "sizes")
-    large = size.where("chunks > 1").select("pivot")
+    large = size.where("chunks > 1").select("pivot", "w")
     # A group of one chunk holds all pairs of its rows, so those that can have no link there go.
     star = cut_lineage(
         met.join(large, "pivot", "left_anti").groupBy("pivot").applyInArrow(_candidates(threshold), "pivot long, node long")
@@ -412,9 +454,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     grams = cut_lineage(members.join(texts, ["node", "print"]).dropDuplicates(["node", "print"]), "grams")
     label = components(_star_links(star, size, grams, threshold))
     if not large.isEmpty():
-        loads = classes.groupBy("node").agg(F.sum(load).alias("load"))
-        own = blocks.join(large, "pivot", "left_semi").drop("pivot").join(loads, "node")
-        more = cut_lineage(_chunk_links(own, label, grams, threshold), "links")
+        more = cut_lineage(_chunk_links(_units(met, blocks, large), label, grams, threshold), "links")
         if not more.isEmpty():
             label = components(more.unionByName(label.toDF("a", "b")))
     node = classes.join(label, "node", "left").select("print", F.coalesce("component", "node").alias("component"), "w")

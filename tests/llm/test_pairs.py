@@ -68,6 +68,27 @@ def test_components_equal_brute_force(spark, max_rows):
     assert sorted(map(tuple, got.collect())) == brute_components(rows)
 
 
+def test_rows_of_a_large_group_meet_once(spark, monkeypatch):
+    """Rows that share many blocks without being linked meet under their pivot,
+    not block by block, and those that parity bits rule out not at all."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdef") for _ in range(5)) for _ in range(3000)]
+    base = [rng.choice(words) for _ in range(200)]
+    texts = [" ".join(base[:150] + [rng.choice(words) for _ in range(50)]) for _ in range(60)]
+    texts += [" ".join(base[:195] + [rng.choice(words) for _ in range(5)]) for _ in range(30)]
+    made, cut = {}, jaccard.cut_lineage
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda df, name: made.setdefault(name, []).append(out := cut(df, name)) or out)
+    rows = list(enumerate(texts))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), max_rows=8)
+    assert sorted(map(tuple, got.collect())) == brute_components(rows)
+    shared = made["blocks"][0].count()
+    after = {k: sum(t.count() for t in v) for k, v in made.items()}
+    after["blocks"] -= shared
+    late = after["blocks"] + after.get("units", 0)
+    assert late == 0 or late <= shared // 2, (late, shared)
+    assert after.get("apart", 0) <= 2 * len(rows)
+
+
 def test_components_at_a_lower_threshold(spark):
     rows = fixture(3)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
