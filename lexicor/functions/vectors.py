@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .materials import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of element-wise products, accumulated in double."""
@@ -30,8 +32,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
+    """The vector of length 1; null without a length. The norm is bound once:
+    inside the lambda it would be worked out again for every component."""
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)))
 
 
 def scale(a: Column, s: Column) -> Column:

@@ -67,3 +67,17 @@ def test_topn_kernel_holds_the_vectors_once_and_few_scores():
     cos[7] = -1
     assert got[got.query_id == 7]["word"].tolist() == np.argsort(-cos)[:3].tolist()
     assert got[got.query_id == 299]["similarity"].tolist() == [0, 0, 0]
+
+
+def test_unit_binds_the_norm_once(spark):
+    import time
+
+    from lexicor.functions import vectors as vx
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,)], "v array<float>")
+    got = [r.u for r in rows.select(vx.unit(F.col("v")).alias("u")).collect()]
+    assert got == [[0.6, 0.8], None, None, None]
+    # One pass over the components, not one for every component.
+    long = spark.range(8, numPartitions=1).select(F.transform(F.sequence(F.lit(1), F.lit(8000)), lambda x: x.cast("float")).alias("v"))
+    start = time.time()
+    assert long.select(F.sum(F.get(vx.unit(F.col("v")), 0))).first()[0] > 0
+    assert time.time() - start < 8
