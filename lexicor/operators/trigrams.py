@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .search import keyword_hits
 #: Documents of one posting list at most.
 BLOCK = 1 << 16
 PARTITIONS = 64
+#: Bytes of texts whose trigrams are worked out at once.
+SPAN_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,53 @@ def _grams(text: str) -> set[str]:
     return {text[i:i + 3] for i in range(len(text) - 2)}
 
 
+def _spans(texts: pa.Array, size: int = SPAN_BYTES):
+    """Rows ``i`` to ``j`` of about ``size`` bytes at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(texts):
+        done = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield i, j
+        i = j
+
+
+def _lists(number: np.ndarray, texts: list[str], block: int) -> pa.RecordBatch:
+    """``gram, block, numbers`` of some texts: every trigram is one number, made
+    of its characters' places in the texts' alphabet, and a (trigram, text) pair
+    another; sorting those finds the distinct pairs."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    letters, place = _alphabet(chars)
+    n, d = max(1, len(letters)), max(1, len(texts))
+    if n ** 3 * d >= 1 << 63 and d > 1:
+        half = d // 2
+        parts = [_lists(number[x], texts[x], block) for x in (slice(half), slice(half, None))]
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    doc = np.repeat(np.arange(len(texts)), size)
+    place = place.astype(np.int64)
+    pair = ((place[:-2] * n + place[1:-1]) * n + place[2:]) * d + doc[2:]
+    pair = np.sort(pair[doc[2:] == doc[:-2]])
+    pair = pair[np.diff(pair, prepend=-1) > 0]
+    code, of = pair // d, number[pair % d]
+    first = np.ones(len(pair), bool)
+    first[1:] = (code[1:] != code[:-1]) | (of[1:] // block != of[:-1] // block)
+    start = np.flatnonzero(first)
+    code = code[start]
+    spelt = letters[np.stack([code // (n * n), code // n % n, code % n], 1)].astype("<u4").tobytes().decode("utf-32-le")
+    return pa.RecordBatch.from_arrays(
+        [pa.array([spelt[k:k + 3] for k in range(0, len(spelt), 3)], pa.string()), pa.array(of[start] // block, pa.int64()),
+         pa.ListArray.from_arrays(pa.array(np.append(start, len(of)), pa.int32()), pa.array(of, pa.int64()))],
+        ["gram", "block", "numbers"])
+
+
+def _alphabet(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct characters and each one's place among them, without a sort."""
+    there = np.zeros(int(chars.max(initial=0)) + 1, bool)
+    there[chars] = True
+    return np.flatnonzero(there).astype(np.uint32), (np.cumsum(there) - 1)[chars]
+
+
 def build(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> TrigramIndex:
     """The index of ``docs`` written under ``path``. Null texts contain
     nothing; rows of one id and rows with a null id are documents of their own."""
@@ -50,13 +100,9 @@ def build(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for b in batches:
-            lists: dict[tuple[str, int], list[int]] = {}
-            for n, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for gram in _grams(low):
-                    lists.setdefault((gram, n // block), []).append(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g for g, _ in lists], pa.string()), pa.array([k for _, k in lists], pa.int64()),
-                 pa.array(lists.values(), pa.list_(pa.int64()))], ["gram", "block", "numbers"])
+            number, low = b.column(0).to_numpy(), b.column(1)
+            for i, j in _spans(low):
+                yield _lists(number[i:j], low.slice(i, j - i).to_pylist(), block)
 
     found = spark.read.parquet(f"{path}/texts").select("number", "low").mapInArrow(run, "gram string, block long, numbers array<long>")
     ordered = F.array_sort(F.flatten(F.collect_list("numbers")))

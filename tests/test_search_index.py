@@ -23,6 +23,24 @@ def test_search_equals_a_scan(spark, tmp_path, block):
     assert trigrams.search(empty, docs.selectExpr("text as keyword")).count() == 0
 
 
+def test_trigram_lists_of_a_span_equal_plain_sets():
+    import numpy as np
+    import pyarrow as pa
+    rng = random.Random(3)
+    for case in range(60):
+        texts = ["".join(rng.choice("ab\0é日𝄞 ") for _ in range(rng.choice([0, 1, 2, 3, 5, 40]))) for _ in range(rng.choice([0, 1, 5, 40]))]
+        number = np.arange(len(texts)) + rng.randint(0, 100)
+        got = {}
+        for i, j in trigrams._spans(pa.array(texts, pa.string()), 50):
+            for gram, k, found in zip(*(c.to_pylist() for c in trigrams._lists(number[i:j], texts[i:j], 7).columns)):
+                got.setdefault((gram, k), []).extend(found)
+        want = {}
+        for n, t in zip(number.tolist(), texts):
+            for gram in {t[x:x + 3] for x in range(len(t) - 2)}:
+                want.setdefault((gram, n // 7), []).append(n)
+        assert got == want, case
+
+
 def test_lookup_reads_only_the_keyword(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i} of words") for i in range(50)], "doc_id long, text string")
     found = trigrams.lookup(trigrams.build(docs, str(tmp_path / "index")), "Words")
