@@ -2,9 +2,9 @@
 
 A file source (``maxFilesPerTrigger`` bounds each micro-batch, the counterpart
 of the original's 20,000-article flushes) is prepared exactly as in batch mode.
-For every article key Spark's state holds the first writer's fields and the tags
-so far; a batch that brings a new key or new tags appends one change row to a
-plain Parquet sink. What was read, the state and the sink's files are committed
+For every article key Spark's state holds the tags so far; a batch that brings a
+new key or new tags appends one change row, the first with the first writer's
+fields, to a plain Parquet sink. What was read, the state and the sink's files are committed
 by Spark's checkpoint, so a restart or a replayed batch neither loses nor repeats
 a change. A second source, or a new checkpoint, writes changes of its own next
 to the others; reading the store reduces them to one row a key.
@@ -16,7 +16,9 @@ of their own.
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -30,46 +32,54 @@ from ..operators.store import KEY
 from ..plans.ingest import STORE_FIELDS, prepare
 from ..sources.providers import S2ORC_SCHEMA, s2orc_articles
 
-STATE = "row string, tags array<string>, version int"
+#: Keys share a state by hash: calling the state function costs milliseconds,
+#: so a call serves a few keys of a batch. Part of a checkpoint, as its state.
+STATE_GROUPS = 4096
+STATE = "known string"
 CHANGES = "key_type string, key string, row string, tags array<string>, version int, is_new boolean, added array<string>"
 #: Progress reports kept until a run ends: as many micro-batches have metrics.
 PROGRESS = 10_000
 
 
-def _changes(key, frames, state):
-    """State function: at most one change row for a key and batch."""
-    row, tags, version = state.get if state.exists else (None, [], 0)
-    first, added = None, set()
+def _changes(_group, frames, state):
+    """State function: at most one change row for a key and batch. The state
+    holds version and tags of the group's keys; fields are in first changes only."""
+    known = {tuple(k): (version, tags) for *k, version, tags in json.loads(state.get[0])} if state.exists else {}
+    first, added = {}, {}
     for pdf in frames:
-        for file, block, n, fields, new in zip(pdf["file"], pdf["block"], pdf["n"], pdf["row"], pdf["tags"]):
-            if first is None or (file, block, n) < first[0]:
-                first = ((file, block, n), fields)
-            added.update(new)
-    added = sorted(added - set(tags))
-    is_new = version == 0
-    if first is None or not (is_new or added):
-        return
-    row = first[1] if is_new else row
-    tags = sorted([*tags, *added])
-    state.update((row, tags, version + 1))
-    yield pd.DataFrame({"key_type": [key[0]], "key": [key[1]], "row": [row], "tags": [tags], "version": [version + 1],
-                        "is_new": [is_new], "added": [added]})
+        for kind, key, file, block, n, fields, new in zip(*(pdf[c] for c in (*KEY, "file", "block", "n", "row", "tags"))):
+            k = kind, key
+            if k not in added:
+                added[k] = set()
+            if k not in known and (k not in first or (file, block, n) < first[k][0]):
+                first[k] = (file, block, n), fields
+            added[k].update(new)
+    rows = []
+    for k, new in added.items():
+        version, tags = known.get(k, (0, []))
+        new = sorted(new - set(tags))
+        if version == 0 or new:
+            known[k] = version + 1, sorted([*tags, *new])
+            rows.append((*k, first[k][1] if version == 0 else None, known[k][1], version + 1, version == 0, new))
+    if rows:
+        state.update((json.dumps([(*k, *v) for k, v in known.items()], ensure_ascii=False),))
+        yield pd.DataFrame(rows, columns=[*KEY, "row", "tags", "version", "is_new", "added"])
+
+
+@F.arrow_udf("long")
+def _place(blocks: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The position of every row in its task."""
+    n = 0
+    for b in blocks:
+        yield pa.array(range(n, n + len(b)), pa.int64())
+        n += len(b)
 
 
 def _positions(df: DataFrame) -> DataFrame:
     """``df`` with ``_seq``: file, block and the row's position in its task."""
     placed = df.withColumn("_file", F.input_file_name()).withColumn("_block", F.input_file_block_start())
-    names = placed.columns
-
-    def run(batches):
-        n = 0
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(n, n + b.num_rows), pa.int64())], [*names, "_n"])
-            n += b.num_rows
-
-    schema = T.StructType([*placed.schema.fields, T.StructField("_n", T.LongType())])
     seq = F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"), F.col("_n").alias("row"))
-    return placed.mapInArrow(run, schema).withColumn("_seq", seq).drop("_file", "_block", "_n")
+    return placed.withColumn("_n", _place.asNondeterministic()("_block")).withColumn("_seq", seq).drop("_file", "_block", "_n")
 
 
 def _lightened(df: DataFrame) -> DataFrame:
@@ -164,9 +174,10 @@ def stream_s2orc(spark: SparkSession, source_dir: str, store_root: str, checkpoi
     if not _exists(spark, f"{root}/fields"):
         spark.range(1).select(F.lit(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)).alias("value")).coalesce(
             1).write.mode("overwrite").text(f"{root}/fields")
-    light = _lightened(rows.select(*KEY, F.col("_seq.file").alias("file"), F.col("_seq.block").alias("block"), F.col("_seq.row").alias("n"),
+    group = F.pmod(F.xxhash64(*KEY), F.lit(STATE_GROUPS)).cast("int").alias("group")
+    light = _lightened(rows.select(group, *KEY, F.col("_seq.file").alias("file"), F.col("_seq.block").alias("block"), F.col("_seq.row").alias("n"),
                                    F.to_json(F.struct(*fields)).alias("row"), "tags"))
-    changes = light.groupBy(*KEY).applyInPandasWithState(_changes, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+    changes = light.groupBy("group").applyInPandasWithState(_changes, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
     new = [F.count_if(F.col("is_new")).alias(general_tag)] if general_tag else []
     changes = changes.observe("changes", *(F.count_if(F.array_contains("added", t)).alias(t) for t in tags), *new, F.count(F.lit(1)).alias("rows"))
     q = (changes.writeStream.format("parquet").option("path", f"{root}/changes/stream={name}").outputMode("append")

@@ -253,3 +253,48 @@ def test_classifier_of_a_large_vocabulary_equals_spark_ml(spark, tmp_path):
     for df in (docs, new):
         p = [{r.doc_id: r.prediction for r in rel.predict(m, df).collect()} for m in (ml, table, rel.load_model(str(tmp_path / "m")))]
         assert p[0] == p[1] == p[2]
+
+
+class _State:
+    """The part of Spark's keyed state that the stream's function uses."""
+
+    def __init__(self):
+        self.value = None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+
+def test_stream_state_serves_many_keys_and_holds_no_fields():
+    import pandas as pd
+
+    from lexicor.streaming.ingest import _changes
+    state = _State()
+
+    def batch(*rows):
+        df = pd.DataFrame(rows, columns=["key_type", "key", "file", "block", "n", "row", "tags"])
+        return {(r.key_type, r.key): (r.row, list(r.tags), r.version, r.is_new, list(r.added))
+                for out in _changes((7,), iter([df.iloc[:2], df.iloc[2:]]), state) for r in out.itertuples()}
+
+    assert batch(("doi", "k", "f1", 0, 5, "late", ["b"]), ("pmc", "k", "f1", 0, 2, "other", []),
+                 ("doi", "k", "f1", 0, 1, "first", ["a"])) == {
+        ("doi", "k"): ("first", ["a", "b"], 1, True, ["a", "b"]), ("pmc", "k"): ("other", [], 1, True, [])}
+    # a known key keeps its fields, a key without further tags changes nothing
+    assert batch(("doi", "k", "f0", 0, 0, "again", ["c", "a"]), ("pmc", "k", "f0", 0, 1, "again", [])) == {
+        ("doi", "k"): (None, ["a", "b", "c"], 2, False, ["c"])}
+    assert batch(("doi", "k", "f2", 0, 0, "again", ["a"])) == {}
+    assert "first" not in state.get[0] and "other" not in state.get[0]
+
+
+def test_stream_calls_its_state_for_groups_of_keys(spark, tmp_path):
+    from lexicor.streaming import ingest as si
+    src = tmp_path / "in"
+    rows = [{"paper_id": f"p{i}", "title": f"t{i}", "abstract": f"Text {i}."} for i in range(3 * si.STATE_GROUPS)]
+    _land(src, 0, rows)
+    got = si.stream_s2orc(spark, str(src), str(tmp_path / "store"), str(tmp_path / "ckpt"), general_tag="general")
+    assert {r.key: r.title for r in got.select("key", "title").collect()} == {x["paper_id"]: x["title"] for x in rows}
+    known = spark.read.format("statestore").load(str(tmp_path / "ckpt"))
+    assert known.count() <= si.STATE_GROUPS

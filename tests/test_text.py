@@ -205,3 +205,31 @@ def test_fast_tokens_and_sentences_equal_the_plain_patterns(spark):
     lines = F.split(F.regexp_replace("t", tx.SENTENCE_END_RE, "$1\n"), "\n")
     cut = F.filter(F.transform(lines, lambda s: F.regexp_replace(s, tx.EDGE_BLANKS_RE, "")), lambda s: s != "")
     assert df.where(~plain.eqNullSafe(tx.tokens(F.col("t"))) | ~cut.eqNullSafe(tx.sentences(F.col("t")))).count() == 0
+
+
+def test_overflow_of_token_lists_equals_the_formula_table(spark):
+    long = "9" * 160
+    lists = [[["Fe2O3", "iron"], []], [["a"], ["Fe" + "9" * 400 + "O"]], [[f"(Fe{long}O){long}"]], [[f"(Fe{long}O)2"]],
+             [["9" * 400, "é" * 150, None]], [], None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, toks array<array<string>>")
+    plain = F.exists(mat.formula_table(F.flatten("toks")), lambda x: F.coalesce(x["overflow"], F.lit(False)))
+    rows = df.withColumn("plain", plain).withColumn("found", mat.any_overflow(F.col("toks"))).orderBy("i").collect()
+    assert [r.found for r in rows] == [r.plain for r in rows] == [False, True, True, False, False, False, False]
+
+
+def test_overflow_sends_only_long_tokens_to_python(spark):
+    df = spark.createDataFrame([([["Fe2O3", "NaCl", "a" * 300]],)], "toks array<array<string>>")
+    sent = []
+    table, mat.formula_table = mat.formula_table, lambda toks: (sent.append(toks), table(toks))[1]
+    try:
+        df.select(mat.any_overflow(F.col("toks")))
+    finally:
+        mat.formula_table = table
+    assert df.select(sent[0]).first()[0] == ["a" * 300]
+
+
+def test_tokens_without_digits_equal_the_full_pattern(spark):
+    texts = ["Plain words, here.", "x.٣b y,٤ z.-", "Fe) été Ünï", "A)B [C] {d} e f\x0bg", "a._b, 中文。", "", "١٢ ½ Ⅳ x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(tx.tokens(F.col("t")).alias("got"), F.regexp_extract_all("t", F.lit(tx.TOKEN_RE), F.lit(0)).alias("want")).collect():
+        assert r.got == r.want
