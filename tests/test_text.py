@@ -233,3 +233,41 @@ def test_tokens_without_digits_equal_the_full_pattern(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select(tx.tokens(F.col("t")).alias("got"), F.regexp_extract_all("t", F.lit(tx.TOKEN_RE), F.lit(0)).alias("want")).collect():
         assert r.got == r.want
+
+
+def _by_columns(df, **flags):
+    """The api recipe by Column expressions alone."""
+    from lexicor.operators import corpus
+
+    staged = df.withColumn("_stoks", F.transform(tx.sentences(F.col("text")), lambda s: tx.tokens(s)))
+    staged = staged.withColumn("_table", mat.formula_table(F.col("_stoks"), nested=True))
+    steps = staged.withColumn("_steps", corpus.process_sentences(F.col("_stoks"), F.col("_table"), **flags))
+    return steps.select("doc_id", F.array_join(F.transform("_steps", lambda st: F.array_join(tx.processed(st), " ")), "\n").alias("processed_abstract"),
+                        F.flatten(F.transform("_steps", tx.mentions)).alias("materials"), F.exists("_steps", corpus.overflow).alias("unprocessable"))
+
+
+def test_ascii_texts_equal_the_column_expressions(spark):
+    from lexicor.operators import corpus
+
+    rng = random.Random(11)
+    big = "Fe" + "9" * 400 + "O2"
+    pieces = ["LiFePO4", "Ni0.5Fe0.5", "Iron", "iron", "IRON", "Fe(II)", "iron(iii)", "Fe(IV)", "5V", "5Q", "1.2(3)", "1,000", "(", ")", "111", "Si(111)",
+              "Ca(OH)2", "Mg(Fe(CN)6)2", "Fe(O2", "))", ".", "!", "?", ", ", "K", "The", "the", "DNA", "O2", "H", "IV", "BN", ":::", "\t", "\r", "\n", "\x0b",
+              "\x00", "\x1c", "a.5", ".5", "-3", "5.", "1e5", "a..b", "x_y", "(5 K)", "( 111 )", "10mg", "2.5kV", "Co2", "CO2", "He2O", "N2", "Salt", "lead", "Lead", big,
+              "Fe(9)99O2", "  ", "e.g.", "Al2(SO4)3.5", "S(vi)", "(VI)", "3(2)eV"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " ", " ", ". ", "\n"]) for _ in range(rng.randrange(1, 25))) for _ in range(1500)]
+    texts += [None, "", " ", "\n\n", "Iron. ", "K", "One. Two! Three?\tFour", "café of LiFePO4 and Iron. 5 K.", "αFe2O3 (111)", big, "  a. b", "5Ω 5 Ω"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    for flags in ({}, {"exclude_punct": True}, {"convert_num": False}, {"normalize_materials": False, "accents": False}):
+        got = {r.doc_id: r[1:] for r in corpus.normalise(df, "api", **flags).select("doc_id", "processed_abstract", "materials", "unprocessable").collect()}
+        want = {r.doc_id: r[1:] for r in _by_columns(df, **flags).collect()}
+        assert [texts[i] for i in want if got[i] != want[i]] == []
+    assert sum(r[2] is True for r in got.values()) > 50 and sum(len(r[1] or ()) for r in got.values()) > 2000
+
+
+def test_ascii_results_that_nobody_reads_are_not_made(spark):
+    from lexicor.operators import corpus
+
+    df = spark.createDataFrame([(1, "Iron of LiFePO4.")], "doc_id int, text string")
+    plan = corpus.normalise(df, "api").select("doc_id", "unprocessable")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("run(") == 1
